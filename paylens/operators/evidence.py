@@ -51,7 +51,8 @@ def _fmt(df: DataFrame, name: str, digits: dict[str, int]) -> Column:
     dt = df.schema[name].dataType
     c = F.col(name)
     if isinstance(dt, (T.DoubleType, T.FloatType)):
-        s = F.format_string(f"%.{digits.get(name, 4)}f", c)
+        # format_string renders NULL as the text "null"; keep NULL instead
+        s = F.when(c.isNotNull(), F.format_string(f"%.{digits.get(name, 4)}f", c))
     elif isinstance(dt, (T.TimestampNTZType, T.TimestampType)):
         s = F.date_format(c, TS_TEXT)
     else:

@@ -64,6 +64,8 @@ def restrict_to_windows(df: DataFrame, windows: DataFrame, ts_col: str = "event_
     if day_range is not None:
         lo, hi = day_range
         df = df.where((F.col(ts_col) >= ntz(lo)) & (F.col(ts_col) < ntz(hi + _dt.timedelta(days=1))))
+        if "dt" in df.columns:  # day-partitioned table: static partition pruning
+            df = df.where(F.col("dt").between(F.lit(lo), F.lit(hi)))
     day: Column = F.col("dt") if "dt" in df.columns else F.to_date(ts_col)
     joined = df.join(F.broadcast(wd), day == wd[_DAY])
     return joined.where(F.col(ts_col).between(F.col(WIN_START), F.col(WIN_END))).drop(_DAY)

@@ -393,6 +393,7 @@ def oracle_sql() -> dict[str, str]:
         "kpi_extent": build("SELECT CAST(COUNT(*) AS BIGINT) AS total_rows, MIN(bucket_5m) AS earliest, "
                             "MAX(bucket_5m) AS latest FROM kpi_5m", ["kpi_5m"]),
         "overall_5m": build("SELECT * FROM overall_5m", ["overall_5m"]),
+        "overall_direct": build("SELECT * FROM overall_5m", ["overall_5m"]),
         "tod_key": build("SELECT * FROM with_tod", ["with_tod"]),
         "baselines": build("SELECT * FROM baselines", ["baselines"]),
         "baselines_window": build("SELECT * FROM baselines", ["baselines"]),

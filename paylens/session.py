@@ -18,6 +18,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Python call-site capture for error messages costs a JVM round trip per
+    # column function while a plan is built; the library builds large plans.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

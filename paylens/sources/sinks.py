@@ -26,25 +26,29 @@ def _with_day(df: DataFrame, ts_col: str) -> DataFrame:
     return df.withColumn(PARTITION_COL, F.to_date(ts_col))
 
 
-def _layout(df: DataFrame, ts_col: str) -> DataFrame:
-    # One shuffle on the day: each output partition holds whole days and is
-    # time-sorted, which keeps file count ~ days × tasks-per-day and tight
-    # row-group min/max on the time column.
-    return df.repartitionByRange(PARTITION_COL, ts_col).sortWithinPartitions(PARTITION_COL, ts_col)
-
-
-def overwrite_table(df: DataFrame, path: str, ts_col: str, dynamic: bool = False) -> None:
+def _layout(df: DataFrame, ts_col: str, cluster: bool) -> DataFrame:
+    if cluster:
+        # One range shuffle on (day, time): every output task holds a time
+        # slice, so files per day ~ day size / task size, a hot day is split
+        # over many tasks, and row-group min/max on the time column are tight.
+        df = df.repartitionByRange(PARTITION_COL, ts_col)
+    # Without clustering (small tables such as the gold cube) keep the
+    # upstream partitioning and only sort inside each task.
+    return df.sortWithinPartitions(PARTITION_COL, ts_col)
+
+
+def overwrite_table(df: DataFrame, path: str, ts_col: str, dynamic: bool = False, cluster: bool = True) -> None:
     """``CREATE OR REPLACE TABLE … AS SELECT`` as a day-partitioned write."""
-    out = _layout(_with_day(df, ts_col), ts_col)
+    out = _layout(_with_day(df, ts_col), ts_col, cluster)
     writer = out.write.mode("overwrite").partitionBy(PARTITION_COL)
     if dynamic:
         writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)
 
 
-def append_table(df: DataFrame, path: str, ts_col: str) -> None:
+def append_table(df: DataFrame, path: str, ts_col: str, cluster: bool = True) -> None:
     """``INSERT INTO`` in one job (no client-side batching)."""
-    _layout(_with_day(df, ts_col), ts_col).write.mode("append").partitionBy(PARTITION_COL).parquet(path)
+    _layout(_with_day(df, ts_col), ts_col, cluster).write.mode("append").partitionBy(PARTITION_COL).parquet(path)
 
 
 def read_written(spark: SparkSession, path: str, keep_partition: bool = False) -> DataFrame:

@@ -10,12 +10,27 @@ TABLES = (
 ).split()
 
 
+# Scan plans already built in a session, keyed by (session, path).  Only the
+# lazy DataFrame (file index + schema) is kept — no data — so repeated queries
+# skip re-listing files and re-reading parquet footers on the driver.
+_SCANS: dict[tuple[int, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """Scan one table; selecting ``columns`` here keeps the ReadSchema narrow."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    df = _SCANS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _SCANS[key] = spark.read.parquet(path)
     return df.select(*columns) if columns else df
 
 
+def clear_scan_cache() -> None:
+    """Forget memoised scans (after the files under a path were replaced)."""
+    _SCANS.clear()
+
+
 def register_views(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> None:
     """Expose the tables as temp views for ``spark.sql`` users."""
     for name in names or TABLES:
