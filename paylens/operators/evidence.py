@@ -37,10 +37,12 @@ DRILL_LINE = "• **%s %s | %s | %s** → %s: %d errors, %d users"
 LOG_LINE = "`%s` | %s | %s | %s | $%s"
 APP_SEGMENT_LINE = "  %s %s | %s | %s: fail_rate=%s, fails=%d/%d"
 APP_ERROR_LINE = "  %s: %d errors"
-ANOMALY_CARD_TITLE = "🚨 LiveOps Alert: Payment Anomaly Detected"
+ANOMALY_CARD_TITLE = "🚨 Alert: Payment Anomaly Detected"
 ANOMALY_CARD_TEMPLATE = "red"
 ACCURACY_CARD_TITLE = "📊 Accuracy Report: %d%%"
 MATCH_MARK, MISS_MARK = "✅", "❌"
+# Card markup tags of the chat-card format.
+CARD_TEXT_TAG = "lark_md"
 # ---------------------------------------------------------------------------
 
 TS_TEXT = "yyyy-MM-dd HH:mm:ss"
@@ -134,7 +136,7 @@ _TEXT = T.StructType([T.StructField("tag", T.StringType()), T.StructField("conte
 
 
 def _div(content: Column) -> Column:
-    return F.struct(F.lit("div").alias("tag"), F.struct(F.lit("lark_md").alias("tag"), content.alias("content")).alias("text"))
+    return F.struct(F.lit("div").alias("tag"), F.struct(F.lit(CARD_TEXT_TAG).alias("tag"), content.alias("content")).alias("text"))
 
 
 def _hr() -> Column:

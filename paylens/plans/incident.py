@@ -69,6 +69,23 @@ class IncidentAnalysis:
     def game_events(self) -> DataFrame:
         return self._game_events if self._game_events is not None else game_events_from_payments(self.payments)
 
+    def checkpointed(self) -> "IncidentAnalysis":
+        """The same analysis over reliably checkpointed gold frames.
+
+        ``checkpoint()`` writes the KPI cube and the anomaly table to the
+        cluster-shared checkpoint folder (``spark.checkpoint.dir``) and cuts
+        their lineage: every later output reads the files, and a lost
+        executor never re-scans the payments.
+        """
+        from paylens.session import shared_dir
+
+        shared_dir(self.payments.sparkSession)
+        kpi_c = self.kpi.checkpoint(eager=True)
+        form = A.baselines_window if self.baseline_form == "window" else A.baselines
+        anomaly_c = A.anomaly(form(overall(kpi_c), self.baseline_mode, self.minutes)).checkpoint(eager=True)
+        return IncidentAnalysis(self.payments, self.as_of, self.minutes, self._game_events, kpi_c, anomaly_c,
+                                self.baseline_form, self.baseline_mode)
+
     # -- the day's window -------------------------------------------------------------
     @cached_property
     def windows_by_metric(self) -> DataFrame:

@@ -97,7 +97,7 @@ CTES: dict[str, tuple[str, list[str]]] = {
                   CASE WHEN payment_status = 'success' THEN 'purchase_success' ELSE 'purchase_fail' END]) AS event_name
         FROM silver_payments""", ["silver_payments"]),
     "kpi_raw": ("""
-        SELECT time_bucket(INTERVAL '5 minutes', event_ts) AS bucket_5m, platform, app_version, region, provider,
+        SELECT time_bucket(INTERVAL '__W__ minutes', event_ts) AS bucket_5m, platform, app_version, region, provider,
           CAST(SUM(CASE WHEN payment_status = 'success' THEN CAST(round(amount * 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS rev_cents,
           CAST(COUNT(*) AS BIGINT) AS pay_attempts,
           CAST(COUNT(*) FILTER (WHERE payment_status = 'success') AS BIGINT) AS pay_success,
@@ -117,7 +117,7 @@ CTES: dict[str, tuple[str, list[str]]] = {
           {R(DIV('pay_success', 'pay_attempts'), 4)} AS pay_success_rate
         FROM overall_raw""", ["overall_raw"]),
     "with_tod": ("""
-        SELECT *, CAST(floor((hour(bucket_5m) * 60 + minute(bucket_5m)) / 5) AS INTEGER) AS tod_key,
+        SELECT *, CAST(floor((hour(bucket_5m) * 60 + minute(bucket_5m)) / __W__) AS INTEGER) AS tod_key,
           CAST(bucket_5m AS DATE) AS dt
         FROM overall_5m""", ["overall_5m"]),
     "moments": ("""
@@ -260,8 +260,9 @@ def _label(p: str, v: str, r: str, pr: str, e: str) -> str:
     return f"printf('%s %s + %s + %s: %s spike', {p}, {v}, {r}, {pr}, {e})"
 
 
-def build(select: str, needs: list[str]) -> str:
-    """``WITH`` the transitive closure of ``needs`` (dependency order) + ``select``."""
+def build(select: str, needs: list[str], minutes: int = 5) -> str:
+    """``WITH`` the transitive closure of ``needs`` (dependency order) + ``select``;
+    ``minutes`` is the bucket width of the KPI cube."""
     order: list[str] = []
 
     def visit(name: str) -> None:
@@ -273,7 +274,7 @@ def build(select: str, needs: list[str]) -> str:
 
     for n in needs:
         visit(n)
-    ctes = ",\n".join(f"{n} AS ({CTES[n][0]}\n)" for n in order)
+    ctes = ",\n".join(f"{n} AS ({CTES[n][0]}\n)" for n in order).replace("__W__", str(int(minutes)))
     return f"WITH {ctes}\n{select}" if ctes else select
 
 
@@ -400,6 +401,7 @@ def oracle_sql() -> dict[str, str]:
         "anomaly": build(f"SELECT * FROM {a}", [a]),
         "anomaly_join": build(f"SELECT * FROM {a}", [a]),
         "anomaly_previous_days": build("SELECT * FROM anomaly_prev", ["anomaly_prev"]),
+        "anomaly_60m": build(f"SELECT * FROM {a}", [a], minutes=60),
         "anomaly_rows": build(f"SELECT * FROM {a} WHERE is_anomaly", [a]),
         "anomaly_summary": build(
             f"SELECT metric, CAST(COUNT(*) AS BIGINT) AS anomaly_count, MIN(bucket_5m) AS first_anomaly, "

@@ -78,3 +78,21 @@ def test_no_cartesian_or_nested_loop(spark, key):
 def test_window_queries_push_day_bounds_to_scan(spark, key):
     plan = _plan(E.queries()[key](spark, SF001))
     assert "GreaterThanOrEqual(ts,2024-01-20T00:00)" in plan and "LessThan(ts,2024-01-21T00:00)" in plan
+
+
+def test_typed_ingest_from_text(spark):
+    from paylens.sources.ingest import read_payments
+    p = _pay(spark, SF001)
+    path = unique_shared_path(spark, "t_ingest")
+    text = p.select(*[F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c) if c == "event_ts"
+                      else F.col(c).cast("string").alias(c) for c in p.columns])
+    text.write.mode("overwrite").json(path)
+    back = read_payments(spark, path).select(*p.columns)
+    assert sorted(back.collect()) == sorted(p.collect())
+
+
+def test_checkpointed_analysis_equals_lazy(spark):
+    lazy = IncidentAnalysis(_pay(spark, SF001))
+    ck = lazy.checkpointed()
+    assert sorted(ck.drill_provider().collect()) == sorted(lazy.drill_provider().collect())
+    assert "Scan ExistingRDD" in _plan(ck.anomaly) or "LogicalRDD" in _plan(ck.anomaly)
