@@ -84,19 +84,24 @@ def scorecard_fields(incidents_df: DataFrame, attribution_df: DataFrame) -> Data
 
 
 def incident_scorecard(incidents_df: DataFrame, attribution_df: DataFrame) -> DataFrame:
-    """Per incident: matches out of five fields, accuracy %, pass flag."""
-    f = scorecard_fields(incidents_df, attribution_df)
-    g = f.groupBy("incident_id").agg(
-        F.count_if("match").alias("matches"),
-        F.count(F.lit(1)).alias("total_fields"),
-    )
-    acc = F.round(F.col("matches") * F.lit(100.0) / F.col("total_fields")).cast("int")
-    j = g.join(incidents_df, "incident_id").join(attribution_df, "incident_id")
+    """Per incident: matches out of five fields, accuracy %, pass flag.
+
+    One join of the incident log with its attribution and a projection — the
+    five case-insensitive comparisons are summed inline.
+    """
+    j = incidents_df.join(attribution_df, "incident_id", "left")
+    hits = [
+        F.coalesce(F.lower(F.col(gt)) == F.lower(F.coalesce(F.col(det), F.lit(UNKNOWN))), F.lit(False)).cast("bigint")
+        for _, gt, det in SCORED_FIELDS
+    ]
+    matches = sum(hits[1:], hits[0])
+    total = F.lit(len(SCORED_FIELDS)).cast("bigint")
+    acc = F.round(matches * F.lit(100.0) / total).cast("int")
     return j.select(
         "incident_id",
         root_cause_label(*[F.col(c) for c in ("platform", "app_version", "region", "provider", "error_code")]).alias("root_cause"),
-        root_cause_label(*[F.col(c) for c in DETECTED]).alias("detected_root_cause"),
-        "matches", "total_fields",
+        root_cause_label(*[F.coalesce(F.col(c), F.lit(UNKNOWN)) for c in DETECTED]).alias("detected_root_cause"),
+        matches.alias("matches"), total.alias("total_fields"),
         acc.alias("accuracy"),
         (acc >= PASS_ACCURACY).alias("passed"),
     )

@@ -23,17 +23,18 @@ def refresh_gold(spark: SparkSession, payments: DataFrame, location: str | None
                  minutes: int = BUCKET_MINUTES, keep_partition: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rebuild both gold tables; returns ``(kpi_table, anomaly_table)`` read back.
 
-    Gold tables are small (buckets × segments, independent of the number of
-    payments), so they are written without a clustering shuffle.
+    Gold tables are small (buckets × segments per day, independent of the
+    number of payments); the rebalance before the write gives one or a few
+    files per day instead of one per task and day.
     ``keep_partition`` keeps the ``dt`` column so window joins can prune
     partitions.
     """
     base = location or unique_shared_path(spark, "gold")
     kpi_path, anomaly_path = f"{base}/gold_kpi_5m", f"{base}/gold_anomaly"
-    overwrite_table(kpi(payments, minutes), kpi_path, BUCKET, cluster=False)
+    overwrite_table(kpi(payments, minutes), kpi_path, BUCKET)
     kpi_table = read_written(spark, kpi_path, keep_partition=True)
     kpi_cols = [c for c in kpi_table.columns if c != "dt"]
     overwrite_table(anomaly(baselines_window(overall(kpi_table.select(*kpi_cols)), minutes=minutes)),
-                    anomaly_path, BUCKET, cluster=False)
+                    anomaly_path, BUCKET)
     anomaly_table = read_written(spark, anomaly_path, keep_partition=keep_partition)
     return (kpi_table if keep_partition else kpi_table.select(*kpi_cols)), anomaly_table

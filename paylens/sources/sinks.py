@@ -1,7 +1,7 @@
 """Table sinks: overwrite (CTAS) and append, partitioned by day.
 
 Tables are parquet directories partitioned by ``dt`` (the calendar day of the
-event or bucket).  Day partitions give the window-restricted operators
+event or bucket), laid out by a REBALANCE shuffle on the day.  Day partitions give the window-restricted operators
 partition pruning: their join on ``dt`` against the tiny windows table turns
 into a dynamic-partition-pruning filter on the scan, so an incident query reads
 one or two days, not the whole history.  Rows are clustered by time inside each
@@ -28,12 +28,14 @@ def _with_day(df: DataFrame, ts_col: str) -> DataFrame:
 
 def _layout(df: DataFrame, ts_col: str, cluster: bool) -> DataFrame:
     if cluster:
-        # One range shuffle on (day, time): every output task holds a time
-        # slice, so files per day ~ day size / task size, a hot day is split
-        # over many tasks, and row-group min/max on the time column are tight.
-        df = df.repartitionByRange(PARTITION_COL, ts_col)
-    # Without clustering (small tables such as the gold cube) keep the
-    # upstream partitioning and only sort inside each task.
+        # REBALANCE on the day: one shuffle whose output partitions AQE sizes
+        # from the map statistics (spark.sql.adaptive.advisoryPartitionSizeInBytes)
+        # — a hot day holding a third of all rows is split over many tasks,
+        # small days are coalesced — with no sampling pass over the input
+        # (a range repartition would re-run the whole upstream to sample it).
+        # Each task then holds few days, so files per day stay few and large.
+        df = df.hint("rebalance", PARTITION_COL)
+    # Time-sorted inside each task: tight row-group min/max on the time column.
     return df.sortWithinPartitions(PARTITION_COL, ts_col)
 
 
