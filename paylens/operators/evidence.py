@@ -40,6 +40,15 @@ APP_ERROR_LINE = "  %s: %d errors"
 ANOMALY_CARD_TITLE = "🚨 Alert: Payment Anomaly Detected"
 ANOMALY_CARD_TEMPLATE = "red"
 ACCURACY_CARD_TITLE = "📊 Accuracy Report: %d%%"
+INSIGHT_LINE = "• Root Cause #%d: %s"
+DRILL_CARD_TITLE = "🔬 Root Cause Drill-Down"
+DRILL_CARD_TEMPLATE = "yellow"
+DRILL_CARD_SEGMENTS = "**Top Error Segments During Incident**\n"
+DRILL_CARD_LOGS = "**Sample Error Logs (%s)**\n"
+DRILL_CARD_NOTE = "Showing top 5 segments | Window: %s → %s"
+RELEASE_CARD_TITLE = "🚀 New Version Released: %s"
+RELEASE_CARD_TEXT = "**Platform**: %s\n**Region**: %s\n**Incident**: %s → %s\n**Status**: 🔴 Anomaly Detected"
+HOUR_MINUTE = "HH:mm"
 MATCH_MARK, MISS_MARK = "✅", "❌"
 # Card markup tags of the chat-card format.
 CARD_TEXT_TAG = "lark_md"
@@ -135,12 +144,26 @@ def _numbered(df: DataFrame, kind: str, line: Column, order: Sequence[Column]) -
 _TEXT = T.StructType([T.StructField("tag", T.StringType()), T.StructField("content", T.StringType())])
 
 
+def _element(tag: str, text: Column | None = None, elements: Column | None = None) -> Column:
+    # Every card element has the same struct type; fields a tag does not use
+    # are NULL and to_json omits them.
+    return F.struct(
+        F.lit(tag).alias("tag"),
+        (text if text is not None else F.lit(None)).cast(_TEXT).alias("text"),
+        (elements if elements is not None else F.lit(None)).cast(T.ArrayType(_TEXT)).alias("elements"),
+    )
+
+
 def _div(content: Column) -> Column:
-    return F.struct(F.lit("div").alias("tag"), F.struct(F.lit(CARD_TEXT_TAG).alias("tag"), content.alias("content")).alias("text"))
+    return _element("div", F.struct(F.lit(CARD_TEXT_TAG).alias("tag"), content.alias("content")))
 
 
 def _hr() -> Column:
-    return F.struct(F.lit("hr").alias("tag"), F.lit(None).cast(_TEXT).alias("text"))
+    return _element("hr")
+
+
+def _note(text: Column) -> Column:
+    return _element("note", elements=F.array(F.struct(F.lit("plain_text").alias("tag"), text.alias("content"))))
 
 
 def _card(title: Column, template: Column, elements: Sequence[Column]) -> Column:
@@ -178,6 +201,51 @@ def anomaly_alert_payload(impact: DataFrame) -> DataFrame:
         F.lit("anomaly_alert").alias("kind"), F.lit(None).cast("int").alias("incident_id"), payload.alias("payload"))
 
 
+def _lines_text(kind: str) -> Column:
+    # ordered join of one kind's numbered lines (≤ 5 rows per kind)
+    picked = F.filter(F.col("ls"), lambda x: x["kind"] == kind)
+    return F.array_join(F.transform(F.array_sort(picked), lambda x: x["line"]), "\n")
+
+
+def drilldown_payload(lines: DataFrame, window: DataFrame, log_segment: str = "iOS 1.2.7") -> DataFrame:
+    """The drill-down card: top error segments and sample logs of the window.
+
+    ``lines`` are :func:`drill_lines` / :func:`log_lines` rows; the window is
+    one row (``window_start``, ``window_end``).  Everything is folded by one
+    global aggregate over the ≤ 10 line rows and the window row (a union, no
+    join); an empty window gives no card.
+    """
+    ls = lines.where(F.col("kind").isin("segment_error", "sample_log")).select(
+        F.struct(F.col("kind"), F.col("line_no"), F.col("line")).alias("l"),
+        F.lit(None).cast("timestamp_ntz").alias("s"), F.lit(None).cast("timestamp_ntz").alias("e"))
+    w = window.select(F.lit(None).cast(ls.schema["l"].dataType).alias("l"),
+                      F.col("window_start").alias("s"), F.col("window_end").alias("e"))
+    g = ls.unionByName(w).agg(F.collect_list("l").alias("ls"), F.max("s").alias("s"), F.max("e").alias("e"))
+    seg = F.concat(F.lit(DRILL_CARD_SEGMENTS), _lines_text("segment_error"))
+    logs = F.concat(F.format_string(DRILL_CARD_LOGS, F.lit(log_segment)), _lines_text("sample_log"))
+    note = F.format_string(DRILL_CARD_NOTE, F.col("s").cast("string"), F.col("e").cast("string"))
+    payload = _card(F.lit(DRILL_CARD_TITLE), F.lit(DRILL_CARD_TEMPLATE), [_div(seg), _hr(), _div(logs), _hr(), _note(note)])
+    return g.where(F.col("s").isNotNull()).select(
+        F.lit("drilldown").alias("kind"), F.lit(None).cast("int").alias("incident_id"), payload.alias("payload"))
+
+
+def release_payloads(incidents_df: DataFrame) -> DataFrame:
+    """One release card per incident of the log (times as ``HH:mm``)."""
+    text = F.format_string(RELEASE_CARD_TEXT, "platform", "region", F.date_format("incident_start", HOUR_MINUTE),
+                           F.date_format("incident_end", HOUR_MINUTE))
+    payload = _card(F.format_string(RELEASE_CARD_TITLE, "app_version"), F.lit("red"), [_div(text)])
+    return incidents_df.select(F.lit("release").alias("kind"), "incident_id", payload.alias("payload"))
+
+
+def insight_lines(parsed: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Numbered root-cause lines of each parsed answer (``transform`` with the
+    element index — no explode, no per-row Python)."""
+    lines = F.transform(F.coalesce("insights", F.array().cast("array<string>")),
+                        lambda x, i: F.format_string(INSIGHT_LINE, i + 1, x))
+    return parsed.select(*keep, F.size(F.coalesce("insights", F.array())).alias("n_insights"),
+                         F.array_join(lines, "\n").alias("text"))
+
+
 def accuracy_payloads(fields: DataFrame, scorecard: DataFrame) -> DataFrame:
     """One accuracy card per incident from the per-field comparison."""
     mark = F.when(F.col("match"), F.lit(MATCH_MARK)).otherwise(F.lit(MISS_MARK))

@@ -212,6 +212,10 @@ class IncidentAnalysis:
             .unionByName(E.app_error_lines(self.top_error_codes()))
         )
 
+    def drilldown_payload(self) -> DataFrame:
+        lines = E.drill_lines(self.error_drill_users()).unionByName(E.log_lines(self.sample_failures()))
+        return E.drilldown_payload(lines, self.window)
+
     def anomaly_alert_payload(self) -> DataFrame:
         return E.anomaly_alert_payload(self.impact_summary())
 

@@ -527,6 +527,10 @@ def oracle_sql() -> dict[str, str]:
             "ELSE COALESCE((SELECT error_code FROM top_err), 'unknown') END AS detected_error "
             "FROM (SELECT *, regexp_extract(text, '(?s)\\{.*\\}', 0) AS j FROM conversations WHERE role = 'assistant') c",
             ["top_seg", "top_err"]),
+        "insight_lines": build(
+            "SELECT conv_id, turn, CAST(1 AS INTEGER) AS n_insights, "
+            "printf('• Root Cause #%d: %s', 1, left(text, 200)) AS text "
+            "FROM conversations WHERE role = 'assistant' AND regexp_extract(text, '(?s)\\{.*\\}', 0) = ''", []),
         "refresh_gold": build(f"SELECT * FROM {a}", [a]),
         "sink_overwrite": build("SELECT * FROM silver_payments", ["silver_payments"]),
         "sink_append": build("SELECT * FROM silver_payments", ["silver_payments"]),

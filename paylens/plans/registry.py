@@ -79,7 +79,8 @@ def _alert_payload(spark: SparkSession, d: str) -> DataFrame:
     ia = _ia(spark, d)
     inc, att = _incidents_and_attribution(spark, d)
     acc = E.accuracy_payloads(R.scorecard_fields(inc, att), R.incident_scorecard(inc, att))
-    return ia.anomaly_alert_payload().unionByName(acc)
+    return (ia.anomaly_alert_payload().unionByName(ia.drilldown_payload())
+            .unionByName(E.release_payloads(inc)).unionByName(acc))
 
 
 def _parse_answer(spark: SparkSession, d: str) -> DataFrame:
@@ -88,6 +89,10 @@ def _parse_answer(spark: SparkSession, d: str) -> DataFrame:
     return E.parse_answer(answers, "text", ia.answer_fallback(), keep=["conv_id", "turn"])
 
 
+def _insight_lines(spark: SparkSession, d: str) -> DataFrame:
+    return E.insight_lines(_parse_answer(spark, d), keep=["conv_id", "turn"])
+
+
 def _refresh_gold(spark: SparkSession, d: str) -> DataFrame:
     _, anomaly_table = refresh_gold(spark, _pay(spark, d))
     return anomaly_table
@@ -182,6 +187,7 @@ QUERIES: dict[str, Query] = {
     "evidence_lines": lambda s, d: _ia(s, d).evidence_lines(),
     "alert_payload": _alert_payload,
     "parse_answer": _parse_answer,
+    "insight_lines": _insight_lines,
     # sinks and refresh
     "refresh_gold": _refresh_gold,
     "sink_overwrite": _sink_overwrite,

@@ -13,7 +13,8 @@ Join strategy: nation (25 rows) and region (5 rows) are fixed-size TPC-H
 dimensions and are broadcast explicitly; ``customer`` grows with the scale
 factor, so its join with ``events`` is left to the planner (AQE turns it into a
 broadcast only when the measured size is under the threshold, else a
-sort-merge join whose skewed partitions AQE splits).
+sort-merge join whose skewed partitions AQE splits).  See
+:func:`events_with_region`.
 """
 
 from __future__ import annotations
@@ -65,10 +66,39 @@ def customer_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def payments_from_events(events: DataFrame, regions: DataFrame) -> DataFrame:
-    """Derive ``silver_payments`` from raw events and ``c_custkey → r_name``."""
-    e = events.select("event_id", "ts", "user_id", "event_type", "value", "props")
-    j = e.join(regions, e.user_id == regions.c_custkey)
+def events_with_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events ⋈ customer ⋈ nation ⋈ region`` → events plus ``r_name``.
+
+    Join order: events with customer first (the one join whose sides both
+    grow with the scale factor — AQE picks broadcast or sort-merge from
+    measured sizes and splits a hot ``user_id``), then the fixed-size nation
+    and region tables as map-side broadcast joins.  The three broadcasts are
+    independent, so they are built concurrently rather than in a chain.
+    """
+    e = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
+    customer = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"])
+    nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"])
+    region = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
+    return (
+        e.join(customer, e.user_id == customer.c_custkey)
+        .join(F.broadcast(nation), F.col("c_nationkey") == nation.n_nationkey)
+        .join(F.broadcast(region), F.col("n_regionkey") == region.r_regionkey)
+        .select("event_id", "ts", "user_id", "event_type", "value", "props", "r_name")
+    )
+
+
+def payments_from_events(events: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """Derive ``silver_payments`` from raw events.
+
+    ``regions`` (``c_custkey → r_name``) is joined in when given (e.g. the
+    static side of a stream); without it ``events`` must carry ``r_name``.
+    """
+    cols = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+    if regions is not None:
+        e = events.select(*cols)
+        j = e.join(regions, e.user_id == regions.c_custkey)
+    else:
+        j = events.select(*cols, "r_name")
 
     uid = F.col("user_id")
     k = F.get_json_object("props", "$.k").try_cast("int")
@@ -129,7 +159,7 @@ def payments_from_events(events: DataFrame, regions: DataFrame) -> DataFrame:
 
 def silver_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``silver_payments`` over the whole ``events`` table."""
-    return payments_from_events(read_table(spark, sf_dir, "events"), customer_regions(spark, sf_dir))
+    return payments_from_events(events_with_region(spark, sf_dir))
 
 
 def game_events_from_payments(payments: DataFrame) -> DataFrame:

@@ -47,6 +47,7 @@ def test_no_anomaly_means_empty_drills_and_zero_users(make_payments):
     s = ia.impact_summary().collect()[0]
     assert s.anomaly_start is None and s.affected_users == 0
     assert ia.anomaly_alert_payload().count() == 0
+    assert ia.drilldown_payload().count() == 0
 
 
 def test_equal_fail_rates_break_ties_by_keys(make_payments):
@@ -92,10 +93,19 @@ def test_alert_payload_json(spark):
     import json
     rows = QUERIES["alert_payload"](spark, "/root/testdata/sf0.01").collect()
     kinds = sorted(r.kind for r in rows)
-    assert kinds == ["accuracy_report"] * 3 + ["anomaly_alert"]
+    assert kinds == ["accuracy_report"] * 3 + ["anomaly_alert", "drilldown"] + ["release"] * 3
     for r in rows:
         card = json.loads(r.payload)
         assert card["msg_type"] == "interactive" and card["card"]["elements"]
+    rel = [json.loads(r.payload) for r in rows if r.kind == "release" and r.incident_id == 2][0]
+    assert "**Incident**: 10:00 → 13:59" in rel["card"]["elements"][0]["text"]["content"]
     acc = [json.loads(r.payload) for r in rows if r.kind == "accuracy_report" and r.incident_id == 1][0]
     assert acc["card"]["header"]["title"]["content"].endswith("100%")
     assert acc["card"]["header"]["template"] == "green"
+
+
+def test_insight_lines_enumerate(spark):
+    df = spark.createDataFrame([(1, ["x", "y"]), (2, None)], "id int, insights array<string>")
+    got = {r.id: r for r in E.insight_lines(df, keep=["id"]).collect()}
+    assert got[1].text == "• Root Cause #1: x\n• Root Cause #2: y" and got[1].n_insights == 2
+    assert got[2].text == "" and got[2].n_insights == 0
