@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paylens.config import ANSWER_FALLBACK_CHARS, METRIC_RATE, METRIC_REVENUE
+from paylens.operators.topk import number_rows
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for equal results.
@@ -107,8 +108,7 @@ def evidence_bundle(evidence: DataFrame) -> DataFrame:
 def drill_lines(error_drill: DataFrame) -> DataFrame:
     line = F.format_string(DRILL_LINE, "platform", "app_version", "region", "provider", "error_code",
                            "error_count", "affected_users")
-    order = [F.col("error_count").desc(), *[F.col(c).asc_nulls_last() for c in
-                                             ("platform", "app_version", "region", "provider", "error_code")]]
+    order = [-F.col("error_count"), *[F.col(c) for c in ("platform", "app_version", "region", "provider", "error_code")]]
     return _numbered(error_drill, "segment_error", line, order)
 
 
@@ -121,22 +121,20 @@ def log_lines(samples: DataFrame) -> DataFrame:
 def app_segment_lines(segments: DataFrame) -> DataFrame:
     line = F.format_string(APP_SEGMENT_LINE, "platform", "app_version", "region", "provider",
                            F.format_string("%.4f", "fail_rate"), "fails", "attempts")
-    order = [F.col("fail_rate").desc(), *[F.col(c).asc_nulls_last() for c in ("platform", "app_version", "region", "provider")]]
+    order = [-F.col("fail_rate"), *[F.col(c) for c in ("platform", "app_version", "region", "provider")]]
     return _numbered(segments, "app_segment", line, order)
 
 
 def app_error_lines(errors: DataFrame) -> DataFrame:
     line = F.format_string(APP_ERROR_LINE, "error_code", "cnt")
-    return _numbered(errors, "app_error", line, [F.col("cnt").desc(), F.col("error_code").asc_nulls_last()])
+    return _numbered(errors, "app_error", line, [-F.col("cnt"), F.col("error_code")])
 
 
 def _numbered(df: DataFrame, kind: str, line: Column, order: Sequence[Column]) -> DataFrame:
-    # df is a top-k result (≤ 10 rows): numbering it with a global window is a
-    # single small task by construction.
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.orderBy(*order))
-    return df.select(F.lit(kind).alias("kind"), n.alias("line_no"), line.alias("line"))
+    # df is a top-k result (≤ 10 rows)
+    lines = df.select(*[k.alias(f"_o{i}") for i, k in enumerate(order)], line.alias("line"))
+    n = number_rows(lines, [F.col(f"_o{i}") for i in range(len(order))], "line_no")
+    return n.select(F.lit(kind).alias("kind"), "line_no", "line")
 
 
 # -- alert payloads -------------------------------------------------------------

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from paylens.config import DIMS, PASS_ACCURACY
 from paylens.functions.expr import is_fail, ratio, round_half_up
 from paylens.operators.drill import ERROR_KEYS, error_counts_now_vs_prev, segment_fail_rate
+from paylens.operators.topk import number_rows
 
 UNKNOWN = "unknown"
 
@@ -129,10 +130,9 @@ def root_cause_rank(tagged_failures: DataFrame, k: int = 3) -> DataFrame:
     ranked = top.select(
         *ERROR_KEYS, "error_count", "prev_error_count", "excess", share.alias("excess_share"),
     )
-    rank = F.row_number().over(Window.orderBy(
-        F.col("excess").desc(), F.col("error_count").desc(), *[F.col(c).asc_nulls_last() for c in ERROR_KEYS]))
+    ranked = number_rows(ranked, [-F.col("excess"), -F.col("error_count"), *[F.col(c) for c in ERROR_KEYS]])
     confidence = F.when(F.col("excess_share") >= 0.5, "High").when(F.col("excess_share") >= 0.2, "Medium").otherwise("Low")
     return ranked.select(
-        rank.alias("rank"), "*", confidence.alias("confidence"),
+        "*", confidence.alias("confidence"),
         root_cause_label(*[F.col(c) for c in ERROR_KEYS]).alias("label"),
     )
