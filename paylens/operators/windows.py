@@ -29,6 +29,9 @@ from paylens.functions.expr import ntz
 WIN_START = "window_start"
 WIN_END = "window_end"
 _DAY = "_win_dt"
+# Window-day rows up to which a caller-supplied window table is broadcast
+# (≈ 40 bytes a row: a few MB).
+MAX_BROADCAST_WINDOW_DAYS = 100_000
 
 
 def window_table(bounds: DataFrame, start: str = "astart", end: str = "aend",
@@ -49,7 +52,8 @@ def window_table(bounds: DataFrame, start: str = "astart", end: str = "aend",
 
 def restrict_to_windows(df: DataFrame, windows: DataFrame, ts_col: str = "event_ts",
                         keep: Sequence[str] = (),
-                        day_range: tuple[_dt.date, _dt.date] | None = None) -> DataFrame:
+                        day_range: tuple[_dt.date, _dt.date] | None = None,
+                        bounded: bool = True) -> DataFrame:
     """Rows of ``df`` whose ``ts_col`` lies in a window (closed interval).
 
     A row inside several windows is returned once per window (``keep`` tells
@@ -57,6 +61,14 @@ def restrict_to_windows(df: DataFrame, windows: DataFrame, ts_col: str = "event_
     that every window lies within those days; it adds a literal range filter
     that the parquet scan can use for row-group skipping even on tables that
     are not partitioned by day.
+
+    ``bounded=True`` (windows derived from the day's anomaly: ≤ 2 rows × a
+    day) broadcasts without a check.  For a caller-supplied window table of
+    unknown size pass ``bounded=False``: its window-day rows are counted (a
+    job over the small window table only, capped at
+    ``MAX_BROADCAST_WINDOW_DAYS + 1``) and it is broadcast only under that
+    bound; beyond it both sides are shuffled on the day and AQE splits a hot
+    day.
     """
     wd = windows.select(*keep, WIN_START, WIN_END).withColumn(
         _DAY, F.explode(F.sequence(F.to_date(WIN_START), F.to_date(WIN_END)))
@@ -67,5 +79,7 @@ def restrict_to_windows(df: DataFrame, windows: DataFrame, ts_col: str = "event_
         if "dt" in df.columns:  # day-partitioned table: static partition pruning
             df = df.where(F.col("dt").between(F.lit(lo), F.lit(hi)))
     day: Column = F.col("dt") if "dt" in df.columns else F.to_date(ts_col)
-    joined = df.join(F.broadcast(wd), day == wd[_DAY])
+    if not bounded:
+        bounded = wd.limit(MAX_BROADCAST_WINDOW_DAYS + 1).count() <= MAX_BROADCAST_WINDOW_DAYS
+    joined = df.join(F.broadcast(wd) if bounded else wd, day == wd[_DAY])
     return joined.where(F.col(ts_col).between(F.col(WIN_START), F.col(WIN_END))).drop(_DAY)

@@ -234,7 +234,11 @@ class IncidentAnalysis:
 
 
 def incident_attribution(payments: DataFrame, incidents_df: DataFrame) -> DataFrame:
-    """Attribution for every incident of the ground-truth log in one job."""
+    """Attribution for every incident of the ground-truth log in one job.
+
+    The log is caller-supplied (no size bound by construction), so the
+    broadcast of its windows is left to the planner's size check.
+    """
     w = window_table(incidents_df, start="incident_start", end="incident_end", keep=["incident_id"])
-    inside = restrict_to_windows(payments, w, keep=["incident_id"]).drop(WIN_START, WIN_END)
+    inside = restrict_to_windows(payments, w, keep=["incident_id"], bounded=False).drop(WIN_START, WIN_END)
     return R.attribution(incidents_df, inside)

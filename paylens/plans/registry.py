@@ -145,7 +145,7 @@ QUERIES: dict[str, Query] = {
     "overall_direct": lambda s, d: overall_from_payments(_pay(s, d)),
     "tod_key": lambda s, d: with_tod_key(overall(kpi(_pay(s, d)))),
     "baselines": lambda s, d: A.baselines(overall(kpi(_pay(s, d)))),
-    "baselines_window": lambda s, d: A.baselines_window(overall(kpi(_pay(s, d)))),
+    "baselines_window": lambda s, d: A.baselines_window(overall_from_payments(_pay(s, d))),
     "anomaly": _anomaly_of,
     "anomaly_join": lambda s, d: A.anomaly(A.baselines(overall(kpi(_pay(s, d))))),
     "anomaly_60m": _anomaly(60),
