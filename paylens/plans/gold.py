@@ -30,7 +30,15 @@ from paylens.session import unique_shared_path
 from paylens.sources.sinks import overwrite_table, read_written
 
 
-def _days_filter(payments: DataFrame, days: Sequence[_dt.date], ts_col: str) -> DataFrame:
+def _days_filter(payments: DataFrame, days: Sequence[_dt.date] | DataFrame, ts_col: str) -> DataFrame:
+    if isinstance(days, DataFrame):
+        # A DataFrame of days (column ``dt``), e.g. the days of a micro-batch:
+        # a semi-join, never collected.  One row per day, so broadcasting it
+        # is bounded by the history length; on a ``dt``-partitioned source the
+        # join prunes partitions dynamically.
+        d = days.select(F.col("dt").cast("date").alias("_refresh_dt")).distinct()
+        key = F.col("dt") if "dt" in payments.columns else F.to_date(ts_col)
+        return payments.join(F.broadcast(d), key == F.col("_refresh_dt"), "left_semi")
     cond = F.lit(False)
     for d in sorted(set(days)):
         day = (F.col(ts_col) >= ntz(d)) & (F.col(ts_col) < ntz(d + _dt.timedelta(days=1)))
@@ -42,11 +50,12 @@ def _days_filter(payments: DataFrame, days: Sequence[_dt.date], ts_col: str) ->
 
 def refresh_gold(spark: SparkSession, payments: DataFrame, location: str | None = None,
                  minutes: int = BUCKET_MINUTES, keep_partition: bool = False,
-                 days: Sequence[_dt.date] | None = None) -> tuple[DataFrame, DataFrame]:
+                 days: Sequence[_dt.date] | DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Rebuild the gold tables; returns ``(kpi_table, anomaly_table)`` read back.
 
-    ``days=None`` rebuilds the whole cube.  With ``days`` (and an existing
-    ``location``) only those days of the cube are recomputed and replaced.
+    ``days=None`` rebuilds the whole cube.  With ``days`` (dates, or a
+    DataFrame with a ``dt`` column) and an existing ``location`` only those
+    days of the cube are recomputed and replaced.
     Gold tables are small (buckets × segments per day, independent of the
     number of payments); the rebalance before the write gives one or a few
     files per day instead of one per task and day.  ``keep_partition`` keeps

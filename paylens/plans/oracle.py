@@ -532,6 +532,7 @@ def oracle_sql() -> dict[str, str]:
             "printf('• Root Cause #%d: %s', 1, left(text, 200)) AS text "
             "FROM conversations WHERE role = 'assistant' AND regexp_extract(text, '(?s)\\{.*\\}', 0) = ''", []),
         "refresh_gold": build(f"SELECT * FROM {a}", [a]),
+        "gold_stream": build(f"SELECT * FROM {a}", [a]),
         "sink_overwrite": build("SELECT * FROM silver_payments", ["silver_payments"]),
         "sink_append": build("SELECT * FROM silver_payments", ["silver_payments"]),
         "kpi_5m_stream": build(

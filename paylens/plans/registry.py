@@ -25,6 +25,7 @@ from paylens.session import unique_shared_path
 from paylens.sources import fixtures as X
 from paylens.sources.sinks import append_table, overwrite_table, read_written
 from paylens.sources.tables import read_table
+from paylens.streaming.gold_stream import run_gold_stream
 from paylens.streaming.kpi_stream import run_kpi_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +121,12 @@ def _kpi_stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out")
 
 
+def _gold_stream(spark: SparkSession, d: str) -> DataFrame:
+    base = unique_shared_path(spark, "gold_stream")
+    return run_gold_stream(spark, d, "events.parquet", X.customer_regions(spark, d),
+                           f"{base}/silver", f"{base}/gold", f"{base}/checkpoint")
+
+
 def _anomaly(minutes: int = C.BUCKET_MINUTES, mode: str = "other_days") -> Query:
     def q(spark: SparkSession, d: str) -> DataFrame:
         return A.anomaly(A.baselines_window(overall_from_payments(_pay(spark, d), minutes), mode, minutes))
@@ -193,6 +200,7 @@ QUERIES: dict[str, Query] = {
     "sink_overwrite": _sink_overwrite,
     "sink_append": _sink_append,
     "kpi_5m_stream": _kpi_stream,
+    "gold_stream": _gold_stream,
 }
 
 
