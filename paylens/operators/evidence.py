@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paylens.config import ANSWER_FALLBACK_CHARS, METRIC_RATE, METRIC_REVENUE
+from paylens.config import ANSWER_FALLBACK_CHARS
 from paylens.operators.topk import number_rows
 
 # ---------------------------------------------------------------------------
@@ -294,9 +294,3 @@ def parse_answer(df: DataFrame, text_col: str, fallback: dict[str, Column], keep
         cols.append(F.when(has_json, parsed[f]).otherwise(fallback[f]).alias(f))
     return df.select(*keep, F.length(text).alias("answer_chars"), *cols)
 
-
-__all__ = [
-    "SECTION_TITLES", "table_text", "evidence_text", "evidence_bundle", "drill_lines", "log_lines",
-    "app_segment_lines", "app_error_lines", "anomaly_alert_payload", "accuracy_payloads", "parse_answer",
-    "METRIC_RATE", "METRIC_REVENUE",
-]

@@ -7,7 +7,6 @@ adapter) over their whole extent; parameters are the analysis defaults of
 
 from __future__ import annotations
 
-import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -204,8 +203,4 @@ QUERIES: dict[str, Query] = {
 }
 
 
-def as_of_literal() -> _dt.date:
-    return C.AS_OF
-
-
 __all__ = ["QUERIES", "BUCKET"]
