@@ -32,11 +32,15 @@ def _keys_asc(keys: Sequence[str]) -> list[Column]:
     return [F.col(k).asc_nulls_last() for k in keys]
 
 
-def _top(df: DataFrame, first: Column, keys: Sequence[str], k: int | None) -> DataFrame:
+def order_top(df: DataFrame, first: Column, keys: Sequence[str], k: int | None) -> DataFrame:
+    """``ORDER BY first, keys… [LIMIT k]`` — keys break ties deterministically."""
     ordered = df.orderBy(first, *_keys_asc(keys))
     return ordered.limit(k) if k else ordered
 
 
+_top = order_top
+
+
 # -- gold (KPI cube) drill-downs ------------------------------------------------
 
 def drill_version(kpi_in_window: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from paylens.config import DIMS, PASS_ACCURACY
 from paylens.functions.expr import is_fail, ratio, round_half_up
-from paylens.operators.drill import ERROR_KEYS, error_counts_now_vs_prev, segment_fail_rate
+from paylens.operators.drill import ERROR_KEYS, error_counts_now_vs_prev
 from paylens.operators.topk import number_rows
 
 UNKNOWN = "unknown"
@@ -42,30 +42,41 @@ def root_cause_label(platform: Column, version: Column, region: Column, provider
     return F.format_string(LABEL_FORMAT, platform, version, region, provider, error)
 
 
-def _first_per(df: DataFrame, part: str, order: list[Column]) -> DataFrame:
-    w = Window.partitionBy(part).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
-
-
 def attribution(incidents_df: DataFrame, payments_in_incidents: DataFrame) -> DataFrame:
     """Per incident: the segment with the highest fail rate and the most
     frequent error code inside its window; ``'unknown'`` when the window is
     empty.  ``payments_in_incidents`` carries ``incident_id``.
+
+    One scan, one aggregation: GROUPING SETS ((incident, segment dims),
+    (incident, error_code)) computes both candidate lists; one window
+    partitioned by (incident, set) keeps the top row of each (planned as a
+    per-partition group limit before the shuffle); one fold per incident
+    puts the two winners side by side.  Ties: segment dims / error code
+    ascending.
     """
-    seg = segment_fail_rate(payments_in_incidents, k=None, keep=["incident_id"])
-    seg_top = _first_per(
-        seg, "incident_id", [F.col("fail_rate").desc_nulls_last(), *[F.col(d).asc_nulls_last() for d in DIMS]]
-    ).select(
-        "incident_id",
-        *[F.col(d).alias(n) for d, n in zip(DIMS, DETECTED[:4])],
+    p, v, r, pr = DIMS
+    g = payments_in_incidents.groupingSets(
+        [["incident_id", p, v, r, pr], ["incident_id", "error_code"]],
+        "incident_id", p, v, r, pr, "error_code",
+    ).agg(
+        F.grouping(p).alias("_by_code"),  # 1 on the (incident, error_code) set
+        F.count_if(is_fail()).alias("fails"),
+        F.count(F.lit(1)).alias("attempts"),
+    )
+    by_code = F.col("_by_code") == 1
+    # the error-code list only counts failing rows (WHERE status = 'fail')
+    g = g.where(~by_code | (F.col("fails") > 0))
+    score = F.when(by_code, F.col("fails").cast("double")).otherwise(
+        round_half_up(ratio("fails", "attempts"), 4))
+    w = Window.partitionBy("incident_id", "_by_code").orderBy(
+        score.desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in (p, v, r, pr, "error_code")])
+    top = g.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
+    seg = ~by_code
+    winners = top.groupBy("incident_id").agg(
+        *[F.max(F.when(seg, F.col(d))).alias(n) for d, n in zip(DIMS, DETECTED[:4])],
+        F.max(F.when(by_code, F.col("error_code"))).alias("detected_error"),
     )
-    err = payments_in_incidents.where(is_fail()).groupBy("incident_id", "error_code").agg(
-        F.count(F.lit(1)).alias("cnt"))
-    err_top = _first_per(
-        err, "incident_id", [F.col("cnt").desc(), F.col("error_code").asc_nulls_last()]
-    ).select("incident_id", F.col("error_code").alias("detected_error"))
-    ids = incidents_df.select("incident_id")
-    j = ids.join(seg_top, "incident_id", "left").join(err_top, "incident_id", "left")
+    j = incidents_df.select("incident_id").join(winners, "incident_id", "left")
     return j.select("incident_id", *[F.coalesce(F.col(d), F.lit(UNKNOWN)).alias(d) for d in DETECTED])
 
 

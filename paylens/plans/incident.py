@@ -184,18 +184,42 @@ class IncidentAnalysis:
         return R.root_cause_rank(self.tagged_payments, k)
 
     def evidence_sections(self):
+        """The five evidence tables, built from two shared aggregations.
+
+        The three drill levels come from ONE grouping-sets pass over the
+        window's cube rows, and the now / previous-day error tables from ONE
+        conditional aggregate over a single scan tagged by window — five
+        sections, two shuffles of input data.
+        """
         neg = lambda c: -F.col(c)  # noqa: E731  DESC on a numeric key
         asc = lambda *cs: [F.col(c) for c in cs]
         ek = ("platform", "app_version", "region", "provider", "error_code")
+        levels = D.drill_all(self.kpi_in_window)
+        lvl = lambda n: levels.where(F.col("drill_level") == n)
+        version = D.order_top(
+            lvl(2).select("platform", "app_version", "attempts", "success", "fails", "success_rate", "revenue"),
+            F.col("success_rate").asc_nulls_last(), ["platform", "app_version"], None)
+        region = D.order_top(
+            lvl(3).select("platform", "app_version", "region", "attempts", "success", "fails", "success_rate"),
+            F.col("success_rate").asc_nulls_last(), ["platform", "app_version", "region"], C.TOPK_REGION)
+        provider = D.order_top(
+            lvl(4).select("platform", "app_version", "region", "provider", "attempts", "fails", "fail_rate"),
+            F.col("fail_rate").desc_nulls_last(), list(ek[:4]), C.TOPK_PROVIDER)
+        counts = D.error_counts_now_vs_prev(self.tagged_payments)
+        now = D.order_top(counts.where(F.col("error_count") > 0).select(*ek, "error_count"),
+                          F.col("error_count").desc(), list(ek), C.TOPK_ERRORS)
+        prev = D.order_top(counts.where(F.col("prev_error_count") > 0)
+                           .select(*ek, F.col("prev_error_count").alias("error_count")),
+                           F.col("error_count").desc(), list(ek), C.TOPK_ERRORS)
         return [
-            (E.SECTION_TITLES[0], self.drill_version(), [F.col("success_rate"), *asc("platform", "app_version")],
+            (E.SECTION_TITLES[0], version, [F.col("success_rate"), *asc("platform", "app_version")],
              {"success_rate": 4, "revenue": 2}),
-            (E.SECTION_TITLES[1], self.drill_region(), [F.col("success_rate"), *asc("platform", "app_version", "region")],
+            (E.SECTION_TITLES[1], region, [F.col("success_rate"), *asc("platform", "app_version", "region")],
              {"success_rate": 4}),
-            (E.SECTION_TITLES[2], self.drill_provider(),
+            (E.SECTION_TITLES[2], provider,
              [neg("fail_rate"), *asc("platform", "app_version", "region", "provider")], {"fail_rate": 4}),
-            (E.SECTION_TITLES[3], self.top_errors(), [neg("error_count"), *asc(*ek)], {}),
-            (E.SECTION_TITLES[4], self.top_errors_prev_day(), [neg("error_count"), *asc(*ek)], {}),
+            (E.SECTION_TITLES[3], now, [neg("error_count"), *asc(*ek)], {}),
+            (E.SECTION_TITLES[4], prev, [neg("error_count"), *asc(*ek)], {}),
         ]
 
     def evidence_text(self) -> DataFrame:
