@@ -37,7 +37,12 @@ class IncidentAnalysis:
     def __init__(self, payments: DataFrame, as_of: _dt.date = C.AS_OF, minutes: int = C.BUCKET_MINUTES,
                  game_events: DataFrame | None = None, kpi_df: DataFrame | None = None,
                  anomaly_df: DataFrame | None = None, baseline_form: str = "window",
-                 baseline_mode: str = "other_days"):
+                 baseline_mode: str = "other_days", series_from_cube: bool = False):
+        """``series_from_cube``: roll the overall series up from the KPI cube
+        (share one scan and aggregation with cube-based outputs such as the
+        drill-downs) instead of aggregating payments straight to buckets (one
+        shuffle fewer for payment-only outputs).  Same values either way."""
+        self.series_from_cube = series_from_cube
         self.payments = payments
         self.as_of = as_of
         self.minutes = minutes
@@ -59,6 +64,8 @@ class IncidentAnalysis:
         # outputs that never touch the segment cube).
         if self._kpi is not None:
             return overall(self._kpi.drop("dt") if "dt" in self._kpi.columns else self._kpi)
+        if self.series_from_cube:
+            return overall(self.kpi)
         return overall_from_payments(self.payments, self.minutes)
 
     @cached_property
@@ -89,7 +96,7 @@ class IncidentAnalysis:
         form = A.baselines_window if self.baseline_form == "window" else A.baselines
         anomaly_c = A.anomaly(form(overall(kpi_c), self.baseline_mode, self.minutes)).checkpoint(eager=True)
         return IncidentAnalysis(self.payments, self.as_of, self.minutes, self._game_events, kpi_c, anomaly_c,
-                                self.baseline_form, self.baseline_mode)
+                                self.baseline_form, self.baseline_mode, True)
 
     # -- the day's window -------------------------------------------------------------
     @cached_property

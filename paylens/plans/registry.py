@@ -164,14 +164,14 @@ QUERIES: dict[str, Query] = {
     "anomaly_windows": lambda s, d: _ia(s, d).windows_by_metric,
     "anomaly_bounds": lambda s, d: _ia(s, d).bounds,
     # drill-downs in the window
-    "drill_version": lambda s, d: _ia(s, d).drill_version(),
-    "drill_region": lambda s, d: _ia(s, d).drill_region(),
-    "drill_provider": lambda s, d: _ia(s, d).drill_provider(),
-    "drill_all": lambda s, d: _ia(s, d).drill_all(),
+    "drill_version": lambda s, d: _ia(s, d, series_from_cube=True).drill_version(),
+    "drill_region": lambda s, d: _ia(s, d, series_from_cube=True).drill_region(),
+    "drill_provider": lambda s, d: _ia(s, d, series_from_cube=True).drill_provider(),
+    "drill_all": lambda s, d: _ia(s, d, series_from_cube=True).drill_all(),
     "top_errors": lambda s, d: _ia(s, d).top_errors(),
     "top_errors_prev_day": lambda s, d: _ia(s, d).top_errors_prev_day(),
     "error_delta": lambda s, d: _ia(s, d).error_delta(),
-    "segment_vs_rest": lambda s, d: _ia(s, d).segment_vs_rest(),
+    "segment_vs_rest": lambda s, d: _ia(s, d, series_from_cube=True).segment_vs_rest(),
     "error_distribution": lambda s, d: _ia(s, d).error_distribution(),
     "segment_fail_rate": lambda s, d: _ia(s, d).segment_fail_rate(),
     "errors_by_provider": lambda s, d: _ia(s, d).errors_by_provider(),
@@ -188,8 +188,8 @@ QUERIES: dict[str, Query] = {
     "root_cause_label": _root_cause_label,
     "root_cause_rank": lambda s, d: _ia(s, d).root_cause_rank(),
     # text and payloads
-    "evidence_text": lambda s, d: _ia(s, d).evidence_text(),
-    "evidence_bundle": lambda s, d: _ia(s, d).evidence_bundle(),
+    "evidence_text": lambda s, d: _ia(s, d, series_from_cube=True).evidence_text(),
+    "evidence_bundle": lambda s, d: _ia(s, d, series_from_cube=True).evidence_bundle(),
     "evidence_lines": lambda s, d: _ia(s, d).evidence_lines(),
     "alert_payload": _alert_payload,
     "parse_answer": _parse_answer,
