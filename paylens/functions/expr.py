@@ -55,12 +55,19 @@ def ntz(value: str | _dt.datetime | _dt.date) -> Column:
 
 
 def bucket_start(ts: Column | str, minutes: int) -> Column:
-    """Floor of ``ts`` to a ``minutes``-wide bucket (tumbling window start).
+    """Floor of ``ts`` to a ``minutes``-wide bucket.
 
-    On TIMESTAMP_NTZ input the result stays TIMESTAMP_NTZ, so no session
-    time zone enters the bucketing.
+    For widths that divide a day: midnight of the row's date plus the floored
+    minute of day — plain arithmetic on TIMESTAMP_NTZ (no session time zone),
+    and a NULL timestamp gives a NULL bucket (its own group, as in SQL) rather
+    than being filtered out.  Other widths use a tumbling window start.
     """
-    return F.window(_col(ts), f"{int(minutes)} minutes").start
+    m = int(minutes)
+    t = _col(ts)
+    if 1440 % m:
+        return F.window(t, f"{m} minutes").start
+    minute_of_day = F.floor((F.hour(t) * 60 + F.minute(t)) / F.lit(m)).cast("int") * F.lit(m)
+    return F.to_date(t).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), minute_of_day)
 
 
 def tod_slot(bucket: Column | str, minutes: int) -> Column:

@@ -146,3 +146,12 @@ def test_invariants_on_fixture(spark):
     an = _anomaly(_pay(spark, "/root/testdata/sf0.01"))
     assert an.where(F.col("is_anomaly") & (F.col("z_score") > -3)).count() == 0
     assert an.where(~F.col("is_anomaly") & (F.col("z_score") < -3.005)).count() == 0
+
+
+def test_null_timestamp_is_its_own_bucket_and_vanishes_in_anomaly(make_payments):
+    rows = [pay_row(1, "2024-01-01 10:00:00"), pay_row(2, "2024-01-02 10:00:00")]
+    rows.append((3, None, "u_000003", 1.0, "USD", "Stripe", "success", None, "iOS", "1.2.7", "ASIA", "iPhone14"))
+    p = make_payments(rows)
+    k = kpi(p).collect()
+    assert sorted(r.bucket_5m is None for r in k) == [False, False, True]
+    assert all(r.bucket_5m is not None for r in _anomaly(p).collect())
