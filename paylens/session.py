@@ -62,8 +62,11 @@ def shared_dir(spark: SparkSession) -> str:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="paylens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        spark.sparkContext.setCheckpointDir(d)
+        try:  # core confs may be read-only at runtime; the context setting is what counts
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001
+            pass
     return d.rstrip("/")
 
 
