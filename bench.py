@@ -4,9 +4,10 @@
 
 Runs each headline query end to end (reading the driver's parquet tables)
 with a ``noop`` sink — the full plan executes, nothing is collected — and
-prints ONE JSON line: total seconds plus per-query seconds.  A small query
-set runs first on the sf0.001 tables, untimed, to load classes and warm
-the JIT.  ``incident_report``
+prints ONE JSON line: total seconds plus per-query seconds.  Every headline
+query first runs once on the sf0.001 tables, untimed, to load classes, warm
+the JIT and compile each plan shape's generated code; the timed runs read
+the benchmark scale factor.  ``incident_report``
 is the reference's whole flow on one day: materialise the gold tables, then
 produce every evidence output of the day from them.
 """
@@ -60,9 +61,10 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus,
                           extra={"spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
-    # JVM warm-up on the smallest fixture (class loading, JIT), untimed.
+    # JVM warm-up on the smallest fixture (class loading, JIT, generated-code
+    # compilation for each query shape), untimed; timed runs use other data.
     warm = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")
-    for name in ("anomaly", "drill_provider", "user_impact"):
+    for name in HEADLINE:
         _run(QUERIES[name](spark, warm))
 
     times: dict[str, float] = {}
