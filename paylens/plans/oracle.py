@@ -374,6 +374,7 @@ def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {
         "silver_payments": build("SELECT * FROM silver_payments", ["silver_payments"]),
         "silver_game_events": build("SELECT * FROM silver_game_events", ["silver_game_events"]),
+        "silver_payments_bucketed": build("SELECT * FROM silver_payments", ["silver_payments"]),
         "table_counts": build(
             "SELECT 'silver_game_events' AS table_name, CAST(COUNT(*) AS BIGINT) AS row_count FROM silver_game_events "
             "UNION ALL SELECT 'silver_payments', CAST(COUNT(*) AS BIGINT) FROM silver_payments",

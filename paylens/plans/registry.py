@@ -22,6 +22,7 @@ from paylens.plans.gold import refresh_gold
 from paylens.plans.incident import IncidentAnalysis, incident_attribution
 from paylens.session import unique_shared_path
 from paylens.sources import fixtures as X
+from paylens.sources.bucketed import silver_payments_bucketed
 from paylens.sources.sinks import append_table, overwrite_table, read_written
 from paylens.sources.tables import read_table
 from paylens.streaming.gold_stream import run_gold_stream
@@ -140,6 +141,7 @@ QUERIES: dict[str, Query] = {
     # sources
     "silver_payments": _pay,
     "silver_game_events": lambda s, d: X.game_events_from_payments(_pay(s, d)),
+    "silver_payments_bucketed": lambda s, d: silver_payments_bucketed(s, d),
     "table_counts": _table_counts,
     "validate_segment_status": lambda s, d: validate_segment_status(_pay(s, d), C.AS_OF, C.FOCUS_SEGMENT),
     "validate_hourly_success": lambda s, d: validate_hourly_success(_pay(s, d), C.AS_OF),

@@ -75,10 +75,18 @@ def events_with_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     and region tables as map-side broadcast joins.  The three broadcasts are
     independent, so they are built concurrently rather than in a chain.
     """
-    e = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
-    customer = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"])
-    nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"])
-    region = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
+    return join_regions(
+        read_table(spark, sf_dir, "events"), read_table(spark, sf_dir, "customer"),
+        read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "region"))
+
+
+def join_regions(events: DataFrame, customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
+    """The join of :func:`events_with_region` over any four DataFrames (e.g.
+    tables bucketed by the user key, see :mod:`paylens.sources.bucketed`)."""
+    e = events.select("event_id", "ts", "user_id", "event_type", "value", "props")
+    customer = customer.select("c_custkey", "c_nationkey")
+    nation = nation.select("n_nationkey", "n_regionkey")
+    region = region.select("r_regionkey", "r_name")
     return (
         e.join(customer, e.user_id == customer.c_custkey)
         .join(F.broadcast(nation), F.col("c_nationkey") == nation.n_nationkey)

@@ -68,7 +68,8 @@ def test_stream_equals_batch_on_closed_buckets(spark):
 
 @pytest.mark.parametrize("key", sorted(E.queries()))
 def test_no_cartesian_or_nested_loop(spark, key):
-    if key in {"refresh_gold", "sink_overwrite", "sink_append", "kpi_5m_stream", "gold_stream"}:
+    if key in {"refresh_gold", "sink_overwrite", "sink_append", "kpi_5m_stream", "gold_stream",
+               "silver_payments_bucketed"}:
         pytest.skip("writes; plan is a scan of the written table")
     plan = _plan(E.queries()[key](spark, SF001))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
@@ -140,3 +141,16 @@ def test_gold_stream_incremental_batches_equal_batch(spark):
     batches = sorted(r.batch for r in spark.read.parquet(f"{base}/silver").select("batch").distinct().collect())
     assert batches == [0, 1]
     assert sorted(out.collect()) == sorted(QUERIES["anomaly"](spark, SF001).collect())
+
+
+def test_bucketed_join_needs_no_exchange(spark):
+    from paylens.sources.bucketed import silver_payments_bucketed
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # force the sort-merge path
+    try:
+        df = silver_payments_bucketed(spark, SF001, 4)
+        tree = _plan(df).split("\n\n")[0]
+        assert "SortMergeJoin" in tree and "Exchange" not in tree.replace("BroadcastExchange", "")
+        assert sorted(df.collect()) == sorted(_pay(spark, SF001).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
