@@ -368,6 +368,60 @@ def _drill_lines() -> str:
         FROM ({errs})"""
 
 
+NL = "chr(10)"
+HR = "json_object('tag', 'hr')"
+
+
+def _card(title: str, template: str, elements: list[str]) -> str:
+    return ("CAST(json_object('msg_type', 'interactive', 'card', json_object("
+            "'config', json_object('wide_screen_mode', true), "
+            f"'header', json_object('title', json_object('content', {title}, 'tag', 'plain_text'), 'template', {template}), "
+            f"'elements', [{', '.join(elements)}])) AS VARCHAR)")
+
+
+def _div(content: str) -> str:
+    return f"json_object('tag', 'div', 'text', json_object('tag', 'lark_md', 'content', {content}))"
+
+
+def _note(text: str) -> str:
+    return f"json_object('tag', 'note', 'elements', [json_object('tag', 'plain_text', 'content', {text})])"
+
+
+def _alert_payload() -> str:
+    first = (f"CASE WHEN revenue_loss_usd IS NOT NULL THEN '**Anomaly Window**: ' || CAST(anomaly_start AS VARCHAR) "
+             f"|| ' → ' || CAST(anomaly_end AS VARCHAR) || {NL} || '**Metric**: Payment Success Rate' || {NL} "
+             f"|| '**Avg Z-Score**: ' || CAST(avg_z_score AS VARCHAR) || {NL} || '**Estimated Revenue Loss**: $' "
+             f"|| format('{{:,.2f}}', revenue_loss_usd) ELSE 'N/A' END")
+    second = (f"'**Impact Summary**' || {NL} || '• Affected Users: ' || format('{{:,}}', affected_users) || ' (' "
+              f"|| CAST(dau_pct AS VARCHAR) || '% of DAU)' || {NL} || '• Anomaly Buckets: ' "
+              f"|| CAST(anomaly_buckets AS VARCHAR) || ' (x5min intervals)' || {NL} || '• Status: 🔴 Active'")
+    alert = (f"SELECT 'anomaly_alert' AS kind, CAST(NULL AS INTEGER) AS incident_id, "
+             f"{_card(chr(39) + '🚨 Alert: Payment Anomaly Detected' + chr(39), chr(39) + 'red' + chr(39), [_div(first), HR, _div(second)])} AS payload "
+             "FROM impact_summary WHERE anomaly_start IS NOT NULL")
+    seg = (f"'**Top Error Segments During Incident**' || {NL} || (SELECT COALESCE(string_agg(line, {NL} ORDER BY line_no), '') "
+           "FROM alert_lines WHERE kind = 'segment_error')")
+    logs = (f"'**Sample Error Logs (iOS 1.2.7)**' || {NL} || (SELECT COALESCE(string_agg(line, {NL} ORDER BY line_no), '') "
+            "FROM alert_lines WHERE kind = 'sample_log')")
+    note = "'Showing top 5 segments | Window: ' || CAST(astart AS VARCHAR) || ' → ' || CAST(aend AS VARCHAR)"
+    drill = (f"SELECT 'drilldown', CAST(NULL AS INTEGER), "
+             f"{_card(chr(39) + '🔬 Root Cause Drill-Down' + chr(39), chr(39) + 'yellow' + chr(39), [_div(seg), HR, _div(logs), HR, _note(note)])} "
+             "FROM bounds WHERE astart IS NOT NULL AND aend IS NOT NULL")
+    rel_text = (f"'**Platform**: ' || platform || {NL} || '**Region**: ' || region || {NL} || '**Incident**: ' "
+                f"|| strftime(incident_start, '%H:%M') || ' → ' || strftime(incident_end, '%H:%M') || {NL} "
+                "|| '**Status**: 🔴 Anomaly Detected'")
+    release = (f"SELECT 'release', incident_id, "
+               f"{_card(chr(39) + '🚀 New Version Released: ' + chr(39) + ' || app_version', chr(39) + 'red' + chr(39), [_div(rel_text)])} "
+               "FROM incidents")
+    order = ("CASE field WHEN 'Platform' THEN 1 WHEN 'App Version' THEN 2 WHEN 'Region' THEN 3 "
+             "WHEN 'Provider' THEN 4 ELSE 5 END")
+    acc = (f"SELECT 'accuracy_report', incident_id, "
+           f"{_card(chr(39) + '📊 Accuracy Report: ' + chr(39) + ' || CAST(accuracy AS VARCHAR) || ' + chr(39) + '%' + chr(39), 'CASE WHEN accuracy >= 80 THEN ' + chr(39) + 'green' + chr(39) + ' ELSE ' + chr(39) + 'red' + chr(39) + ' END', [_div('comp_text')])} "
+           "FROM (SELECT incident_id, CAST(round(SUM(CASE WHEN match THEN 1 ELSE 0 END) * 100.0 / COUNT(*)) AS INTEGER) AS accuracy, "
+           f"string_agg(CASE WHEN match THEN '✅' ELSE '❌' END || ' ' || field || ': GT=' || COALESCE(ground_truth, 'None') "
+           f"|| ' vs AI=' || ai_detected, {NL} ORDER BY {order}) AS comp_text FROM fields GROUP BY incident_id)")
+    return "\nUNION ALL\n".join([alert, drill, release, acc])
+
+
 def oracle_sql() -> dict[str, str]:
     a = "anomaly"
     day = f"CAST(bucket_5m AS DATE) = {AS_OF}"
@@ -513,6 +567,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT CAST(SUM(n_rows) AS BIGINT) AS n_rows, string_agg('## Evidence: ' || title || chr(10) || text, "
             "chr(10) || chr(10) ORDER BY section) AS evidence FROM evidence", ["evidence"]),
         "evidence_lines": build(_drill_lines(), ["pay_win"]),
+        "alert_payload": build(_alert_payload(), ["impact_summary", "bounds", "alert_lines", "incidents", "fields"]),
         "parse_answer": build(
             "SELECT c.conv_id, c.turn, CAST(length(c.text) AS INTEGER) AS answer_chars, "
             "CASE WHEN j <> '' THEN 'json' ELSE 'fallback' END AS source, "
@@ -543,6 +598,7 @@ def oracle_sql() -> dict[str, str]:
     return q
 
 
+CTES["alert_lines"] = (_drill_lines(), ["pay_win"])
 CTES["top_seg"] = (_topk_fail_rate("pay_win", 1), ["pay_win"])
 CTES["top_err"] = ("SELECT error_code FROM pay_win WHERE payment_status = 'fail' GROUP BY ALL "
                    "ORDER BY COUNT(*) DESC, error_code ASC NULLS LAST LIMIT 1", ["pay_win"])
