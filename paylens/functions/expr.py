@@ -57,17 +57,15 @@ def ntz(value: str | _dt.datetime | _dt.date) -> Column:
 def bucket_start(ts: Column | str, minutes: int) -> Column:
     """Floor of ``ts`` to a ``minutes``-wide bucket.
 
-    For widths that divide a day: midnight of the row's date plus the floored
-    minute of day — plain arithmetic on TIMESTAMP_NTZ (no session time zone),
-    and a NULL timestamp gives a NULL bucket (its own group, as in SQL) rather
-    than being filtered out.  Other widths use a tumbling window start.
+    Uses the tumbling-window start — plain long arithmetic on the NTZ value,
+    no session time zone, the cheapest floor per row.  ``window`` on its own
+    would drop rows whose timestamp is NULL (Spark adds an ``isnotnull``
+    filter); feeding it ``coalesce(ts, epoch)`` keeps every row, and a NULL
+    timestamp is mapped back to a NULL bucket — its own group, as in SQL.
     """
-    m = int(minutes)
     t = _col(ts)
-    if 1440 % m:
-        return F.window(t, f"{m} minutes").start
-    minute_of_day = F.floor((F.hour(t) * 60 + F.minute(t)) / F.lit(m)).cast("int") * F.lit(m)
-    return F.to_date(t).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), minute_of_day)
+    start = F.window(F.coalesce(t, ntz("1970-01-01 00:00:00")), f"{int(minutes)} minutes").start
+    return F.when(t.isNotNull(), start)
 
 
 def tod_slot(bucket: Column | str, minutes: int) -> Column:
