@@ -21,14 +21,15 @@ EXACT = "decimal(38,0)"
 
 
 def basis_points(rate: Column | str) -> Column:
-    """A rate rounded to four decimals as an exact integer (1.0 → 10000)."""
+    """A rate rounded to four decimals as an exact integer (1.0 → 10000);
+    the value is on the 1e-4 grid, so ``rint`` returns it exactly."""
     c = F.col(rate) if isinstance(rate, str) else rate
-    return F.round(c * F.lit(10000)).cast("bigint")
+    return F.rint(c * F.lit(10000)).cast("bigint")
 
 
 def to_units(c: Column, scale: int) -> Column:
     """Value with ``log10(scale)`` decimals as exact integer units."""
-    return F.round(c * F.lit(scale)).cast("bigint")
+    return F.rint(c * F.lit(scale)).cast("bigint")
 
 
 def exact_mean(n: Column, sx: Column, scale: int) -> Column:
