@@ -182,7 +182,10 @@ class IncidentAnalysis:
         return D.top_error_codes(self.payments_in_window)
 
     def user_impact(self) -> DataFrame:
-        return I.user_impact(self.payments_in_window, self.game_events, self.as_of)
+        # Derived game events repeat each payment's user three times, so the
+        # day's distinct users can be counted on the payments themselves.
+        active = self._game_events if self._game_events is not None else self.payments
+        return I.user_impact(self.payments_in_window, active, self.as_of)
 
     def impact_summary(self) -> DataFrame:
         return I.impact_summary(self.windows_by_metric, self.user_impact(), self.minutes)
