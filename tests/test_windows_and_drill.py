@@ -109,3 +109,25 @@ def test_insight_lines_enumerate(spark):
     got = {r.id: r for r in E.insight_lines(df, keep=["id"]).collect()}
     assert got[1].text == "• Root Cause #1: x\n• Root Cause #2: y" and got[1].n_insights == 2
     assert got[2].text == "" and got[2].n_insights == 0
+
+
+def test_hot_key_holding_a_third_of_rows(spark, make_payments):
+    """One user and one segment hold a third of all rows: counts stay exact and
+    the distinct count is pre-aggregated on (keys, user) before any shuffle."""
+    import contextlib
+    import io
+
+    rows = [pay_row(i, "2024-01-20 10:01:00", "fail", user="u_hot") for i in range(300)]
+    rows += [pay_row(1000 + i, "2024-01-20 10:02:00", "fail", region=["EUROPE", "ASIA", "AFRICA"][i % 3],
+                     user=f"u_{i:06d}") for i in range(600)]
+    p = make_payments(rows)
+    got = {(r.region, r.error_code): (r.error_count, r.affected_users) for r in D.error_drill_users(p, k=10).collect()}
+    assert got[("ASIA", "TOKEN_EXPIRED")] == (500, 201)
+    assert got[("EUROPE", "TOKEN_EXPIRED")] == (200, 200)
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        D.error_drill_users(p, k=10).explain()
+    plan = buf.getvalue()
+    # the first aggregate over the scan groups by the segment keys AND user_id
+    first_agg = [ln for ln in plan.splitlines() if "HashAggregate(keys=" in ln][-1]
+    assert "user_id" in first_agg and "region" in first_agg
