@@ -7,6 +7,10 @@ dimension, and are aggregated into event-time windows with a watermark, so the
 state of a bucket is dropped once no more late rows can reach it and each
 bucket is appended to the sink exactly once when it closes.
 
+Late rows: Spark drops input older than the watermark of the *previous*
+micro-batch; rows arriving in the batch that first moves the watermark past
+their bucket still count (tested in ``tests/test_sinks_stream_plans.py``).
+
 ``withWatermark`` needs a TIMESTAMP (instant) column; the fixture's
 TIMESTAMP_NTZ wall clock is mapped to the instant of that wall clock in UTC
 with ``make_timestamp(..., 'UTC')`` — independent of the session time zone —
@@ -58,14 +62,17 @@ def kpi_stream(events_stream: DataFrame, regions: DataFrame, minutes: int = BUCK
 
 def run_kpi_stream(spark: SparkSession, events_dir: str, events_glob: str, regions: DataFrame,
                    out_path: str, checkpoint_path: str, minutes: int = BUCKET_MINUTES,
-                   watermark: str = "10 minutes") -> None:
+                   watermark: str = "10 minutes", max_files_per_trigger: int | None = None) -> None:
     """Process everything available now into a parquet sink, then stop.
 
     The checkpoint (offsets + aggregation state) lives in the shared folder, so
     a restarted query resumes where it stopped instead of re-reading history.
     """
     schema = spark.read.parquet(f"{events_dir.rstrip('/')}/{events_glob}").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", events_glob).parquet(events_dir)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", events_glob)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    stream = reader.parquet(events_dir)
     q = (
         kpi_stream(stream, regions, minutes, watermark)
         .writeStream.outputMode("append")

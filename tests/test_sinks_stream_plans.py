@@ -154,3 +154,37 @@ def test_bucketed_join_needs_no_exchange(spark):
         assert sorted(df.collect()) == sorted(_pay(spark, SF001).collect())
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_stream_drops_rows_behind_the_watermark(spark):
+    """Rows older than the watermark are dropped once it has advanced.
+
+    Spark filters late input with the watermark of the *previous* micro-batch
+    (eviction uses the current one), so the late copy arrives in a third batch:
+    1 = the whole table, 2 = the latest row again (it only touches a bucket
+    that is still open), 3 = the first two days re-delivered late.
+    """
+    import datetime as dt
+    import glob
+    import os
+    import shutil
+    import time
+    from paylens.sources.fixtures import customer_regions
+    from paylens.streaming.kpi_stream import run_kpi_stream
+    base = unique_shared_path(spark, "t_late")
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    ev.coalesce(1).write.parquet(f"{base}/in1")
+    ev.orderBy(F.col("ts").desc()).limit(1).coalesce(1).write.parquet(f"{base}/in2")
+    ev.where(F.col("ts") < F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{base}/in3")
+    os.makedirs(f"{base}/events")
+    for i in (1, 2, 3):
+        shutil.copy(glob.glob(f"{base}/in{i}/part-*.parquet")[0], f"{base}/events/events_{i}.parquet")
+        time.sleep(1.1)
+    run_kpi_stream(spark, f"{base}/events", "events_*.parquet", customer_regions(spark, SF001),
+                   f"{base}/out", f"{base}/ck", max_files_per_trigger=1)
+    out = spark.read.parquet(f"{base}/out")
+    mx = ev.agg(F.max("ts")).collect()[0][0]
+    closed = kpi(_pay(spark, SF001)).where(
+        F.col("bucket_5m") + F.expr("INTERVAL 5 MINUTES") <= F.lit(mx - dt.timedelta(minutes=10)))
+    # every closed bucket emitted once, unchanged by the late copies
+    assert sorted(out.collect()) == sorted(closed.collect())
