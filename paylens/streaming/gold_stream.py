@@ -42,14 +42,19 @@ def run_gold_stream(spark: SparkSession, events_dir: str, events_glob: str, regi
     state = {"gold": False}
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        _append_batch(batch, silver_path, batch_id)
-        silver = spark.read.parquet(silver_path).drop("batch")
-        if not state["gold"] and not _exists(spark, f"{gold_path}/gold_kpi_5m"):
-            refresh_gold(spark, silver, location=gold_path)
-        else:
-            touched = batch.select(F.to_date("event_ts").alias("dt"))
-            refresh_gold(spark, silver, location=gold_path, days=touched)
-        state["gold"] = True
+        # used twice (append, touched days): keep it for this batch only
+        batch = batch.persist()
+        try:
+            _append_batch(batch, silver_path, batch_id)
+            silver = spark.read.parquet(silver_path).drop("batch")
+            if not state["gold"] and not _exists(spark, f"{gold_path}/gold_kpi_5m"):
+                refresh_gold(spark, silver, location=gold_path)
+            else:
+                touched = batch.select(F.to_date("event_ts").alias("dt"))
+                refresh_gold(spark, silver, location=gold_path, days=touched)
+            state["gold"] = True
+        finally:
+            batch.unpersist()
 
     q = (
         payments_from_events(stream, regions)
