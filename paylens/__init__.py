@@ -5,14 +5,18 @@ lazy DataFrame; nothing is collected inside the library.  The building
 blocks:
 
 * ``paylens.sources``   — fixture adapter (driver tables → silver tables),
-  table readers, sinks.
+  table readers, typed ingest of text records, co-bucketed tables,
+  day-partitioned sinks.
 * ``paylens.functions`` — column-expression helpers (bucketing, tie-safe
   rounding, exact money and variance arithmetic).
-* ``paylens.operators`` — KPI cube, anomaly detection, drill-downs, impact,
-  root-cause ranking, evidence text and alert payloads.
-* ``paylens.plans``     — composed end-to-end plans (gold refresh, incident
-  analysis) and the query registry used by ``__spark_entry__``.
-* ``paylens.streaming`` — Structured Streaming twin of the KPI cube.
+* ``paylens.operators`` — KPI cube, anomaly detection, window restriction,
+  drill-downs, impact, root-cause attribution / ranking, top-k numbering,
+  evidence text and alert payloads.
+* ``paylens.plans``     — composed plans (the day's incident analysis, full
+  and incremental gold refresh), the query registry used by
+  ``__spark_entry__`` and the DuckDB oracle SQL.
+* ``paylens.streaming`` — Structured Streaming KPI cube and continuous gold
+  maintenance.
 """
 
 from paylens.config import AS_OF, BUCKET_MINUTES, DIMS, Z_THRESHOLD, AVG_PURCHASE_VALUE  # noqa: F401
