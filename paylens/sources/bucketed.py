@@ -2,12 +2,18 @@
 
 Run from the raw files, ``events ⋈ customer`` (when customer is too big to
 broadcast) shuffles every event by ``user_id``.  Written once as tables
-bucketed — and sorted — by the join key with the same bucket count, the
+bucketed — and sorted — by the join keys with the same bucket count, the
 sort-merge join reads matching buckets side by side: no exchange on either
-side, and no sort.  The tables are external tables whose files live in the
-cluster-shared folder; a hot user is still one bucket, which AQE cannot split
-without a shuffle, so pick a bucket count that keeps the largest bucket within
-a task (the hot key's rows / task size).
+side.  The tables are external tables whose files live in the cluster-shared
+folder.
+
+Hot users: a bucketed join cannot be split by AQE, so a user holding a third
+of all events would be one bucket.  The key is salted: events carry
+``salt = pmod(xxhash64(event_id), S)`` and each customer row is replicated
+once per salt value; both sides are bucketed by (``user_id``, ``salt``), so a
+hot user's events spread over S buckets while every event still meets its
+customer row.  The customer side grows S-fold, which is small next to the
+events.
 """
 
 from __future__ import annotations
@@ -15,32 +21,44 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paylens.session import unique_shared_path
-from paylens.sources.fixtures import join_regions, payments_from_events
+from paylens.sources.fixtures import payments_from_events
 from paylens.sources.tables import read_table
 
+KEYS = ["user_id", "salt"]
+
 
-def write_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str) -> DataFrame:
-    """``CREATE TABLE name USING parquet CLUSTERED BY (key) SORTED BY (key) INTO n BUCKETS``."""
-    (df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+def write_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int, path: str) -> DataFrame:
+    """``CREATE TABLE name USING parquet CLUSTERED BY (keys) SORTED BY (keys) INTO n BUCKETS``."""
+    (df.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
      .option("path", path).saveAsTable(name))
     return df.sparkSession.table(name)
 
 
-def bucketed_sources(spark: SparkSession, sf_dir: str, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Events and customers written once as co-bucketed tables; returns both."""
+def bucketed_sources(spark: SparkSession, sf_dir: str, buckets: int = 64, salt: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Events and customers written once as co-bucketed, salted tables."""
     tag = uuid.uuid4().hex[:8]
     base = unique_shared_path(spark, "bucketed")
-    ev = write_bucketed(read_table(spark, sf_dir, "events"), f"paylens_events_{tag}", "user_id", buckets,
-                        f"{base}/events")
-    cu = write_bucketed(read_table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "user_id"),
-                        f"paylens_customer_{tag}", "user_id", buckets, f"{base}/customer")
-    return ev, cu.withColumnRenamed("user_id", "c_custkey")
+    ev = read_table(spark, sf_dir, "events").withColumn(
+        "salt", F.pmod(F.xxhash64("event_id"), F.lit(salt)).cast("int"))
+    cu = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"]).select(
+        F.col("c_custkey").alias("user_id"), "c_nationkey",
+        F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("salt"))
+    return (write_bucketed(ev, f"paylens_events_{tag}", KEYS, buckets, f"{base}/events"),
+            write_bucketed(cu, f"paylens_customer_{tag}", KEYS, buckets, f"{base}/customer"))
 
 
-def silver_payments_bucketed(spark: SparkSession, sf_dir: str, buckets: int = 64) -> DataFrame:
+def silver_payments_bucketed(spark: SparkSession, sf_dir: str, buckets: int = 64, salt: int = 8) -> DataFrame:
     """``silver_payments`` computed over the co-bucketed tables."""
-    ev, cu = bucketed_sources(spark, sf_dir, buckets)
-    return payments_from_events(join_regions(ev, cu, read_table(spark, sf_dir, "nation"),
-                                             read_table(spark, sf_dir, "region")))
+    ev, cu = bucketed_sources(spark, sf_dir, buckets, salt)
+    nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"])
+    region = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
+    joined = (
+        ev.join(cu, KEYS)  # equi-join on exactly the bucket columns: co-located
+        .join(F.broadcast(nation), F.col("c_nationkey") == nation.n_nationkey)
+        .join(F.broadcast(region), F.col("n_regionkey") == region.r_regionkey)
+        .select("event_id", "ts", "user_id", "event_type", "value", "props", "r_name")
+    )
+    return payments_from_events(joined)
