@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paylens.llm.common import table
 from paylens.llm.licenses import op2_license_scan
+from paylens.llm.mixing import op3_mix_sources
+from paylens.llm.near_dup import op10_near_dup
 from paylens.llm.secrets import op6_secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op2_license_scan": lambda s, d: op2_license_scan(table(s, d, "documents")),
+    "op3_mix_sources": lambda s, d: op3_mix_sources(table(s, d, "documents")),
     "op6_secret_scan": lambda s, d: op6_secret_scan(table(s, d, "documents")),
+    "op10_near_dup": lambda s, d: op10_near_dup(table(s, d, "documents")),
 }
 
 ORACLE_SQL: dict[str, str] = {}
