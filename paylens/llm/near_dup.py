@@ -40,38 +40,14 @@ from pyspark.sql import functions as F
 
 from paylens.llm.common import written
 from paylens.llm.components import components
+from paylens.llm.hashing import GOLD, WordHash, mixed
 
 BANDS, ROWS = 40, 5
 T = BANDS * ROWS
 MIN_AGREE = 0.6  # least share of equal coordinates of a pair worth comparing in full; 0.8 - 7 deviations
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """splitmix64 finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHash(dict):
-    """Word → 64-bit hash, remembering a bounded number of words."""
-
-    def __init__(self, bound: int = 500_000):
-        super().__init__()
-        self.bound = bound
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def shingle_set(text: str | None, width: int, hashes: WordHash) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the ``width``-word shingles (see the module text)."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
@@ -81,7 +57,7 @@ def shingle_set(text: str | None, width: int, hashes: WordHash) -> np.ndarray:
     n = max(1, len(h) - width + 1)
     out = np.full(n, len(h) if len(h) < width else width, np.uint64)
     for j in range(min(width, len(h))):
-        out = _mixed(out * _GOLD + h[j:j + n])
+        out = mixed(out * GOLD + h[j:j + n])
     return np.unique(out)
 
 
@@ -94,21 +70,21 @@ def sketch(elements: np.ndarray, t: int = T) -> np.ndarray:
         # as many rounds at once as usually fill the rest; later rounds never displace earlier ones
         r = min(t - i, max(1, int(t * 6 / n) if i == 0 else 2048 // n))
         rounds = np.arange(i, i + r, dtype=np.uint64)[:, None]
-        h = _mixed(elements[None, :] + _mixed((rounds + np.uint64(1)) * _GOLD))
+        h = mixed(elements[None, :] + mixed((rounds + np.uint64(1)) * GOLD))
         where = ((h >> np.uint64(32)) * np.uint64(t)) >> np.uint64(32)
         np.minimum.at(out, where.ravel().astype(np.int64), ((rounds << np.uint64(48)) | (h & low)).ravel())
         i += r
     for j in np.flatnonzero(out == empty):
-        seed = _mixed(np.array([t + j + 1], np.uint64) * _GOLD)
-        out[j] = (np.uint64(t + j) << np.uint64(48)) | (_mixed(elements + seed) & low).min()
+        seed = mixed(np.array([t + j + 1], np.uint64) * GOLD)
+        out[j] = (np.uint64(t + j) << np.uint64(48)) | (mixed(elements + seed) & low).min()
     return out
 
 
 def band_keys(coords: np.ndarray, bands: int, rows: int) -> np.ndarray:
     c = coords.reshape(bands, rows)
-    out = _mixed(np.arange(1, bands + 1, dtype=np.uint64) * _GOLD)
+    out = mixed(np.arange(1, bands + 1, dtype=np.uint64) * GOLD)
     for j in range(rows):
-        out = _mixed(out * _GOLD + c[:, j])
+        out = mixed(out * GOLD + c[:, j])
     return out.view(np.int64)
 
 
@@ -146,7 +122,7 @@ def shingle_sets(docs: DataFrame, width: int, coords: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHash()
         for b in batches:
-            out = [(i, s.view(np.int64), _mixed(sketch(s, coords)).astype(np.uint16).tobytes())
+            out = [(i, s.view(np.int64), mixed(sketch(s, coords)).astype(np.uint16).tobytes())
                    for i, t in zip(b["doc_id"], b["text"]) if len(s := shingle_set(t, width, hashes))]
             yield pd.DataFrame(out, columns=["node", "shingles", "coords"])
 

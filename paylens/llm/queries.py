@@ -11,6 +11,7 @@ from paylens.llm.licenses import op2_license_scan
 from paylens.llm.mixing import op3_mix_sources
 from paylens.llm.near_dup import op10_near_dup
 from paylens.llm.secrets import op6_secret_scan
+from paylens.llm.substring_dedup import op8_substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +19,7 @@ QUERIES: dict[str, Query] = {
     "op2_license_scan": lambda s, d: op2_license_scan(table(s, d, "documents")),
     "op3_mix_sources": lambda s, d: op3_mix_sources(table(s, d, "documents")),
     "op6_secret_scan": lambda s, d: op6_secret_scan(table(s, d, "documents")),
+    "op8_substring_dedup": lambda s, d: op8_substring_dedup(table(s, d, "documents")),
     "op10_near_dup": lambda s, d: op10_near_dup(table(s, d, "documents")),
 }
 
