@@ -176,7 +176,7 @@ def neighbours(rows, k=5, every=50):
 def contained(docs, items, n=5, percent=80):
     """(doc_id, item_id, shared, size) for items with at least ``percent`` of their shingles in a document."""
     def words(t):
-        return LICENSE_WORD.findall(lower(t))
+        return LICENSE_WORD.findall((t or "").lower())
 
     def grams(w):
         return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
