@@ -78,6 +78,8 @@ def top_k(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vecto
     approx = written(placed.select("id", "dim", "block", cells.alias("cell")), "cells")
     asked = queries.withColumn("qblock", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int")).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumnRenamed("id", "query_id")
+    # columns of its own: queries and vectors are rows of one table
+    asked = asked.select(*[F.col(c).alias(c) for c in ("query_id", "v", "dim", "block", "qblock")])
     every = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
     key = ["block", "qblock", "dim"]
 
