@@ -1,15 +1,71 @@
-"""Corpus pipeline: stages over ``documents``, each written and reread."""
+"""Corpus pipeline over ``documents``: five stages, each written and reread.
+
+1. ``quality``      — documents that the ordinal classifier does not give the top
+   grade go;
+2. ``near_dup``     — one document of each class of near duplicates stays (five-word
+   shingles, similarity 0.8);
+3. ``decontaminate`` — documents that contain a benchmark item go;
+4. ``pii``          — personal data is replaced by its kind;
+5. ``mix``          — the remaining words are mixed to the sources' target weights, one
+   row per drawn block.
+
+The first four return the columns of ``documents`` (extra ones included); rows
+without ``doc_id`` pass the second stage, as nothing can tell them apart.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paylens.llm.common import table, written
+from paylens.llm.decontaminate import contained_items
+from paylens.llm.mixing import mix
+from paylens.llm.near_dup import near_duplicates
+from paylens.llm.pii import pii_spans, redacted
+from paylens.llm.quality import accepted
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = near_duplicates(docs, width=5, percent=80).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = written(gone, "near-dup-gone")  # with a known size, the planner picks the join
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = contained_items(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    leaks = written(found.select(F.col("row").alias("_leak")).distinct(), "leaks")
+    return docs.join(leaks, F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == leaks["_leak"], "left_anti")
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = pii_spans(docs, out="_pii_spans")
+    text = F.when(F.col("text").isNotNull(), redacted(F.col("text"), F.col("_pii_spans")))
+    new = found.withColumn("text", text).drop("_pii_spans")
+    if "n_chars" in docs.columns:
+        new = new.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return new.select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix(docs.select("doc_id", "source", "text"))
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("near_dup", near_dup),
+    ("decontaminate", decontaminate),
+    ("pii", pii),
+    ("mix", mixture),
+]
 
+# The first stage applies a fitted model, which SQL cannot express.
 ORACLE_SQL: str | None = None
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paylens.llm.common import table
 from paylens.llm.decontaminate import op7_decontaminate
+from paylens.llm.language import op5_language
 from paylens.llm.licenses import op2_license_scan
 from paylens.llm.mixing import op3_mix_sources
 from paylens.llm.near_dup import op10_near_dup
@@ -24,6 +25,7 @@ QUERIES: dict[str, Query] = {
     "op2_license_scan": lambda s, d: op2_license_scan(table(s, d, "documents")),
     "op3_mix_sources": lambda s, d: op3_mix_sources(table(s, d, "documents")),
     "op4_pii": lambda s, d: op4_pii(table(s, d, "documents")),
+    "op5_language": lambda s, d: op5_language(table(s, d, "pages"), table(s, d, "documents")),
     "op6_secret_scan": lambda s, d: op6_secret_scan(table(s, d, "documents")),
     "op7_decontaminate": lambda s, d: op7_decontaminate(table(s, d, "documents"), table(s, d, "benchmark")),
     "op8_substring_dedup": lambda s, d: op8_substring_dedup(table(s, d, "documents")),
