@@ -28,8 +28,6 @@ TOPK_SAMPLE = 5
 TOPK_APP = 5
 # Accuracy at or above this counts as a pass in the scorecard.
 PASS_ACCURACY = 80
-# Fallback text of an unparsable answer keeps this many leading characters.
-ANSWER_FALLBACK_CHARS = 200
 # ---------------------------------------------------------------------------
 
 # The fixture tables span January 2024; "today" of the reference's

@@ -12,11 +12,15 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Nudge added before rounding so that a value whose decimal text is an exact
+# Relative nudge before rounding so that a value whose decimal text is an exact
 # tie rounds half-up in every engine, whatever last-bit noise the arithmetic
 # left (Spark rounds the decimal text half-up; other engines round the scaled
-# binary value).
-_TIE_NUDGE = 1e-9
+# binary value).  Being relative it holds at any magnitude: it is far above the
+# last bit and far below a unit of the digits kept.
+_TIE_NUDGE = 1e-13
+# Money is summed in integer millionths and rounded to cents once, at the end.
+MICROS = 1_000_000
+_MICROS_PER_CENT = MICROS // 100
 
 
 def _col(c: Column | str) -> Column:
@@ -26,11 +30,11 @@ def _col(c: Column | str) -> Column:
 def round_half_up(c: Column | str, digits: int) -> Column:
     """``ROUND(x, digits)`` with ties broken half-up away from zero, engine-stable."""
     x = _col(c)
-    return F.round(x + F.signum(x) * F.lit(_TIE_NUDGE), digits)
+    return F.round(x * F.lit(1.0 + _TIE_NUDGE), digits)
 
 
 def cents(c: Column | str) -> Column:
-    """Money amount (two decimals) as exact integer cents.
+    """An amount already rounded to two decimals as exact integer cents.
 
     ``amount × 100`` of a two-decimal amount lies within 1e-9 of an integer,
     so ``rint`` (a plain double op, ~3× cheaper per row than ``round``, which
@@ -39,6 +43,19 @@ def cents(c: Column | str) -> Column:
     return F.rint(_col(c) * F.lit(100)).cast("bigint")
 
 
+def micros(c: Column | str) -> Column:
+    """Any money amount as integer millionths: sums are exact and independent of order."""
+    return F.rint(_col(c) * F.lit(MICROS)).cast("bigint")
+
+
+def rounded_micros(c: Column | str) -> Column:
+    """Integer millionths as an amount in currency, rounded half-up to cents (integer arithmetic)."""
+    x = _col(c)
+    half = F.when(x < 0, -(_MICROS_PER_CENT // 2)).otherwise(_MICROS_PER_CENT // 2)
+    up = x + half
+    return from_cents(((up - up % _MICROS_PER_CENT) / F.lit(_MICROS_PER_CENT)).cast("bigint"))
+
+
 def from_cents(c: Column | str) -> Column:
     """Integer cents back to a double amount (one correctly rounded division)."""
     return _col(c).cast("double") / F.lit(100.0)

@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paylens.config import BUCKET_MINUTES, DIMS
-from paylens.functions.expr import bucket_start, cents, from_cents, is_fail, is_success, ratio, round_half_up, tod_slot
+from paylens.functions.expr import (
+    bucket_start, cents, from_cents, is_fail, is_success, micros, ratio, round_half_up, rounded_micros, tod_slot,
+)
 
 BUCKET = "bucket_5m"
 
@@ -36,15 +38,14 @@ def kpi(payments: DataFrame, minutes: int = BUCKET_MINUTES, dims: Sequence[str]
         ts_col: str = "event_ts") -> DataFrame:
     """``gold_kpi_5m``: revenue, attempts, successes, failures, success rate.
 
-    Revenue is summed in integer cents (exact, order-independent) and equals
-    ``ROUND(SUM(amount), 2)`` for two-decimal amounts.  Statuses other than
-    success/fail count as attempts only.
+    Revenue is ``ROUND(SUM(amount), 2)``: summed exactly in integer millionths
+    and rounded once.  Statuses other than success/fail count as attempts only.
     """
     ok = is_success()
     return (
         payments.groupBy(bucket_start(ts_col, minutes).alias(BUCKET), *dims)
         .agg(
-            F.sum(F.when(ok, cents("amount")).otherwise(F.lit(0).cast("bigint"))).alias("_rev_cents"),
+            F.sum(F.when(ok, micros("amount")).otherwise(F.lit(0).cast("bigint"))).alias("_rev"),
             F.count(F.lit(1)).alias("pay_attempts"),
             F.count_if(ok).alias("pay_success"),
             F.count_if(is_fail()).alias("pay_fail"),
@@ -52,7 +53,7 @@ def kpi(payments: DataFrame, minutes: int = BUCKET_MINUTES, dims: Sequence[str]
         .select(
             BUCKET,
             *dims,
-            from_cents("_rev_cents").alias("revenue"),
+            rounded_micros("_rev").alias("revenue"),
             "pay_attempts",
             "pay_success",
             "pay_fail",
@@ -97,22 +98,22 @@ def overall(kpi_df: DataFrame) -> DataFrame:
 def overall_from_payments(payments: DataFrame, minutes: int = BUCKET_MINUTES, ts_col: str = "event_ts") -> DataFrame:
     """:func:`overall` of :func:`kpi` in ONE aggregation straight from payments.
 
-    Identical values — cents and counts are sums, so summing per segment
-    first changes nothing — with one shuffle fewer and bucket-only keys in the
-    map-side combine.  Use when the segment cube itself is not needed.
+    One shuffle fewer and bucket-only keys in the map-side combine, for use when
+    the segment cube itself is not needed.  Revenue is rounded once per bucket;
+    with amounts of two decimals that is the sum of the segments' revenues.
     """
     ok = is_success()
     return (
         payments.groupBy(bucket_start(ts_col, minutes).alias(BUCKET))
         .agg(
-            F.sum(F.when(ok, cents("amount")).otherwise(F.lit(0).cast("bigint"))).alias("_rev_cents"),
+            F.sum(F.when(ok, micros("amount")).otherwise(F.lit(0).cast("bigint"))).alias("_rev"),
             F.count(F.lit(1)).alias("pay_attempts"),
             F.count_if(ok).alias("pay_success"),
             F.count_if(is_fail()).alias("pay_fail"),
         )
         .select(
             BUCKET,
-            from_cents("_rev_cents").alias("revenue"),
+            rounded_micros("_rev").alias("revenue"),
             "pay_attempts",
             "pay_success",
             "pay_fail",

@@ -185,10 +185,11 @@ def error_drill_users(payments_in_window: DataFrame, k: int = TOPK_DRILL_USERS)
 
 
 def sample_failures(payments_in_window: DataFrame, segment: Mapping[str, str] = ERROR_SEGMENT,
-                    k: int = TOPK_SAMPLE) -> DataFrame:
-    """First ``k`` failures of the segment in time order (log excerpt)."""
+                    k: int = TOPK_SAMPLE, keep_id: bool = False) -> DataFrame:
+    """First ``k`` failures of the segment in time order (log excerpt); ``keep_id`` adds the order's tie-breaker."""
     f = payments_in_window.where(is_fail() & segment_condition(segment))
-    return f.orderBy("event_ts", "event_id").limit(k).select("event_ts", "user_id", "provider", "error_code", "amount")
+    return f.orderBy("event_ts", "event_id").limit(k).select(
+        *(["event_id"] if keep_id else []), "event_ts", "user_id", "provider", "error_code", "amount")
 
 
 def top_error_codes(payments_in_window: DataFrame, k: int | None = TOPK_APP) -> DataFrame:
@@ -205,6 +206,12 @@ def fail_rate_by_platform(payments: DataFrame) -> DataFrame:
     return g.select("dt", "platform", "attempts", "fails", round_half_up(ratio("fails", "attempts"), 4).alias("fail_rate"))
 
 
+def fail_rate_per_platform(payments: DataFrame) -> DataFrame:
+    """Dashboard tile: fail rate per platform over the whole table."""
+    g = payments.groupBy("platform").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(is_fail()).alias("fails"))
+    return g.select("platform", "attempts", "fails", round_half_up(ratio("fails", "attempts"), 4).alias("fail_rate"))
+
+
 # -- validation queries of the data load ----------------------------------------------
 
 def validate_segment_status(payments: DataFrame, as_of: _dt.date, segment: Mapping[str, str],

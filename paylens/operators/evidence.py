@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paylens.config import ANSWER_FALLBACK_CHARS
+from paylens.config import BUCKET_MINUTES
 from paylens.operators.topk import number_rows
 
 # ---------------------------------------------------------------------------
@@ -38,7 +38,6 @@ DRILL_LINE = "• **%s %s | %s | %s** → %s: %d errors, %d users"
 LOG_LINE = "`%s` | %s | %s | %s | $%s"
 APP_SEGMENT_LINE = "  %s %s | %s | %s: fail_rate=%s, fails=%d/%d"
 APP_ERROR_LINE = "  %s: %d errors"
-ANOMALY_CARD_TITLE = "🚨 Alert: Payment Anomaly Detected"
 ANOMALY_CARD_TEMPLATE = "red"
 ACCURACY_CARD_TITLE = "📊 Accuracy Report: %d%%"
 INSIGHT_LINE = "• Root Cause #%d: %s"
@@ -51,10 +50,28 @@ RELEASE_CARD_TITLE = "🚀 New Version Released: %s"
 RELEASE_CARD_TEXT = "**Platform**: %s\n**Region**: %s\n**Incident**: %s → %s\n**Status**: 🔴 Anomaly Detected"
 HOUR_MINUTE = "HH:mm"
 MATCH_MARK, MISS_MARK = "✅", "❌"
+ALERT_CARD_METRIC = "Payment Success Rate"
+ALERT_CARD_WINDOW = "**Anomaly Window**: %s → %s\n**Metric**: %s\n**Avg Z-Score**: %s\n**Estimated Revenue Loss**: $%s"
+ALERT_CARD_IMPACT = ("**Impact Summary**\n• Affected Users: %s (%s%% of DAU)\n"
+                     "• Anomaly Buckets: %s (x%dmin intervals)\n• Status: 🔴 Active")
+ALERT_CARD_BUTTONS = (("🔍 Run RCA Agent", "primary", "run_rca"), ("📊 View Dashboard", "default", "view_dashboard"))
+ROOT_CAUSE_CARD_TEMPLATE = "orange"
+ROOT_CAUSE_CARD_TEXT = "**Anomaly**: %s → %s\n\n%s"
+ROOT_CAUSE_CARD_BUTTONS = (("🔬 Deep Dive", "primary", "drill_down"), ("📝 Generate Report", "default", "gen_report"))
+INSIGHT_CARD_TITLE = "🤖 AI Agent: Root Cause Analysis"
+REPORT_CARD_TITLE = "📋 Incident Report — Auto-Generated"
+REPORT_CARD_TEMPLATE = "green"
+REPORT_CARD_STATUS = "**Status**: ✅ Resolved\n**Generated at**: %s"
+REPORT_CARD_BUTTONS = (("📤 Export to Confluence", "primary", "export_confluence"), ("🔄 Regenerate", "default", "regenerate"))
 # Card markup tags of the chat-card format.
 CARD_TEXT_TAG = "lark_md"
 # ---------------------------------------------------------------------------
 
+# Titles of our own: the reference's hold a product name.
+ANOMALY_CARD_TITLE = "🚨 Alert: Payment Anomaly Detected"
+ROOT_CAUSE_CARD_TITLE = "🤖 Root Cause Analysis"
+CAUSE_LINE = "%d. %s (%d more failures than the day before, share %.4f, confidence %s)"
+
 TS_TEXT = "yyyy-MM-dd HH:mm:ss"
 
 
@@ -115,7 +132,7 @@ def drill_lines(error_drill: DataFrame) -> DataFrame:
 def log_lines(samples: DataFrame) -> DataFrame:
     line = F.format_string(LOG_LINE, F.date_format("event_ts", TS_TEXT), "user_id", "provider", "error_code",
                            F.format_string("%.2f", "amount"))
-    return _numbered(samples, "sample_log", line, [F.col("event_ts"), F.col("user_id"), F.col("amount")])
+    return _numbered(samples, "sample_log", line, [F.col("event_ts"), F.col("event_id")])
 
 
 def app_segment_lines(segments: DataFrame) -> DataFrame:
@@ -142,13 +159,20 @@ def _numbered(df: DataFrame, kind: str, line: Column, order: Sequence[Column]) -
 _TEXT = T.StructType([T.StructField("tag", T.StringType()), T.StructField("content", T.StringType())])
 
 
-def _element(tag: str, text: Column | None = None, elements: Column | None = None) -> Column:
+_BUTTON = T.StructType([
+    T.StructField("tag", T.StringType()), T.StructField("text", _TEXT), T.StructField("type", T.StringType()),
+    T.StructField("value", T.StructType([T.StructField("action", T.StringType())]))])
+
+
+def _element(tag: str, text: Column | None = None, elements: Column | None = None,
+             actions: Column | None = None) -> Column:
     # Every card element has the same struct type; fields a tag does not use
     # are NULL and to_json omits them.
     return F.struct(
         F.lit(tag).alias("tag"),
         (text if text is not None else F.lit(None)).cast(_TEXT).alias("text"),
         (elements if elements is not None else F.lit(None)).cast(T.ArrayType(_TEXT)).alias("elements"),
+        (actions if actions is not None else F.lit(None)).cast(T.ArrayType(_BUTTON)).alias("actions"),
     )
 
 
@@ -164,6 +188,14 @@ def _note(text: Column) -> Column:
     return _element("note", elements=F.array(F.struct(F.lit("plain_text").alias("tag"), text.alias("content"))))
 
 
+def _actions(buttons: Sequence[tuple[str, str, str]]) -> Column:
+    return _element("action", actions=F.array(*[
+        F.struct(F.lit("button").alias("tag"),
+                 F.struct(F.lit("plain_text").alias("tag"), F.lit(text).alias("content")).alias("text"),
+                 F.lit(kind).alias("type"), F.struct(F.lit(action).alias("action")).alias("value"))
+        for text, kind, action in buttons]))
+
+
 def _card(title: Column, template: Column, elements: Sequence[Column]) -> Column:
     card = F.struct(
         F.struct(F.lit(True).alias("wide_screen_mode")).alias("config"),
@@ -174,7 +206,7 @@ def _card(title: Column, template: Column, elements: Sequence[Column]) -> Column
     return F.to_json(F.struct(F.lit("interactive").alias("msg_type"), card.alias("card")))
 
 
-def anomaly_alert_payload(impact: DataFrame) -> DataFrame:
+def anomaly_alert_payload(impact: DataFrame, minutes: int = BUCKET_MINUTES) -> DataFrame:
     """The anomaly alert card from :func:`paylens.operators.impact.impact_summary`.
 
     Emitted only when the day has a rate anomaly (the reference fails
@@ -185,16 +217,14 @@ def anomaly_alert_payload(impact: DataFrame) -> DataFrame:
     e = F.col("anomaly_end").cast("string")
     first = F.when(
         F.col("revenue_loss_usd").isNotNull(),
-        F.concat(F.lit("**Anomaly Window**: "), s, F.lit(" → "), e, F.lit("\n**Metric**: Payment Success Rate\n"),
-                 F.lit("**Avg Z-Score**: "), F.col("avg_z_score").cast("string"),
-                 F.lit("\n**Estimated Revenue Loss**: $"), F.format_number("revenue_loss_usd", 2)),
+        F.format_string(ALERT_CARD_WINDOW, s, e, F.lit(ALERT_CARD_METRIC), F.col("avg_z_score").cast("string"),
+                        F.format_number("revenue_loss_usd", 2)),
     ).otherwise(F.lit("N/A"))
-    second = F.concat(
-        F.lit("**Impact Summary**\n• Affected Users: "), F.format_number("affected_users", 0),
-        F.lit(" ("), F.col("dau_pct").cast("string"), F.lit("% of DAU)\n• Anomaly Buckets: "),
-        F.col("anomaly_buckets").cast("string"), F.lit(" (x5min intervals)\n• Status: 🔴 Active"),
-    )
-    payload = _card(F.lit(ANOMALY_CARD_TITLE), F.lit(ANOMALY_CARD_TEMPLATE), [_div(first), _hr(), _div(second)])
+    second = F.format_string(
+        ALERT_CARD_IMPACT, F.format_number("affected_users", 0), F.col("dau_pct").cast("string"),
+        F.col("anomaly_buckets").cast("string"), F.lit(int(minutes)))
+    payload = _card(F.lit(ANOMALY_CARD_TITLE), F.lit(ANOMALY_CARD_TEMPLATE),
+                    [_div(first), _hr(), _div(second), _hr(), _actions(ALERT_CARD_BUTTONS)])
     return impact.where(F.col("anomaly_start").isNotNull()).select(
         F.lit("anomaly_alert").alias("kind"), F.lit(None).cast("int").alias("incident_id"), payload.alias("payload"))
 
@@ -244,6 +274,35 @@ def insight_lines(parsed: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
                          F.array_join(lines, "\n").alias("text"))
 
 
+def insight_cards(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One card per parsed answer from its :func:`insight_lines`, whole text."""
+    payload = _card(F.lit(INSIGHT_CARD_TITLE), F.lit(ROOT_CAUSE_CARD_TEMPLATE), [_div(F.col("text"))])
+    return lines.select(*keep, payload.alias("payload"))
+
+
+def root_cause_card(ranked: DataFrame, window: DataFrame) -> DataFrame:
+    """The root-cause card: the window and the ranked causes (≤ k rows, folded); none without a window."""
+    line = F.format_string(CAUSE_LINE, "rank", "label", "excess", "excess_share", "confidence")
+    rows = ranked.select(F.struct("rank", line.alias("line")).alias("l"),
+                         F.lit(None).cast("timestamp_ntz").alias("s"), F.lit(None).cast("timestamp_ntz").alias("e"))
+    w = window.select(F.lit(None).cast(rows.schema["l"].dataType).alias("l"),
+                      F.col("window_start").alias("s"), F.col("window_end").alias("e"))
+    g = rows.unionByName(w).agg(F.array_sort(F.collect_list("l")).alias("ls"), F.max("s").alias("s"), F.max("e").alias("e"))
+    text = F.array_join(F.transform("ls", lambda x: x["line"]), "\n")
+    content = F.format_string(ROOT_CAUSE_CARD_TEXT, F.col("s").cast("string"), F.col("e").cast("string"), text)
+    payload = _card(F.lit(ROOT_CAUSE_CARD_TITLE), F.lit(ROOT_CAUSE_CARD_TEMPLATE),
+                    [_div(content), _hr(), _actions(ROOT_CAUSE_CARD_BUTTONS)])
+    return g.where(F.col("s").isNotNull()).select(F.lit("root_cause").alias("kind"), payload.alias("payload"))
+
+
+def report_card(report: DataFrame, generated_at, text_col: str = "evidence") -> DataFrame:
+    """The report card around a report text of any length."""
+    status = F.lit(REPORT_CARD_STATUS % generated_at)
+    payload = _card(F.lit(REPORT_CARD_TITLE), F.lit(REPORT_CARD_TEMPLATE),
+                    [_div(F.col(text_col)), _hr(), _div(status), _actions(REPORT_CARD_BUTTONS)])
+    return report.select(F.lit("report").alias("kind"), payload.alias("payload"))
+
+
 def accuracy_payloads(fields: DataFrame, scorecard: DataFrame) -> DataFrame:
     """One accuracy card per incident from the per-field comparison."""
     mark = F.when(F.col("match"), F.lit(MATCH_MARK)).otherwise(F.lit(MISS_MARK))
@@ -275,8 +334,8 @@ ANSWER_FIELDS = [f.name for f in ANSWER_SCHEMA.fields if f.name != "insights"]
 
 def parse_answer(df: DataFrame, text_col: str, fallback: dict[str, Column], keep: Sequence[str] = ()) -> DataFrame:
     """Parse a model answer: the greedy outermost ``{…}`` (across lines) as
-    JSON; without braces fall back to the first characters as the only insight
-    and to ``fallback`` columns (e.g. top-1 scalar subqueries) for the fields.
+    JSON; without braces the whole text is the only insight and the fields come
+    from ``fallback`` columns (e.g. top-1 scalar subqueries) for the fields.
 
     Malformed JSON gives ``parse_ok = false`` and NULL fields instead of an
     exception.  The regex runs over the whole text.
@@ -288,7 +347,7 @@ def parse_answer(df: DataFrame, text_col: str, fallback: dict[str, Column], keep
     cols = [
         F.when(has_json, F.lit("json")).otherwise(F.lit("fallback")).alias("source"),
         F.when(has_json, F.json_object_keys(j).isNotNull()).otherwise(F.lit(True)).alias("parse_ok"),
-        F.when(has_json, parsed["insights"]).otherwise(F.array(F.left(text, F.lit(ANSWER_FALLBACK_CHARS)))).alias("insights"),
+        F.when(has_json, parsed["insights"]).otherwise(F.array(text)).alias("insights"),
     ]
     for f in ANSWER_FIELDS:
         cols.append(F.when(has_json, parsed[f]).otherwise(fallback[f]).alias(f))

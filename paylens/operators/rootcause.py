@@ -128,16 +128,16 @@ def root_cause_rank(tagged_failures: DataFrame, k: int = 3) -> DataFrame:
     """Deterministic ranked root causes: segment × error code with the largest
     excess of failures in the window over the same window a day earlier.
 
-    ``excess_share`` is the cause's part of all positive excess (a scalar
-    subquery, evaluated once); confidence is High from one half, Medium from
+    ``excess_share`` is the cause's part of all positive excess; confidence is High from one half, Medium from
     one fifth of it.
     """
     g = error_counts_now_vs_prev(tagged_failures).withColumn(
         "excess", F.col("error_count") - F.col("prev_error_count")).where(F.col("excess") > 0)
-    total = g.agg(F.sum("excess")).scalar()
+    # one row per segment × code: a small grouped result, read once for the total and the top
+    g = g.withColumn("_total", F.sum("excess").over(Window.partitionBy()))
     top = g.orderBy(F.col("excess").desc(), F.col("error_count").desc(),
                     *[F.col(c).asc_nulls_last() for c in ERROR_KEYS]).limit(k)
-    share = round_half_up(ratio(F.col("excess"), total), 4)
+    share = round_half_up(ratio("excess", "_total"), 4)
     ranked = top.select(
         *ERROR_KEYS, "error_count", "prev_error_count", "excess", share.alias("excess_share"),
     )

@@ -71,6 +71,8 @@ def baselines(overall_df: DataFrame, mode: str = "other_days", minutes: int = BU
         F.col("tod_key").alias("b_tod"), F.col("dt").alias("b_dt"),
         F.col("x_bp").alias("b_bp"), F.col("x_ct").alias("b_ct"),
     )
+    if mode not in ("other_days", "previous_days"):
+        raise ValueError(f"unknown baseline mode {mode!r}")
     other = F.col("b_dt") != F.col("a.dt") if mode == "other_days" else F.col("b_dt") < F.col("a.dt")
     j = a.join(b, (F.col("a.tod_key") == F.col("b_tod")) & other)
     g = j.groupBy(F.col(f"a.{BUCKET}").alias(BUCKET)).agg(
@@ -142,7 +144,8 @@ def anomaly(baselines_df: DataFrame, z_threshold: float = Z_THRESHOLD,
     return baselines_df.select(BUCKET, F.inline(F.array(psr, rev)))
 
 
-def _on_day(as_of: _dt.date, df: DataFrame | None = None) -> Column:
+def on_day(as_of: _dt.date, df: DataFrame | None = None) -> Column:
+    """Rows whose bucket lies on the day."""
     cond = F.to_date(BUCKET) == F.lit(as_of)
     if df is not None and "dt" in df.columns:  # day-partitioned gold table: prune statically
         cond = cond & (F.col("dt") == F.lit(as_of))
@@ -168,7 +171,7 @@ def metric_series(anomaly_df: DataFrame, metric: str = METRIC_RATE, as_of: _dt.d
     """One metric's series on one day (chart feed)."""
     df = anomaly_df.where(F.col("metric") == metric)
     if as_of is not None:
-        df = df.where(_on_day(as_of, df))
+        df = df.where(on_day(as_of, df))
     return df.select(BUCKET, "actual", "baseline", "z_score", "is_anomaly", "impact_estimated").orderBy(BUCKET)
 
 
@@ -176,7 +179,7 @@ def anomaly_markers(anomaly_df: DataFrame, as_of: _dt.date | None = None) -> Dat
     """Flagged points of the day's series (chart markers), both metrics."""
     df = anomaly_df.where("is_anomaly")
     if as_of is not None:
-        df = df.where(_on_day(as_of, df))
+        df = df.where(on_day(as_of, df))
     return df.select(BUCKET, "metric", "actual").orderBy(BUCKET, "metric")
 
 
@@ -184,7 +187,7 @@ def anomaly_windows(anomaly_df: DataFrame, as_of: _dt.date) -> DataFrame:
     """Per metric, the min–max window of the day's flagged buckets."""
     n = F.count(F.lit(1))
     avg_z = F.sum(cents("z_score")).cast("double") / n.cast("double") / F.lit(100.0)
-    return anomaly_df.where(F.col("is_anomaly") & _on_day(as_of, anomaly_df)).groupBy("metric").agg(
+    return anomaly_df.where(F.col("is_anomaly") & on_day(as_of, anomaly_df)).groupBy("metric").agg(
         F.min(BUCKET).alias("anomaly_start"),
         F.max(BUCKET).alias("anomaly_end"),
         n.alias("anomaly_buckets"),
@@ -195,7 +198,7 @@ def anomaly_windows(anomaly_df: DataFrame, as_of: _dt.date) -> DataFrame:
 
 def anomaly_bounds(anomaly_df: DataFrame, as_of: _dt.date, metric: str = METRIC_RATE) -> DataFrame:
     """One row ``(astart, aend)`` of the day's flagged buckets; NULLs when none."""
-    return anomaly_df.where(F.col("is_anomaly") & _on_day(as_of, anomaly_df) & (F.col("metric") == metric)).agg(
+    return anomaly_df.where(F.col("is_anomaly") & on_day(as_of, anomaly_df) & (F.col("metric") == metric)).agg(
         F.min(BUCKET).alias("astart"),
         F.max(BUCKET).alias("aend"),
     )

@@ -4,16 +4,16 @@ The reference collects the anomaly window to the driver and splices it into
 SQL text.  Here a window is a row of a small DataFrame (one per metric, per
 incident, or per shifted copy), and restriction is a join:
 
-    events.dt == windows.dt   (windows exploded to the days they touch)
+    events.dt == windows.dt AND hour(events.ts) == windows.hour
+        (windows exploded to the days and hours they touch)
     AND events.ts BETWEEN window_start AND window_end
 
-The equality on the day makes it a broadcast *hash* join instead of a nested
-loop, and — when the events come from a table partitioned by ``dt`` — lets
-Spark's dynamic partition pruning restrict the scan to those days.  The
-windows side is broadcast explicitly because its size is bounded by
-construction: (number of windows) × (days per window), e.g. 2 rows for the
-anomaly windows of one day, a few rows per incident in the ground-truth log.
-It never grows with the number of events.
+The equalities make it a *hash* join instead of a nested loop.  The day — when
+the events come from a table partitioned by ``dt`` — lets Spark's dynamic
+partition pruning restrict the scan; the hour keeps an event from meeting the
+other windows of its day and spreads a hot day over 24 keys.  The windows of the
+day's own anomaly (≤ 2 rows × a day) are broadcast; for a window table that a
+caller supplies, the planner chooses from its size.
 """
 
 from __future__ import annotations
@@ -24,14 +24,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paylens.functions.expr import ntz
+from paylens.functions.expr import bucket_start, ntz
 
 WIN_START = "window_start"
 WIN_END = "window_end"
 _DAY = "_win_dt"
-# Window-day rows up to which a caller-supplied window table is broadcast
-# (≈ 40 bytes a row: a few MB).
-MAX_BROADCAST_WINDOW_DAYS = 100_000
+_HOUR = "_win_hour"
 
 
 def window_table(bounds: DataFrame, start: str = "astart", end: str = "aend",
@@ -62,24 +60,19 @@ def restrict_to_windows(df: DataFrame, windows: DataFrame, ts_col: str = "event_
     that the parquet scan can use for row-group skipping even on tables that
     are not partitioned by day.
 
-    ``bounded=True`` (windows derived from the day's anomaly: ≤ 2 rows × a
-    day) broadcasts without a check.  For a caller-supplied window table of
-    unknown size pass ``bounded=False``: its window-day rows are counted (a
-    job over the small window table only, capped at
-    ``MAX_BROADCAST_WINDOW_DAYS + 1``) and it is broadcast only under that
-    bound; beyond it both sides are shuffled on the day and AQE splits a hot
-    day.
+    ``bounded=True``: windows derived from the day's anomaly, ≤ 2 rows × a day,
+    broadcast.  For a caller-supplied window table pass ``bounded=False``: no
+    hint, the planner and AQE size the join and split a hot hour.
     """
-    wd = windows.select(*keep, WIN_START, WIN_END).withColumn(
-        _DAY, F.explode(F.sequence(F.to_date(WIN_START), F.to_date(WIN_END)))
-    )
+    wd = windows.select(*keep, WIN_START, WIN_END).withColumn("_first", bucket_start(WIN_START, 60))
+    wd = wd.withColumn(_HOUR, F.explode(F.sequence("_first", WIN_END, F.expr("INTERVAL 1 HOUR")))).drop("_first")
+    wd = wd.withColumn(_DAY, F.to_date(_HOUR))
     if day_range is not None:
         lo, hi = day_range
         df = df.where((F.col(ts_col) >= ntz(lo)) & (F.col(ts_col) < ntz(hi + _dt.timedelta(days=1))))
         if "dt" in df.columns:  # day-partitioned table: static partition pruning
             df = df.where(F.col("dt").between(F.lit(lo), F.lit(hi)))
     day: Column = F.col("dt") if "dt" in df.columns else F.to_date(ts_col)
-    if not bounded:
-        bounded = wd.limit(MAX_BROADCAST_WINDOW_DAYS + 1).count() <= MAX_BROADCAST_WINDOW_DAYS
-    joined = df.join(F.broadcast(wd) if bounded else wd, day == wd[_DAY])
-    return joined.where(F.col(ts_col).between(F.col(WIN_START), F.col(WIN_END))).drop(_DAY)
+    df = df.withColumn("_ts_hour", bucket_start(ts_col, 60))
+    joined = df.join(F.broadcast(wd) if bounded else wd, (day == wd[_DAY]) & (F.col("_ts_hour") == wd[_HOUR]))
+    return joined.where(F.col(ts_col).between(F.col(WIN_START), F.col(WIN_END))).drop(_DAY, _HOUR, "_ts_hour")

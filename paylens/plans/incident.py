@@ -28,6 +28,7 @@ from paylens.operators import drill as D
 from paylens.operators import evidence as E
 from paylens.operators import impact as I
 from paylens.operators import rootcause as R
+from paylens.functions.expr import ntz
 from paylens.operators.cube import BUCKET, kpi, overall, overall_from_payments
 from paylens.operators.windows import WIN_END, WIN_START, restrict_to_windows, window_table
 from paylens.sources.fixtures import game_events_from_payments
@@ -115,9 +116,20 @@ class IncidentAnalysis:
         d = self.as_of - _dt.timedelta(days=shift)
         return (d, d)
 
+    @cached_property
+    def kpi_of_day(self) -> DataFrame:
+        """The cube of the day alone: a day's buckets need only that day's payments."""
+        if self._kpi is not None:
+            return self._kpi.where(A.on_day(self.as_of, self._kpi))
+        lo, hi = ntz(self.as_of), ntz(self.as_of + _dt.timedelta(days=1))
+        day = self.payments.where((F.col("event_ts") >= lo) & (F.col("event_ts") < hi))
+        if "dt" in day.columns:
+            day = day.where(F.col("dt") == F.lit(self.as_of))
+        return kpi(day, self.minutes)
+
     @cached_property
     def kpi_in_window(self) -> DataFrame:
-        return restrict_to_windows(self.kpi, self.window, ts_col=BUCKET, day_range=self._day()).drop(WIN_START, WIN_END)
+        return restrict_to_windows(self.kpi_of_day, self.window, ts_col=BUCKET, day_range=self._day()).drop(WIN_START, WIN_END)
 
     @cached_property
     def payments_in_window(self) -> DataFrame:
@@ -132,10 +144,12 @@ class IncidentAnalysis:
     def tagged_payments(self) -> DataFrame:
         """Payments in the window (``tag='now'``) and in the same window one day
         earlier (``tag='prev'``) — one scan, two windows."""
-        now = window_table(self.bounds).withColumn("tag", F.lit("now"))
-        prev = window_table(self.bounds, shift_days=1).withColumn("tag", F.lit("prev"))
+        s, e, day = F.col(WIN_START), F.col(WIN_END), F.make_dt_interval(F.lit(1))
+        both = self.window.select(F.inline(F.array(*[  # both windows from one row: the history is read once
+            F.struct(F.lit(tag).alias("tag"), a.alias(WIN_START), b.alias(WIN_END))
+            for tag, a, b in (("now", s, e), ("prev", s - day, e - day))])))
         lo = self.as_of - _dt.timedelta(days=1)
-        return restrict_to_windows(self.payments, now.unionByName(prev), keep=["tag"],
+        return restrict_to_windows(self.payments, both, keep=["tag"],
                                    day_range=(lo, self.as_of)).drop(WIN_START, WIN_END)
 
     # -- outputs ----------------------------------------------------------------------
@@ -161,7 +175,7 @@ class IncidentAnalysis:
         return D.error_delta(self.tagged_payments)
 
     def segment_vs_rest(self, segment=None) -> DataFrame:
-        return D.segment_vs_rest(self.kpi, segment or C.FOCUS_SEGMENT, self.as_of)
+        return D.segment_vs_rest(self.kpi_of_day, segment or C.FOCUS_SEGMENT, self.as_of)
 
     def error_distribution(self, segment=None) -> DataFrame:
         return D.error_distribution(self.payments_in_window, segment or C.ERROR_SEGMENT)
@@ -175,17 +189,14 @@ class IncidentAnalysis:
     def error_drill_users(self) -> DataFrame:
         return D.error_drill_users(self.payments_in_window)
 
-    def sample_failures(self, segment=None) -> DataFrame:
-        return D.sample_failures(self.payments_in_window, segment or C.ERROR_SEGMENT)
+    def sample_failures(self, segment=None, keep_id: bool = False) -> DataFrame:
+        return D.sample_failures(self.payments_in_window, segment or C.ERROR_SEGMENT, keep_id=keep_id)
 
     def top_error_codes(self) -> DataFrame:
         return D.top_error_codes(self.payments_in_window)
 
     def user_impact(self) -> DataFrame:
-        # Derived game events repeat each payment's user three times, so the
-        # day's distinct users can be counted on the payments themselves.
-        active = self._game_events if self._game_events is not None else self.payments
-        return I.user_impact(self.payments_in_window, active, self.as_of)
+        return I.user_impact(self.payments_in_window, self.game_events, self.as_of)
 
     def impact_summary(self) -> DataFrame:
         return I.impact_summary(self.windows_by_metric, self.user_impact(), self.minutes)
@@ -241,17 +252,23 @@ class IncidentAnalysis:
     def evidence_lines(self) -> DataFrame:
         return (
             E.drill_lines(self.error_drill_users())
-            .unionByName(E.log_lines(self.sample_failures()))
+            .unionByName(E.log_lines(self.sample_failures(keep_id=True)))
             .unionByName(E.app_segment_lines(self.segment_fail_rate(k=C.TOPK_APP)))
             .unionByName(E.app_error_lines(self.top_error_codes()))
         )
 
     def drilldown_payload(self) -> DataFrame:
-        lines = E.drill_lines(self.error_drill_users()).unionByName(E.log_lines(self.sample_failures()))
+        lines = E.drill_lines(self.error_drill_users()).unionByName(E.log_lines(self.sample_failures(keep_id=True)))
         return E.drilldown_payload(lines, self.window)
 
     def anomaly_alert_payload(self) -> DataFrame:
-        return E.anomaly_alert_payload(self.impact_summary())
+        return E.anomaly_alert_payload(self.impact_summary(), self.minutes)
+
+    def root_cause_card(self) -> DataFrame:
+        return E.root_cause_card(self.root_cause_rank(), self.window)
+
+    def report_card(self) -> DataFrame:
+        return E.report_card(self.evidence_bundle(), self.as_of)
 
     def answer_fallback(self) -> dict:
         """Top-1 segment and error code of the window as scalar subqueries."""
@@ -270,8 +287,8 @@ class IncidentAnalysis:
 def incident_attribution(payments: DataFrame, incidents_df: DataFrame) -> DataFrame:
     """Attribution for every incident of the ground-truth log in one job.
 
-    The log is caller-supplied (no size bound by construction), so the
-    broadcast of its windows is left to the planner's size check.
+    The log is caller-supplied, so the join with its windows is left to the
+    planner's size check.
     """
     w = window_table(incidents_df, start="incident_start", end="incident_end", keep=["incident_id"])
     inside = restrict_to_windows(payments, w, keep=["incident_id"], bounded=False).drop(WIN_START, WIN_END)

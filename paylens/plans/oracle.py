@@ -7,8 +7,8 @@ scalar bounds, top-k with explicit tie-breakers.  Shared steps are CTEs; an
 oracle query is ``WITH <the CTEs it needs> SELECT ...``.
 
 Conventions shared with the Spark side (see ``paylens.functions``):
-``R(x, k)`` rounds half-up with a 1e-9 tie nudge; money is summed in integer
-cents; baseline moments are exact integers (HUGEINT here, DECIMAL(38,0) in
+``R(x, k)`` rounds half-up with a relative tie nudge; payments are summed as
+exact decimals and rounded once, rounded amounts in integer cents; baseline moments are exact integers (HUGEINT here, DECIMAL(38,0) in
 Spark).
 """
 
@@ -21,7 +21,7 @@ AS_OF_TS = f"TIMESTAMP '{C.AS_OF.isoformat()} 00:00:00'"
 
 
 def R(x: str, k: int) -> str:
-    return f"(round(({x}) + sign({x}) * 1e-9, {k}) + 0.0)"
+    return f"(round(({x}) * (1.0 + 1e-13::DOUBLE), {k}) + 0.0)"
 
 
 def DIV(a: str, b: str) -> str:
@@ -98,13 +98,13 @@ CTES: dict[str, tuple[str, list[str]]] = {
         FROM silver_payments""", ["silver_payments"]),
     "kpi_raw": ("""
         SELECT time_bucket(INTERVAL '__W__ minutes', event_ts) AS bucket_5m, platform, app_version, region, provider,
-          CAST(SUM(CASE WHEN payment_status = 'success' THEN CAST(round(amount * 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS rev_cents,
+          CAST(round(SUM(CASE WHEN payment_status = 'success' THEN CAST(amount AS DECIMAL(28, 6)) ELSE 0 END), 2) AS DOUBLE) AS revenue,
           CAST(COUNT(*) AS BIGINT) AS pay_attempts,
           CAST(COUNT(*) FILTER (WHERE payment_status = 'success') AS BIGINT) AS pay_success,
           CAST(COUNT(*) FILTER (WHERE payment_status = 'fail') AS BIGINT) AS pay_fail
         FROM silver_payments GROUP BY ALL""", ["silver_payments"]),
     "kpi_5m": (f"""
-        SELECT bucket_5m, platform, app_version, region, provider, {FROM_CENTS('rev_cents')} AS revenue,
+        SELECT bucket_5m, platform, app_version, region, provider, revenue,
           pay_attempts, pay_success, pay_fail, {R(DIV('pay_success', 'pay_attempts'), 4)} AS pay_success_rate
         FROM kpi_raw""", ["kpi_raw"]),
     "overall_raw": (f"""
@@ -342,7 +342,7 @@ def _drill_lines() -> str:
     drill = (f"SELECT platform, app_version, region, provider, error_code, COUNT(*) AS error_count, "
              f"COUNT(DISTINCT user_id) AS affected_users FROM pay_win WHERE payment_status = 'fail' GROUP BY ALL "
              f"ORDER BY error_count DESC, {KEYS5} LIMIT 5")
-    logs = ("SELECT event_ts, user_id, provider, error_code, amount FROM pay_win "
+    logs = ("SELECT event_id, event_ts, user_id, provider, error_code, amount FROM pay_win "
             "WHERE payment_status = 'fail' AND platform = 'iOS' AND app_version = '1.2.7' ORDER BY event_ts, event_id LIMIT 5")
     seg = _topk_fail_rate("pay_win", 5)
     errs = ("SELECT error_code, COUNT(*) AS cnt FROM pay_win WHERE payment_status = 'fail' GROUP BY ALL "
@@ -353,7 +353,7 @@ def _drill_lines() -> str:
                  error_count, affected_users) AS line
         FROM ({drill})
         UNION ALL
-        SELECT 'sample_log', CAST(row_number() OVER (ORDER BY event_ts, user_id, amount) AS INTEGER),
+        SELECT 'sample_log', CAST(row_number() OVER (ORDER BY event_ts, event_id) AS INTEGER),
           printf('`%s` | %s | %s | %s | $%s', strftime(event_ts, '%Y-%m-%d %H:%M:%S'), user_id, provider, error_code,
                  printf('%.2f', amount))
         FROM ({logs})
@@ -383,6 +383,30 @@ def _div(content: str) -> str:
     return f"json_object('tag', 'div', 'text', json_object('tag', 'lark_md', 'content', {content}))"
 
 
+def _q(text: str) -> str:
+    return "'" + text + "'"
+
+
+def _buttons(buttons: list[tuple[str, str, str]]) -> str:
+    each = [f"json_object('tag', 'button', 'text', json_object('tag', 'plain_text', 'content', '{text}'), 'type', '{kind}', "
+            f"'value', json_object('action', '{action}'))" for text, kind, action in buttons]
+    return f"json_object('tag', 'action', 'actions', [{', '.join(each)}])"
+
+
+def _answers() -> str:
+    """Answers written from the incident log (clean, within text, broken) and what parsing must give."""
+    label = _label("platform", "app_version", "region", "provider", "error_code")
+    cols = [("detected_platform", "platform"), ("detected_version", "app_version"), ("detected_region", "region"),
+            ("detected_provider", "provider"), ("detected_error", "error_code")]
+    body = ("'{\"insights\": [\"' || label || '\", \"second\"]'"
+            + "".join(f" || ', \"{f}\": \"' || {c} || '\"'" for f, c in cols) + " || '}'")
+    fields = ", ".join(f"CASE WHEN kind < 2 THEN {c} END AS {f}" for f, c in cols)
+    return (f"SELECT incident_id, CAST(length(CASE kind WHEN 0 THEN {body} WHEN 1 THEN 'Analysis:' || chr(10) || {body} "
+            "|| chr(10) || 'Done.' ELSE '{\"insights\": [\"' || label || ']}' END) AS INTEGER) AS answer_chars, "
+            f"'json' AS source, kind < 2 AS parse_ok, CASE WHEN kind < 2 THEN [label, 'second'] END AS insights, {fields} "
+            f"FROM (SELECT *, {label} AS label, incident_id % 3 AS kind FROM inc_log)")
+
+
 def _note(text: str) -> str:
     return f"json_object('tag', 'note', 'elements', [json_object('tag', 'plain_text', 'content', {text})])"
 
@@ -396,7 +420,7 @@ def _alert_payload() -> str:
               f"|| CAST(dau_pct AS VARCHAR) || '% of DAU)' || {NL} || '• Anomaly Buckets: ' "
               f"|| CAST(anomaly_buckets AS VARCHAR) || ' (x5min intervals)' || {NL} || '• Status: 🔴 Active'")
     alert = (f"SELECT 'anomaly_alert' AS kind, CAST(NULL AS INTEGER) AS incident_id, "
-             f"{_card(chr(39) + '🚨 Alert: Payment Anomaly Detected' + chr(39), chr(39) + 'red' + chr(39), [_div(first), HR, _div(second)])} AS payload "
+             f"{_card(chr(39) + '🚨 Alert: Payment Anomaly Detected' + chr(39), chr(39) + 'red' + chr(39), [_div(first), HR, _div(second), HR, _buttons([('🔍 Run RCA Agent', 'primary', 'run_rca'), ('📊 View Dashboard', 'default', 'view_dashboard')])])} AS payload "
              "FROM impact_summary WHERE anomaly_start IS NOT NULL")
     seg = (f"'**Top Error Segments During Incident**' || {NL} || (SELECT COALESCE(string_agg(line, {NL} ORDER BY line_no), '') "
            "FROM alert_lines WHERE kind = 'segment_error')")
@@ -552,16 +576,7 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT incident_id, {_label('detected_platform', 'detected_version', 'detected_region', 'detected_provider', 'detected_error')} AS root_cause "
             "FROM attribution", ["attribution"]),
         "root_cause_rank": build(
-            "SELECT CAST(row_number() OVER (ORDER BY excess DESC, error_count DESC, "
-            f"{KEYS5}) AS INTEGER) AS rank, platform, app_version, region, provider, error_code, error_count, prev_error_count, excess, "
-            f"{R('CAST(excess AS DOUBLE) / CAST(total AS DOUBLE)', 4)} AS excess_share, "
-            f"CASE WHEN {R('CAST(excess AS DOUBLE) / CAST(total AS DOUBLE)', 4)} >= 0.5 THEN 'High' "
-            f"WHEN {R('CAST(excess AS DOUBLE) / CAST(total AS DOUBLE)', 4)} >= 0.2 THEN 'Medium' ELSE 'Low' END AS confidence, "
-            f"{_label('platform', 'app_version', 'region', 'provider', 'error_code')} AS label FROM ("
-            "SELECT *, error_count - prev_error_count AS excess, "
-            "(SELECT SUM(error_count - prev_error_count) FROM err_now_prev WHERE error_count - prev_error_count > 0) AS total "
-            f"FROM err_now_prev WHERE error_count - prev_error_count > 0 ORDER BY excess DESC, error_count DESC, {KEYS5} LIMIT 3)",
-            ["err_now_prev"]),
+            "SELECT * FROM ranked", ["ranked"]),
         "evidence_text": build("SELECT * FROM evidence", ["evidence"]),
         "evidence_bundle": build(
             "SELECT CAST(SUM(n_rows) AS BIGINT) AS n_rows, string_agg('## Evidence: ' || title || chr(10) || text, "
@@ -573,7 +588,7 @@ def oracle_sql() -> dict[str, str]:
             "CASE WHEN j <> '' THEN 'json' ELSE 'fallback' END AS source, "
             "CASE WHEN j <> '' THEN json_valid(j) ELSE true END AS parse_ok, "
             "CASE WHEN j <> '' THEN CASE WHEN json_valid(j) THEN CAST(json_extract(j, '$.insights') AS VARCHAR[]) END "
-            "ELSE [left(c.text, 200)] END AS insights, "
+            "ELSE [c.text] END AS insights, "
             + ", ".join(
                 f"CASE WHEN j <> '' THEN CASE WHEN json_valid(j) THEN json_extract_string(j, '$.{f}') END "
                 f"ELSE COALESCE((SELECT {src} FROM top_seg), 'unknown') END AS {f}"
@@ -584,16 +599,48 @@ def oracle_sql() -> dict[str, str]:
             "FROM (SELECT *, regexp_extract(text, '(?s)\\{.*\\}', 0) AS j FROM conversations WHERE role = 'assistant') c",
             ["top_seg", "top_err"]),
         "insight_lines": build(
-            "SELECT conv_id, turn, CAST(1 AS INTEGER) AS n_insights, "
-            "printf('• Root Cause #%d: %s', 1, left(text, 200)) AS text "
-            "FROM conversations WHERE role = 'assistant' AND regexp_extract(text, '(?s)\\{.*\\}', 0) = ''", []),
+            "SELECT conv_id, turn, n_insights, text FROM insights", ["insights"]),
+        "insight_cards": build(
+            f"SELECT conv_id, turn, {_card(_q('🤖 AI Agent: Root Cause Analysis'), _q('orange'), [_div('text')])} AS payload "
+            "FROM insights", ["insights"]),
+        "root_cause_card": build(
+            "SELECT 'root_cause' AS kind, "
+            + _card(_q('🤖 Root Cause Analysis'), _q('orange'), [
+                _div("'**Anomaly**: ' || CAST(astart AS VARCHAR) || ' → ' || CAST(aend AS VARCHAR) || chr(10) || chr(10) || "
+                     "(SELECT COALESCE(string_agg(printf('%d. %s (%d more failures than the day before, share %s, confidence %s)', "
+                     "rank, label, excess, printf('%.4f', excess_share), confidence), chr(10) ORDER BY rank), '') FROM ranked)"),
+                HR, _buttons([("🔬 Deep Dive", "primary", "drill_down"), ("📝 Generate Report", "default", "gen_report")])])
+            + " AS payload FROM bounds WHERE astart IS NOT NULL AND aend IS NOT NULL", ["bounds", "ranked"]),
+        "report_card": build(
+            "SELECT 'report' AS kind, "
+            + _card(_q("📋 Incident Report — Auto-Generated"), _q("green"), [
+                _div("evidence"), HR,
+                _div(f"'**Status**: ✅ Resolved' || chr(10) || '**Generated at**: {C.AS_OF.isoformat()}'"),
+                _buttons([("📤 Export to Confluence", "primary", "export_confluence"), ("🔄 Regenerate", "default", "regenerate")])])
+            + " AS payload FROM (SELECT string_agg('## Evidence: ' || title || chr(10) || text, chr(10) || chr(10) "
+            "ORDER BY section) AS evidence FROM evidence)", ["evidence"]),
+        "ingest_payments": build("SELECT *, CAST([] AS VARCHAR[]) AS rejected FROM silver_payments", ["silver_payments"]),
+        "ingest_game_events": build("SELECT *, CAST([] AS VARCHAR[]) AS rejected FROM silver_game_events",
+                                    ["silver_game_events"]),
+        "silver_named": build("SELECT * FROM silver_payments", ["silver_payments"]),
+        "incident_log": build(
+            "SELECT *, row_number() OVER (ORDER BY incident_start DESC, incident_id DESC) = 1 AS latest FROM inc_log",
+            ["inc_log"]),
+        "parse_answer_json": build(_answers(), ["inc_log"]),
+        "fail_rate_per_platform": build(
+            "SELECT platform, CAST(COUNT(*) AS BIGINT) AS attempts, "
+            "CAST(COUNT(*) FILTER (WHERE payment_status = 'fail') AS BIGINT) AS fails, "
+            + R(DIV("COUNT(*) FILTER (WHERE payment_status = 'fail')", "COUNT(*)"), 4)
+            + " AS fail_rate FROM silver_payments GROUP BY platform", ["silver_payments"]),
+        "gold_named_summary": build(
+            f"SELECT metric, CAST(COUNT(*) AS BIGINT) AS anomaly_count, MIN(bucket_5m) AS first_anomaly, "
+            f"MAX(bucket_5m) AS last_anomaly, round(SUM(impact_estimated), 2) AS total_estimated_impact "
+            f"FROM {a} WHERE is_anomaly GROUP BY metric", [a]),
         "refresh_gold": build(f"SELECT * FROM {a}", [a]),
         "gold_stream": build(f"SELECT * FROM {a}", [a]),
         "sink_overwrite": build("SELECT * FROM silver_payments", ["silver_payments"]),
         "sink_append": build("SELECT * FROM silver_payments", ["silver_payments"]),
-        "kpi_5m_stream": build(
-            "SELECT * FROM kpi_5m WHERE bucket_5m + INTERVAL 5 MINUTE <= "
-            "(SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTE", ["kpi_5m"]),
+        "kpi_5m_stream": build("SELECT * FROM kpi_5m", ["kpi_5m"]),
     }
     return q
 
@@ -602,3 +649,34 @@ CTES["alert_lines"] = (_drill_lines(), ["pay_win"])
 CTES["top_seg"] = (_topk_fail_rate("pay_win", 1), ["pay_win"])
 CTES["top_err"] = ("SELECT error_code FROM pay_win WHERE payment_status = 'fail' GROUP BY ALL "
                    "ORDER BY COUNT(*) DESC, error_code ASC NULLS LAST LIMIT 1", ["pay_win"])
+CTES["ranked"] = (
+    "SELECT CAST(row_number() OVER (ORDER BY excess DESC, error_count DESC, "
+    f"{KEYS5}) AS INTEGER) AS rank, platform, app_version, region, provider, error_code, error_count, prev_error_count, excess, "
+    f"{R('CAST(excess AS DOUBLE) / CAST(total AS DOUBLE)', 4)} AS excess_share, "
+    f"CASE WHEN {R('CAST(excess AS DOUBLE) / CAST(total AS DOUBLE)', 4)} >= 0.5 THEN 'High' "
+    f"WHEN {R('CAST(excess AS DOUBLE) / CAST(total AS DOUBLE)', 4)} >= 0.2 THEN 'Medium' ELSE 'Low' END AS confidence, "
+    f"{_label('platform', 'app_version', 'region', 'provider', 'error_code')} AS label FROM ("
+    "SELECT *, error_count - prev_error_count AS excess, "
+    "(SELECT SUM(error_count - prev_error_count) FROM err_now_prev WHERE error_count - prev_error_count > 0) AS total "
+    f"FROM err_now_prev WHERE error_count - prev_error_count > 0 ORDER BY excess DESC, error_count DESC, {KEYS5} LIMIT 3)", ["err_now_prev"])
+CTES["insights"] = ("""
+        SELECT conv_id, turn, CAST(len(ins) AS INTEGER) AS n_insights,
+          array_to_string([printf('• Root Cause #%d: %s', i, ins[i]) FOR i IN range(1, len(ins) + 1)], chr(10)) AS text
+        FROM (SELECT conv_id, turn, COALESCE(CASE WHEN j = '' THEN [text] WHEN json_valid(j)
+                THEN CAST(json_extract(j, '$.insights') AS VARCHAR[]) END, CAST([] AS VARCHAR[])) AS ins
+              FROM (SELECT *, regexp_extract(text, '(?s)\\{.*\\}', 0) AS j FROM conversations WHERE role = 'assistant'))""",
+                    [])
+CTES["inc_log"] = (f"""
+        SELECT CAST(date_diff('day', DATE '1970-01-01', CAST(hour AS DATE)) AS INTEGER) AS incident_id,
+          platform, app_version, region, provider, error_code, {R(DIV('fails', 'attempts'), 4)} AS fail_rate,
+          hour AS incident_start, hour + INTERVAL 3599 SECOND AS incident_end, CAST(NULL AS INTEGER) AS rows_inserted
+        FROM (
+          SELECT *, row_number() OVER (PARTITION BY CAST(hour AS DATE) ORDER BY fails DESC, hour, platform NULLS FIRST,
+            app_version NULLS FIRST, region NULLS FIRST, provider NULLS FIRST) AS rn
+          FROM (
+            SELECT date_trunc('hour', event_ts) AS hour, platform, app_version, region, provider,
+              COUNT(*) FILTER (WHERE payment_status = 'fail') AS fails, COUNT(*) AS attempts,
+              MIN(error_code) FILTER (WHERE payment_status = 'fail') AS error_code
+            FROM silver_payments WHERE event_ts IS NOT NULL GROUP BY ALL)
+          WHERE fails > 0)
+        WHERE rn = 1""", ["silver_payments"])

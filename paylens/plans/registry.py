@@ -16,31 +16,25 @@ from paylens import config as C
 from paylens.operators import seasonal as A
 from paylens.operators import evidence as E
 from paylens.operators import rootcause as R
-from paylens.operators.drill import fail_rate_by_platform, validate_hourly_success, validate_segment_status
+from paylens.operators.drill import fail_rate_by_platform, fail_rate_per_platform, validate_hourly_success, validate_segment_status
 from paylens.operators.cube import BUCKET, bucketize, kpi, kpi_extent, overall, overall_from_payments, with_tod_key
 from paylens.plans.gold import refresh_gold
 from paylens.plans.incident import IncidentAnalysis, incident_attribution
 from paylens.session import unique_shared_path
 from paylens.sources import fixtures as X
 from paylens.sources.bucketed import silver_payments_bucketed
-from paylens.sources.sinks import append_table, overwrite_table, read_written
+from paylens.sources.incident_log import append_incidents, incidents_from_payments, latest_incident, read_log
+from paylens.sources.ingest import read_game_events, read_payments, write_text
+from paylens.sources.sinks import append_named, append_table, overwrite_table, read_written, replace_named
 from paylens.sources.tables import read_table
 from paylens.streaming.gold_stream import run_gold_stream
-from paylens.streaming.kpi_stream import run_kpi_stream
+from paylens.streaming.kpi_stream import run_partial_kpi_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-_SILVER: dict[tuple[int, str], DataFrame] = {}
-
-
 def _pay(spark: SparkSession, d: str) -> DataFrame:
-    """``silver_payments`` plan, built once per session and directory (lazy)."""
-    key = (id(spark), d)
-    df = _SILVER.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = _SILVER[key] = X.silver_payments(spark, d)
-    return df
+    return X.silver_payments(spark, d)
 
 
 def _ia(spark: SparkSession, d: str, **kw) -> IncidentAnalysis:
@@ -117,8 +111,67 @@ def _sink_append(spark: SparkSession, d: str) -> DataFrame:
 
 def _kpi_stream(spark: SparkSession, d: str) -> DataFrame:
     base = unique_shared_path(spark, "kpi_stream")
-    run_kpi_stream(spark, d, "events.parquet", X.customer_regions(spark, d), f"{base}/out", f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/out")
+    return run_partial_kpi_stream(spark, d, "events.parquet", X.customer_regions(spark, d),
+                                  f"{base}/out", f"{base}/checkpoint")
+
+
+def _gold_named_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The summary of the anomalies as SQL text over the named gold table."""
+    refresh_gold(spark, _pay(spark, d), names=("gold_kpi_5m", "gold_anomaly"))
+    return spark.sql("""
+        SELECT metric, COUNT(*) AS anomaly_count, MIN(bucket_5m) AS first_anomaly, MAX(bucket_5m) AS last_anomaly,
+               ROUND(SUM(impact_estimated), 2) AS total_estimated_impact
+        FROM gold_anomaly WHERE is_anomaly = true GROUP BY metric""")
+
+
+def _silver_named(spark: SparkSession, d: str) -> DataFrame:
+    """Payments replaced and appended to by name, read back through SQL."""
+    pay = _pay(spark, d)
+    cut = F.lit(C.AS_OF.isoformat() + " 00:00:00").cast("timestamp_ntz")
+    replace_named(pay.where(F.col("event_ts") < cut), "silver_payments", "event_ts")
+    append_named(pay.where(F.col("event_ts") >= cut), "silver_payments", "event_ts")
+    return spark.sql("SELECT * FROM silver_payments").drop("dt")
+
+
+def _ingest_payments(spark: SparkSession, d: str) -> DataFrame:
+    path = unique_shared_path(spark, "raw_payments") + "/json"
+    write_text(_pay(spark, d), path)
+    return read_payments(spark, path)
+
+
+def _ingest_game_events(spark: SparkSession, d: str) -> DataFrame:
+    path = unique_shared_path(spark, "raw_game_events") + "/json"
+    write_text(X.game_events_from_payments(_pay(spark, d)), path)
+    return read_game_events(spark, path)
+
+
+def _incident_log(spark: SparkSession, d: str) -> DataFrame:
+    """The log with every day's worst hour appended, the newest row marked."""
+    path = unique_shared_path(spark, "incident_log") + "/log"
+    found = incidents_from_payments(_pay(spark, d))
+    append_incidents(found.where(F.col("incident_start") < F.lit(C.AS_OF)), path)
+    append_incidents(found.where(F.col("incident_start") >= F.lit(C.AS_OF)), path)
+    log = read_log(spark, path)
+    newest = latest_incident(log).select("incident_id", F.lit(True).alias("latest"))
+    return log.join(newest, "incident_id", "left").withColumn("latest", F.coalesce("latest", F.lit(False)))
+
+
+def _parse_answer_json(spark: SparkSession, d: str) -> DataFrame:
+    """Answers written from each day's worst hour: clean JSON, JSON within text, and a broken one."""
+    log = incidents_from_payments(_pay(spark, d))
+    label = R.root_cause_label(*[F.col(c) for c in ("platform", "app_version", "region", "provider", "error_code")])
+    fields = zip(E.ANSWER_FIELDS, ("platform", "app_version", "region", "provider", "error_code"))
+    body = F.concat(F.lit('{"insights": ["'), label, F.lit('", "second"]'),
+                    *[F.concat(F.lit(f', "{f}": "'), F.col(c), F.lit('"')) for f, c in fields], F.lit("}"))
+    kind = F.pmod("incident_id", F.lit(3))
+    text = F.when(kind == 0, body).when(kind == 1, F.concat(F.lit("Analysis:\n"), body, F.lit("\nDone."))).otherwise(
+        F.concat(F.lit('{"insights": ["'), label, F.lit("]}")))
+    fallback = {f: F.lit(R.UNKNOWN) for f in E.ANSWER_FIELDS}
+    return E.parse_answer(log.select("incident_id", text.alias("text")), "text", fallback, keep=["incident_id"])
+
+
+def _insight_cards(spark: SparkSession, d: str) -> DataFrame:
+    return E.insight_cards(_insight_lines(spark, d), keep=["conv_id", "turn"])
 
 
 def _gold_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -140,8 +193,12 @@ def _anomaly_of(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     # sources
     "silver_payments": _pay,
+    "ingest_payments": _ingest_payments,
+    "ingest_game_events": _ingest_game_events,
+    "silver_named": _silver_named,
+    "incident_log": _incident_log,
     "silver_game_events": lambda s, d: X.game_events_from_payments(_pay(s, d)),
-    "silver_payments_bucketed": lambda s, d: silver_payments_bucketed(s, d),
+    "silver_payments_bucketed": lambda s, d: silver_payments_bucketed(s, d, buckets=16, salt=8),
     "table_counts": _table_counts,
     "validate_segment_status": lambda s, d: validate_segment_status(_pay(s, d), C.AS_OF, C.FOCUS_SEGMENT),
     "validate_hourly_success": lambda s, d: validate_hourly_success(_pay(s, d), C.AS_OF),
@@ -166,14 +223,14 @@ QUERIES: dict[str, Query] = {
     "anomaly_windows": lambda s, d: _ia(s, d).windows_by_metric,
     "anomaly_bounds": lambda s, d: _ia(s, d).bounds,
     # drill-downs in the window
-    "drill_version": lambda s, d: _ia(s, d, series_from_cube=True).drill_version(),
-    "drill_region": lambda s, d: _ia(s, d, series_from_cube=True).drill_region(),
-    "drill_provider": lambda s, d: _ia(s, d, series_from_cube=True).drill_provider(),
-    "drill_all": lambda s, d: _ia(s, d, series_from_cube=True).drill_all(),
+    "drill_version": lambda s, d: _ia(s, d).drill_version(),
+    "drill_region": lambda s, d: _ia(s, d).drill_region(),
+    "drill_provider": lambda s, d: _ia(s, d).drill_provider(),
+    "drill_all": lambda s, d: _ia(s, d).drill_all(),
     "top_errors": lambda s, d: _ia(s, d).top_errors(),
     "top_errors_prev_day": lambda s, d: _ia(s, d).top_errors_prev_day(),
     "error_delta": lambda s, d: _ia(s, d).error_delta(),
-    "segment_vs_rest": lambda s, d: _ia(s, d, series_from_cube=True).segment_vs_rest(),
+    "segment_vs_rest": lambda s, d: _ia(s, d).segment_vs_rest(),
     "error_distribution": lambda s, d: _ia(s, d).error_distribution(),
     "segment_fail_rate": lambda s, d: _ia(s, d).segment_fail_rate(),
     "errors_by_provider": lambda s, d: _ia(s, d).errors_by_provider(),
@@ -181,6 +238,7 @@ QUERIES: dict[str, Query] = {
     "sample_failures": lambda s, d: _ia(s, d).sample_failures(),
     "top_error_codes": lambda s, d: _ia(s, d).top_error_codes(),
     "fail_rate_by_platform": lambda s, d: fail_rate_by_platform(_pay(s, d)),
+    "fail_rate_per_platform": lambda s, d: fail_rate_per_platform(_pay(s, d)),
     # impact, attribution, ranking
     "user_impact": lambda s, d: _ia(s, d).user_impact(),
     "impact_summary": lambda s, d: _ia(s, d).impact_summary(),
@@ -190,14 +248,19 @@ QUERIES: dict[str, Query] = {
     "root_cause_label": _root_cause_label,
     "root_cause_rank": lambda s, d: _ia(s, d).root_cause_rank(),
     # text and payloads
-    "evidence_text": lambda s, d: _ia(s, d, series_from_cube=True).evidence_text(),
-    "evidence_bundle": lambda s, d: _ia(s, d, series_from_cube=True).evidence_bundle(),
+    "evidence_text": lambda s, d: _ia(s, d).evidence_text(),
+    "evidence_bundle": lambda s, d: _ia(s, d).evidence_bundle(),
     "evidence_lines": lambda s, d: _ia(s, d).evidence_lines(),
     "alert_payload": _alert_payload,
+    "root_cause_card": lambda s, d: _ia(s, d).root_cause_card(),
+    "report_card": lambda s, d: _ia(s, d).report_card(),
+    "insight_cards": _insight_cards,
     "parse_answer": _parse_answer,
+    "parse_answer_json": _parse_answer_json,
     "insight_lines": _insight_lines,
     # sinks and refresh
     "refresh_gold": _refresh_gold,
+    "gold_named_summary": _gold_named_summary,
     "sink_overwrite": _sink_overwrite,
     "sink_append": _sink_append,
     "kpi_5m_stream": _kpi_stream,

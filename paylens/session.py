@@ -54,13 +54,16 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder for checkpoints and written tables.
 
     Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir).
-    Only when neither is set — local runs and tests — a fresh folder under
-    the system temp directory is created and registered.
+    Only when neither is set and the master is local — tests — a fresh folder
+    under the system temp directory is created and registered; on a cluster a
+    folder of one machine would lose rows, so that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="paylens-ckpt-")
         spark.sparkContext.setCheckpointDir(d)
         try:  # core confs may be read-only at runtime; the context setting is what counts

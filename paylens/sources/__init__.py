@@ -8,5 +8,5 @@ from paylens.sources.fixtures import (  # noqa: F401
     silver_game_events,
     silver_payments,
 )
-from paylens.sources.sinks import append_table, overwrite_table, read_written  # noqa: F401
+from paylens.sources.sinks import append_named, append_table, overwrite_table, read_written, replace_named  # noqa: F401
 from paylens.sources.tables import read_table, register_views  # noqa: F401

@@ -18,8 +18,6 @@ events.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,25 +30,31 @@ KEYS = ["user_id", "salt"]
 
 def write_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int, path: str) -> DataFrame:
     """``CREATE TABLE name USING parquet CLUSTERED BY (keys) SORTED BY (keys) INTO n BUCKETS``."""
-    (df.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    # one task per bucket, so a table has as many files as buckets
+    (df.repartition(buckets, *keys).write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
      .option("path", path).saveAsTable(name))
     return df.sparkSession.table(name)
 
 
-def bucketed_sources(spark: SparkSession, sf_dir: str, buckets: int = 64, salt: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Events and customers written once as co-bucketed, salted tables."""
-    tag = uuid.uuid4().hex[:8]
+def bucketed_sources(spark: SparkSession, sf_dir: str, buckets: int, salt: int) -> tuple[DataFrame, DataFrame]:
+    """Events and customers written once as co-bucketed, salted tables.
+
+    ``buckets`` and ``salt`` belong to the data: bytes of events / (buckets) is
+    what a task reads and sorts (aim at 1 GB or less), and a hot user's share of
+    the events / ``salt`` should not exceed that either.  The two table names are
+    fixed: a new call replaces the tables of the last one.
+    """
     base = unique_shared_path(spark, "bucketed")
     ev = read_table(spark, sf_dir, "events").withColumn(
         "salt", F.pmod(F.xxhash64("event_id"), F.lit(salt)).cast("int"))
     cu = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"]).select(
         F.col("c_custkey").alias("user_id"), "c_nationkey",
         F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("salt"))
-    return (write_bucketed(ev, f"paylens_events_{tag}", KEYS, buckets, f"{base}/events"),
-            write_bucketed(cu, f"paylens_customer_{tag}", KEYS, buckets, f"{base}/customer"))
+    return (write_bucketed(ev, "paylens_events_bucketed", KEYS, buckets, f"{base}/events"),
+            write_bucketed(cu, "paylens_customer_bucketed", KEYS, buckets, f"{base}/customer"))
 
 
-def silver_payments_bucketed(spark: SparkSession, sf_dir: str, buckets: int = 64, salt: int = 8) -> DataFrame:
+def silver_payments_bucketed(spark: SparkSession, sf_dir: str, buckets: int, salt: int) -> DataFrame:
     """``silver_payments`` computed over the co-bucketed tables."""
     ev, cu = bucketed_sources(spark, sf_dir, buckets, salt)
     nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"])

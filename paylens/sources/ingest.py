@@ -4,8 +4,8 @@ The reference builds its silver tables from rows whose ``event_ts`` is an
 ISO-8601 string and parses it with ``to_timestamp``.  Here the raw records
 are read by Spark with an explicit all-string schema (no inference pass over
 the data) and typed in one projection; timestamps become TIMESTAMP_NTZ (wall
-clock, no session time zone) and unparsable values become NULL rather than
-failing the job under ANSI mode.
+clock, no session time zone).  A value that does not parse becomes NULL rather
+than failing the job under ANSI mode, and its column is named in ``rejected``.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from paylens.sources.fixtures import GAME_EVENT_COLUMNS, PAYMENT_COLUMNS
 
 PAYMENT_TYPES = {"event_id": "bigint", "event_ts": "timestamp_ntz", "amount": "double"}
 GAME_EVENT_TYPES = {"event_id": "bigint", "event_ts": "timestamp_ntz"}
+REJECTED = "rejected"
 
 
 def text_schema(columns: list[str]) -> T.StructType:
@@ -25,8 +26,24 @@ def text_schema(columns: list[str]) -> T.StructType:
 
 
 def typed(raw: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Cast text columns to their types (``try_cast``: bad values → NULL)."""
-    return raw.select(*[F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in raw.columns])
+    """Cast text columns to their types; ``rejected`` lists the columns whose text did not parse."""
+    bad = F.array_compact(F.array(*[
+        F.when(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull(), F.lit(c)) for c, t in types.items()]))
+    return raw.select(*[F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in raw.columns],
+                      bad.alias(REJECTED))
+
+
+def rejects(typed_rows: DataFrame) -> DataFrame:
+    """Rows with at least one unparsable value."""
+    return typed_rows.where(F.size(REJECTED) > 0)
+
+
+def write_text(df: DataFrame, path: str) -> None:
+    """Write a typed table as JSON text records with ISO-8601 timestamps (the raw form of the tables)."""
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c)
+    kinds = dict(df.dtypes)
+    df.select(*[iso(c) if kinds[c].startswith("timestamp") else F.col(c).cast("string").alias(c)
+                for c in df.columns]).write.json(path)
 
 
 def read_payments(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:

@@ -8,14 +8,20 @@ one or two days, not the whole history.  Rows are clustered by time inside each
 partition so parquet row-group statistics prune the time range further.
 
 Writes go through Spark's file committer, so a failed or retried task never
-leaves partial files in the visible table; an overwrite replaces only the
-partitions it writes when ``dynamic`` is set.
+leaves partial files in the visible table.  Overwriting a *path* is not a safe
+replace: Spark removes the old files before it commits the new ones (with
+``dynamic``, only those of the partitions it writes; a day without rows any more
+keeps its files).  Replacing a *named* table is: the new files go to a location
+of their own and the name is switched once they are complete.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from paylens.session import unique_shared_path
 
 PARTITION_COL = "dt"
 
@@ -53,7 +59,45 @@ def append_table(df: DataFrame, path: str, ts_col: str, cluster: bool = True) ->
     _layout(_with_day(df, ts_col), ts_col, cluster).write.mode("append").partitionBy(PARTITION_COL).parquet(path)
 
 
-def read_written(spark: SparkSession, path: str, keep_partition: bool = False) -> DataFrame:
-    """Read a table written by this module; drop the partition column unless asked."""
-    df = spark.read.parquet(path)
+def written_schema(df: DataFrame, ts_col: str) -> T.StructType:
+    """Schema of the files that :func:`overwrite_table` writes for ``df``, the day last."""
+    s = _with_day(df, ts_col).schema
+    return T.StructType([f for f in s if f.name != PARTITION_COL] + [s[PARTITION_COL]])
+
+
+def read_written(spark: SparkSession, path: str, keep_partition: bool = False,
+                 schema: T.StructType | None = None) -> DataFrame:
+    """Read a table written by this module; drop the partition column unless asked.
+
+    An empty write leaves no file to infer a schema from: pass ``schema``
+    (:func:`written_schema`) wherever the table may be empty.
+    """
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    df = reader.parquet(path)
     return df if keep_partition else df.drop(PARTITION_COL)
+
+
+# -- named tables -----------------------------------------------------------------
+
+def replace_named(df: DataFrame, name: str, ts_col: str) -> DataFrame:
+    """``CREATE OR REPLACE TABLE name AS SELECT``: external table, day-partitioned.
+
+    The files are written to a fresh location under the shared folder first;
+    until that write has succeeded the old table stays as it is.
+    """
+    spark = df.sparkSession
+    path = unique_shared_path(spark, name.split(".")[-1])
+    overwrite_table(df, path, ts_col)
+    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in written_schema(df, ts_col))
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"CREATE TABLE {name} ({cols}) USING parquet PARTITIONED BY ({PARTITION_COL}) LOCATION '{path}'")
+    spark.sql(f"MSCK REPAIR TABLE {name}")
+    return spark.table(name)
+
+
+def append_named(df: DataFrame, name: str, ts_col: str) -> DataFrame:
+    """``INSERT INTO name`` in one job."""
+    spark = df.sparkSession
+    _layout(_with_day(df, ts_col), ts_col, True).select(*spark.table(name).columns).write.insertInto(name)
+    spark.catalog.refreshTable(name)
+    return spark.table(name)

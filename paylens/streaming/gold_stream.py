@@ -19,9 +19,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paylens.plans.gold import refresh_gold
+from paylens.plans.gold import read_gold_anomaly, refresh_gold
 from paylens.sources.fixtures import payments_from_events
-from paylens.sources.sinks import PARTITION_COL
+from paylens.sources.sinks import PARTITION_COL, written_schema
 
 
 def _append_batch(batch: DataFrame, silver_path: str, batch_id: int) -> None:
@@ -42,19 +42,16 @@ def run_gold_stream(spark: SparkSession, events_dir: str, events_glob: str, regi
     state = {"gold": False}
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        # used twice (append, touched days): keep it for this batch only
-        batch = batch.persist()
-        try:
-            _append_batch(batch, silver_path, batch_id)
-            silver = spark.read.parquet(silver_path).drop("batch")
-            if not state["gold"] and not _exists(spark, f"{gold_path}/gold_kpi_5m"):
-                refresh_gold(spark, silver, location=gold_path)
-            else:
-                touched = batch.select(F.to_date("event_ts").alias("dt"))
-                refresh_gold(spark, silver, location=gold_path, days=touched)
-            state["gold"] = True
-        finally:
-            batch.unpersist()
+        _append_batch(batch, silver_path, batch_id)
+        schema = written_schema(batch, "event_ts")
+        silver = spark.read.schema(schema).parquet(silver_path)
+        if not state["gold"] and not _exists(spark, f"{gold_path}/gold_kpi_5m"):
+            refresh_gold(spark, silver, location=gold_path)
+        else:
+            # the days of the batch are the folders it has just written
+            touched = spark.read.schema(schema).parquet(f"{silver_path}/batch={batch_id}").select(PARTITION_COL)
+            refresh_gold(spark, silver, location=gold_path, days=touched)
+        state["gold"] = True
 
     q = (
         payments_from_events(stream, regions)
@@ -64,7 +61,7 @@ def run_gold_stream(spark: SparkSession, events_dir: str, events_glob: str, regi
         .start()
     )
     q.awaitTermination()
-    return spark.read.parquet(f"{gold_path}/gold_anomaly").drop(PARTITION_COL)
+    return read_gold_anomaly(spark, gold_path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -1,4 +1,15 @@
-"""Structured Streaming twin of the KPI cube.
+"""Structured Streaming twins of the KPI cube.
+
+Two forms:
+
+* :func:`run_partial_kpi_stream` — every micro-batch writes its own partial cube
+  (sums and counts per bucket and segment) under its batch id, and the cube is
+  the sum of the partials.  No state, no watermark: every row counts however late
+  it comes, open buckets are there at once, and the result does not depend on how
+  files were split into batches.  A replayed batch overwrites its own partial.
+* :func:`run_kpi_stream` — watermarked windows in append mode: each bucket is
+  emitted once, when it closes.  Buckets that are still open at the end are not
+  in the sink, and rows behind the watermark are dropped.
 
 The reference rebuilds ``gold_kpi_5m`` in batch after every change.  The
 streaming form keeps the cube current incrementally: raw events arrive as
@@ -24,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paylens.config import BUCKET_MINUTES, DIMS
-from paylens.functions.expr import bucket_start, cents, from_cents, is_fail, is_success, ratio, round_half_up
+from paylens.functions.expr import bucket_start, is_fail, is_success, micros, ratio, round_half_up, rounded_micros
 from paylens.operators.cube import BUCKET
 from paylens.sources.fixtures import payments_from_events
 
@@ -46,7 +57,7 @@ def kpi_stream(events_stream: DataFrame, regions: DataFrame, minutes: int = BUCK
         .groupBy(F.window("_ts", f"{int(minutes)} minutes"), *DIMS)
         .agg(
             F.min("_bucket").alias(BUCKET),
-            F.sum(F.when(ok, cents("amount")).otherwise(F.lit(0).cast("bigint"))).alias("_rev_cents"),
+            F.sum(F.when(ok, micros("amount")).otherwise(F.lit(0).cast("bigint"))).alias("_rev"),
             F.count(F.lit(1)).alias("pay_attempts"),
             F.count_if(ok).alias("pay_success"),
             F.count_if(is_fail()).alias("pay_fail"),
@@ -54,12 +65,52 @@ def kpi_stream(events_stream: DataFrame, regions: DataFrame, minutes: int = BUCK
     )
     return g.select(
         BUCKET, *DIMS,
-        from_cents("_rev_cents").alias("revenue"),
+        rounded_micros("_rev").alias("revenue"),
         "pay_attempts", "pay_success", "pay_fail",
         round_half_up(ratio("pay_success", "pay_attempts"), 4).alias("pay_success_rate"),
     )
 
 
+def partial_kpi(payments: DataFrame, minutes: int = BUCKET_MINUTES) -> DataFrame:
+    """Mergeable cube rows: sums and counts, nothing rounded."""
+    ok = is_success()
+    return payments.groupBy(bucket_start("event_ts", minutes).alias(BUCKET), *DIMS).agg(
+        F.sum(F.when(ok, micros("amount")).otherwise(F.lit(0).cast("bigint"))).alias("rev"),
+        F.count(F.lit(1)).alias("attempts"), F.count_if(ok).alias("success"), F.count_if(is_fail()).alias("fail"))
+
+
+def merged_kpi(partials: DataFrame) -> DataFrame:
+    """The cube from partial cubes of disjoint sets of payments."""
+    g = partials.groupBy(BUCKET, *DIMS).agg(
+        F.sum("rev").alias("_rev"), F.sum("attempts").alias("pay_attempts"),
+        F.sum("success").alias("pay_success"), F.sum("fail").alias("pay_fail"))
+    return g.select(BUCKET, *DIMS, rounded_micros("_rev").alias("revenue"), "pay_attempts", "pay_success", "pay_fail",
+                    round_half_up(ratio("pay_success", "pay_attempts"), 4).alias("pay_success_rate"))
+
+
+def _events_stream(spark: SparkSession, events_dir: str, events_glob: str, max_files_per_trigger: int | None) -> DataFrame:
+    schema = spark.read.parquet(f"{events_dir.rstrip('/')}/{events_glob}").schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", events_glob)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    return reader.parquet(events_dir)
+
+
+def run_partial_kpi_stream(spark: SparkSession, events_dir: str, events_glob: str, regions: DataFrame,
+                           out_path: str, checkpoint_path: str, minutes: int = BUCKET_MINUTES,
+                           max_files_per_trigger: int | None = None) -> DataFrame:
+    """Process everything available now; returns the merged cube of all batches so far."""
+    pay = payments_from_events(_events_stream(spark, events_dir, events_glob, max_files_per_trigger), regions)
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        partial_kpi(batch, minutes).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+
+    q = (pay.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint_path)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return merged_kpi(spark.read.parquet(out_path))
+
+
 def run_kpi_stream(spark: SparkSession, events_dir: str, events_glob: str, regions: DataFrame,
                    out_path: str, checkpoint_path: str, minutes: int = BUCKET_MINUTES,
                    watermark: str = "10 minutes", max_files_per_trigger: int | None = None) -> None:
@@ -68,11 +119,7 @@ def run_kpi_stream(spark: SparkSession, events_dir: str, events_glob: str, regio
     The checkpoint (offsets + aggregation state) lives in the shared folder, so
     a restarted query resumes where it stopped instead of re-reading history.
     """
-    schema = spark.read.parquet(f"{events_dir.rstrip('/')}/{events_glob}").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", events_glob)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    stream = reader.parquet(events_dir)
+    stream = _events_stream(spark, events_dir, events_glob, max_files_per_trigger)
     q = (
         kpi_stream(stream, regions, minutes, watermark)
         .writeStream.outputMode("append")

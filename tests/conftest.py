@@ -21,7 +21,7 @@ PAYMENT_DDL = (
 def spark():
     from paylens.session import build_session, shared_dir
 
-    s = build_session("local[4]", shuffle_partitions=4, extra={"spark.ui.showConsoleProgress": "false"})
+    s = build_session("local[3]", shuffle_partitions=3, extra={"spark.ui.showConsoleProgress": "false"})
     shared_dir(s)  # tests: a fresh checkpoint folder under the temp dir
     yield s
     s.stop()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from paylens.operators import seasonal as A
@@ -155,3 +156,22 @@ def test_null_timestamp_is_its_own_bucket_and_vanishes_in_anomaly(make_payments)
     k = kpi(p).collect()
     assert sorted(r.bucket_5m is None for r in k) == [False, False, True]
     assert all(r.bucket_5m is not None for r in _anomaly(p).collect())
+
+
+def test_amounts_below_a_cent_are_summed_before_rounding(make_payments):
+    rows = [pay_row(i, "2024-01-01 10:00:00", "success", 0.004) for i in range(1000)]
+    p = make_payments(rows)
+    assert kpi(p).collect()[0].revenue == 4.0
+    assert overall_from_payments(p).collect()[0].revenue == 4.0
+
+
+def test_rounding_holds_for_large_and_small_values(spark):
+    from paylens.functions.expr import round_half_up
+    df = spark.createDataFrame([(123456789.125, 0.285, 0.2849999)], "a double, b double, c double")
+    r = df.select(*[round_half_up(c, 2).alias(c) for c in df.columns]).first()
+    assert (r.a, r.b, r.c) == (123456789.13, 0.29, 0.28)
+
+
+def test_unknown_baseline_mode_is_refused(spark, make_payments):
+    with pytest.raises(ValueError):
+        A.baselines(overall(kpi(make_payments([pay_row(1, "2024-01-01 10:00:00")]))), "all_days")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 
+import pytest
+
 from paylens.session import shared_dir, unique_shared_path
 
 
@@ -19,8 +21,9 @@ class _Conf:
 
 
 class _Ctx:
-    def __init__(self, ckpt=None):
+    def __init__(self, ckpt=None, master="local[2]"):
         self.ckpt = ckpt
+        self.master = master
         self.set_calls = []
 
     def getCheckpointDir(self):
@@ -32,9 +35,9 @@ class _Ctx:
 
 
 class _Session:
-    def __init__(self, conf, ckpt=None):
+    def __init__(self, conf, ckpt=None, master="local[2]"):
         self.conf = _Conf(conf)
-        self.sparkContext = _Ctx(ckpt)
+        self.sparkContext = _Ctx(ckpt, master)
 
 
 def test_configured_folder_is_used_and_never_replaced():
@@ -56,3 +59,9 @@ def test_local_folder_only_when_nothing_is_set():
     d = shared_dir(s)
     assert os.path.isdir(d) and s.sparkContext.set_calls == [d]
     assert shared_dir(s) == d  # stable afterwards
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "local-cluster[2,1,1024]"])
+def test_a_cluster_without_a_shared_folder_is_refused(master):
+    with pytest.raises(RuntimeError):
+        shared_dir(_Session({}, master=master))
