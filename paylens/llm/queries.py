@@ -12,6 +12,7 @@ from paylens.llm.language import op5_language
 from paylens.llm.licenses import op2_license_scan
 from paylens.llm.mixing import op3_mix_sources
 from paylens.llm.near_dup import op10_near_dup
+from paylens.llm.oracle import ORACLE_SQL  # noqa: F401
 from paylens.llm.pii import op4_pii
 from paylens.llm.quality import op1_quality
 from paylens.llm.secrets import op6_secret_scan
@@ -32,5 +33,3 @@ QUERIES: dict[str, Query] = {
     "op9_vector_search": lambda s, d: op9_vector_search(table(s, d, "embeddings")),
     "op10_near_dup": lambda s, d: op10_near_dup(table(s, d, "documents")),
 }
-
-ORACLE_SQL: dict[str, str] = {}
