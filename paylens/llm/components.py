@@ -41,3 +41,15 @@ def components(edges: DataFrame) -> DataFrame:
         seen, e = mark, written(_small_star(_large_star(e)), "edges")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def merged(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components ``comp`` after adding ``edges``: only the graph of components is solved anew."""
+    root = lambda c: comp.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    between = edges.join(root("a"), "a", "left").join(root("b"), "b", "left").select(
+        F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    top = components(between).toDF("root", "top")
+    known = comp.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    # nodes that had no component of their own
+    return known.unionByName(top.join(comp.select(F.col("node").alias("root")), "root", "left_anti").select(
+        F.col("root").alias("node"), F.col("top").alias("root")))

@@ -16,10 +16,11 @@ probability (1 - 0.8^5)^40, about 1e-7.
 compares its nodes with one pseudorandom hub of its own; pairs whose full
 shingle sets pass are links, and connected components are taken.  A bucket
 that lies in one component has no more to tell.  In the others, nodes outside
-the hub's component are compared with every node of another component, after a
-size and a sketch filter, and components are taken again.  So every pair of a
-bucket is either compared on its full sets, or already connected, or its
-sketches exclude the threshold by about seven standard deviations.
+the hub's component are compared with the nodes of other components that an
+exact prefix and position filter over the shingles, rarest first, leaves
+(:func:`rare_pairs`), and components are taken again.  So every pair of a bucket
+is compared on its full sets, or already connected, or excluded by an exact
+bound, or its sketches exclude the threshold by about seven standard deviations.
 
 Results: words are lower-cased A-Z and split at white space; a document's set
 is its distinct 2-word shingles, or its whole word sequence if it has fewer
@@ -36,11 +37,12 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paylens.llm.common import written
-from paylens.llm.components import components
-from paylens.llm.hashing import GOLD, WordHash, mixed
+from paylens.llm.components import components, merged
+from paylens.llm.hashing import GOLD, WordHash, distinct, grams, mixed
 
 BANDS, ROWS = 40, 5
 T = BANDS * ROWS
@@ -50,15 +52,8 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 def shingle_set(text: str | None, width: int, hashes: WordHash) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the ``width``-word shingles (see the module text)."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = hashes.of(words)
-    n = max(1, len(h) - width + 1)
-    out = np.full(n, len(h) if len(h) < width else width, np.uint64)
-    for j in range(min(width, len(h))):
-        out = mixed(out * GOLD + h[j:j + n])
-    return np.unique(out)
+    h = hashes.of((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
+    return distinct(grams(h, min(width, len(h)))) if len(h) else h
 
 
 def sketch(elements: np.ndarray, t: int = T) -> np.ndarray:
@@ -151,6 +146,31 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, coords: int) -> D
             .where(100 * both >= percent * (F.size("_x") + F.size("_y") - both)).select("a", "b").distinct())
 
 
+def rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of a stray and a node of another component that may reach the similarity.
+
+    Exact filters, none by sampling.  Each node's shingles are put in one common
+    order, rarest first.  Sets that reach the similarity overlap in at least
+    ``percent / (100 + percent)`` of their summed sizes, so they share a shingle
+    among the first ``n - ceil(n * percent / 100) + 1`` of either, and after the
+    first one they share (at ranks i and j) enough must be left on both sides.
+    Nodes that have only a common passage in common, or are copies of one text
+    with too many edits of their own, share no early shingle and never meet.
+    """
+    held = sets.join(nodes, "node").select("node", "comp", "stray", F.size("shingles").alias("n"),
+                                           F.xxhash64("shingles").alias("row"), F.explode("shingles").alias("s"))
+    often = held.groupBy("s").agg(F.count(F.lit(1)).alias("times"))
+    rank = F.row_number().over(W.partitionBy("node", "row").orderBy("times", "s"))
+    early = held.join(often, "s").withColumn("i", rank).where(
+        F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("times > 1")
+    early = written(early.select("s", "node", "comp", "stray", "n", "i"), "early-shingles")
+    stray = early.where("stray").select("s", *[F.col(c).alias(f"x_{c}") for c in ("node", "comp", "n", "i")])
+    left = 1 + F.least(F.col("n") - F.col("i"), F.col("x_n") - F.col("x_i"))
+    return (stray.join(early, "s").where("comp <> x_comp and (not stray or x_node < node)")
+            .where(left * (100 + percent) >= (F.col("n") + F.col("x_n")) * percent)
+            .select(F.greatest("node", "x_node").alias("a"), F.least("node", "x_node").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS,
                     rows: int = ROWS) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` per row of ``docs`` (``doc_id``, ``text``).
@@ -186,14 +206,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     m = written(m, "members")
     open_ = m.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most"),
                                   F.max(F.when(F.col("node") == F.col("hub"), F.col("comp"))).alias("hub_comp"))
-    m = m.join(open_.where("least < most").select("band", "hub_comp"), "band")
-    stray = m.where("comp <> hub_comp").select("band", F.col("node").alias("s"), F.col("n").alias("s_n"),
-                                              F.col("comp").alias("s_comp"))
-    rest = (stray.join(m.where("node <> hub"), "band")
-            .where("comp <> s_comp and (comp = hub_comp or s < node)").where(size_ok(F.col("n"), F.col("s_n")))
-            .select(F.greatest("node", "s").alias("a"), F.least("node", "s").alias("b")).distinct())
-    more = confirmed(rest, sets, percent, bands * rows)
-    comp = components(written(links.unionByName(more), "links"))
+    m = m.join(open_.where("least < most").select("band", "hub_comp"), "band").select(
+        "node", "comp", (F.col("comp") != F.col("hub_comp")).alias("stray"))
+    m = written(m.groupBy("node").agg(F.first("comp").alias("comp"), F.max("stray").alias("stray")), "open-nodes")
+    more = confirmed(written(rare_pairs(m, sets, percent), "pairs"), sets, percent, bands * rows)
+    comp = merged(comp, written(more, "links"))
 
     out = known.join(node_of, ["k1", "k2"]).join(comp, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("component_id"))
