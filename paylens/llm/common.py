@@ -19,15 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write ``df`` under the cluster's shared folder and read it back.
 
     Cuts the lineage: what is built on the result survives lost executors
-    without recomputing the input.
+    without recomputing the input.  The shuffle files of the finished job are
+    dead from here on; Spark deletes them when the driver collects its garbage,
+    which ``release`` asks for after a job that shuffled much.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if release:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,16 +11,16 @@ words; the graph that matters holds the edges that occur in several documents.
    k-mer whose minimizer occurs in one text only cannot repeat.  Only about
    2 / (K - M + 2) of a text's runs are minimizers of its k-mers, so this
    first shuffle is a fraction of the input.
-3. *Edges.*  The k-mers that pass are grouped by a 96-bit hash: first
-   coordinate (smallest document, then position), number of occurrences and a
-   colour, the sum of the hashes of the documents it occurs in.
-4. *Paths.*  Two edges that follow each other in their common first document
-   and have the same count and colour are walked by the same documents the same
-   number of times, so the node between them does not branch: the edges are
-   joined to their predecessor by source coordinate and merge into paths.
-5. *Spans.*  Occurrences join the edges; runs of occurrences that advance in
-   step with the source coordinates of a path are its spans.  A span is removed
-   where its source is a document with a smaller id.
+3. *Edges.*  The k-mers that pass are grouped by a 96-bit hash: first document,
+   number of occurrences and a colour, the sum of the hashes of the documents
+   it occurs in.
+4. *Paths.*  Two edges that follow each other in a document and agree in first
+   document, count and colour are walked by the same documents the same number
+   of times, so the node between them does not branch: occurrences join the
+   edges and merge with their predecessors into nonbranching paths.
+5. *Spans.*  A path walked by a later document than its first is a repeated
+   span; it is joined to the path of its source document, whose coordinates
+   confirm it.
 
 Results: a NULL text has no words; a row without ``doc_id`` is neither a source
 nor changed; rows that repeat a ``doc_id`` do not remove each other's words,
@@ -40,14 +40,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paylens.llm.common import written
-from paylens.llm.hashing import WordHash, grams
+from paylens.llm.hashing import WordHash, distinct, grams, sliding_min
 
 K = 13  # words of a window
-M = 5   # words of a minimizer
+M = 7   # words of a minimizer
+MAX_BROADCAST_ROWS = 1_000_000  # document keys, 16 bytes each
+
+
+def _bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
 
 
 def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").split()
+    return _bytes(text).split()
 
 
 def _key(words: list[bytes]) -> tuple[int, int]:
@@ -57,8 +62,7 @@ def _key(words: list[bytes]) -> tuple[int, int]:
 
 def _minimizers(h: np.ndarray, k: int, m: int) -> np.ndarray:
     """Minimizer of every k-mer."""
-    g = grams(h, m, 1)
-    return np.lib.stride_tricks.sliding_window_view(g, k - m + 1).min(axis=1)
+    return sliding_min(grams(h, m, 1), k - m + 1)
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -83,9 +87,10 @@ def minimizers(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
         for b in batches:
             mini, ids, keys = [], [], []
             for i, r, t in zip(b["doc_id"], b["row"], b["text"]):
-                w = _words(t)
-                if len(w) >= k:
-                    u = np.unique(_minimizers(hashes.of(w), k, m)).view(np.int64)
+                h = hashes.of(_bytes(t))
+                if len(h) >= k:
+                    u = _minimizers(h, k, m)
+                    u = distinct(u[np.append(True, u[1:] != u[:-1])]).view(np.int64)
                     mini.append(u)
                     ids.append(np.full(len(u), i, np.int64))
                     keys.append(np.full(len(u), r, np.int64))
@@ -103,7 +108,7 @@ def kmers(hit: DataFrame, k: int = K, m: int = M) -> DataFrame:
         for b in batches:
             cols: list[list[np.ndarray]] = [[], [], [], [], []]
             for i, r, t, minis in zip(b["doc_id"], b["row"], b["text"], b["minis"]):
-                h = hashes.of(_words(t))
+                h = hashes.of(_bytes(t))
                 at = np.flatnonzero(np.isin(_minimizers(h, k, m).view(np.int64), minis))
                 for c, v in zip(cols, (grams(h, k, 2)[at].view(np.int64), grams(h, k, 3)[at].astype(np.uint32).view(np.int32),
                                        np.full(len(at), i, np.int64), np.full(len(at), r, np.int64),
@@ -116,36 +121,44 @@ def kmers(hit: DataFrame, k: int = K, m: int = M) -> DataFrame:
 
 
 def edges(occurrences: DataFrame) -> DataFrame:
-    """Repeated edges: hash, source coordinate, occurrences and colour."""
+    """Repeated edges ``(h1, h2, src_doc, times, colour)``: first document, occurrences and colour."""
     e = occurrences.groupBy("h1", "h2").agg(
-        F.min(F.struct("doc_id", "row", "pos")).alias("src"), F.max("doc_id").alias("_last"),
-        F.count(F.lit(1)).alias("times"), F.sum(F.expr("xxhash64(doc_id) % 1000000007L")).alias("colour"))
-    return e.where("src.doc_id < _last").select(
-        "h1", "h2", "times", "colour", F.col("src.doc_id").alias("src_doc"), F.col("src.row").alias("src_row"),
-        F.col("src.pos").alias("src_pos"))
+        F.min("doc_id").alias("src_doc"), F.max("doc_id").alias("_last"), F.count(F.lit(1)).alias("times"),
+        F.sum(F.expr("xxhash64(doc_id) % 1000000007L")).alias("colour"))
+    return e.where("src_doc < _last").drop("_last")
 
 
-def paths(e: DataFrame) -> DataFrame:
-    """``e`` with ``path``, the source position where each edge's nonbranching path starts."""
-    line = W.partitionBy("src_doc", "src_row").orderBy("src_pos")
-    follows = ((F.lag("src_pos").over(line) == F.col("src_pos") - 1) & (F.lag("times").over(line) == F.col("times"))
-               & (F.lag("colour").over(line) == F.col("colour")))
-    return e.withColumn("_head", F.when(F.coalesce(follows, F.lit(False)), None).otherwise(F.col("src_pos"))).withColumn(
-        "path", F.max("_head").over(line.rowsBetween(W.unboundedPreceding, 0))).drop("_head")
+def paths(occurrences: DataFrame, e: DataFrame, k: int = K) -> DataFrame:
+    """``(doc_id, row, start, stop, src_doc, path)``: the nonbranching paths that each document walks.
 
-
-def spans(occurrences: DataFrame, e: DataFrame, k: int = K) -> DataFrame:
-    """Repeats of earlier documents: ``(doc_id, row, start, stop, src_doc, path, src_start)`` in words, ``stop`` exclusive."""
-    hit = occurrences.join(e, ["h1", "h2"]).where("src_doc < doc_id")
+    Edges are joined to their predecessor by coordinate: while the first document,
+    count and colour stay the same, every document that walks one edge walks the
+    next, so the node between them does not branch.  ``start`` and ``stop``
+    (exclusive) are words; ``path`` names the path by its first edge.
+    """
     line = W.partitionBy("doc_id", "row").orderBy("pos")
-    prev = lambda c: F.lag(c).over(line)
-    on = ((prev("pos") == F.col("pos") - 1) & (prev("src_doc") == F.col("src_doc"))
-          & (prev("path") == F.col("path")) & (prev("src_pos") == F.col("src_pos") - 1))
-    hit = hit.withColumn("_new", F.when(F.coalesce(on, F.lit(False)), 0).otherwise(1)).withColumn(
+    same = lambda c: F.lag(c).over(line) == F.col(c)
+    on = (F.lag("pos").over(line) == F.col("pos") - 1) & same("src_doc") & same("times") & same("colour")
+    x = occurrences.join(e, ["h1", "h2"]).withColumn("edge", F.xxhash64("h1", "h2")).drop("h1", "h2")
+    x = x.withColumn("_new", F.when(F.coalesce(on, F.lit(False)), 0).otherwise(1)).withColumn(
         "_run", F.sum("_new").over(line.rowsBetween(W.unboundedPreceding, 0)))
-    return hit.groupBy("doc_id", "row", "_run").agg(
+    return x.groupBy("doc_id", "row", "_run").agg(
         F.min("pos").alias("start"), (F.max("pos") + k).alias("stop"), F.first("src_doc").alias("src_doc"),
-        F.first("path").alias("path"), F.min("src_pos").alias("src_start")).drop("_run")
+        F.max(F.when(F.col("_new") == 1, F.col("edge"))).alias("path")).drop("_run")
+
+
+def verified_spans(p: DataFrame) -> DataFrame:
+    """Paths walked again after their first document, with the source coordinates that confirm them.
+
+    ``(doc_id, row, start, stop, src_doc, src_start, confirmed)``: ``confirmed`` if the
+    source document walks the same path over the same number of words.
+    """
+    src = p.where("doc_id = src_doc").groupBy("doc_id", "path").agg(
+        F.min("start").alias("src_start"), F.max(F.col("stop") - F.col("start")).alias("src_length"))
+    again = p.where("doc_id > src_doc")
+    x = again.join(src.withColumnRenamed("doc_id", "src_doc"), ["src_doc", "path"], "left")
+    return x.select("doc_id", "row", "start", "stop", "src_doc", "src_start",
+                    F.coalesce(F.col("src_length") >= F.col("stop") - F.col("start"), F.lit(False)).alias("confirmed"))
 
 
 def _without(hit: DataFrame) -> DataFrame:
@@ -166,31 +179,43 @@ def _without(hit: DataFrame) -> DataFrame:
     return hit.mapInPandas(run, "doc_id long, row long, n_removed long, kept_sha256 string, kept string")
 
 
-def repeated_spans(docs: DataFrame, k: int = K, m: int = M) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """``(all rows, first texts, documents with sieve hits, spans)`` of ``(doc_id, text)`` rows."""
+def sieve_hits(docs: DataFrame, rows: DataFrame, k: int = K, m: int = M) -> DataFrame:
+    """``(doc_id, row, text, minis)``: first texts with minimizers that another text has too."""
+    mini = minimizers(docs, k, m)
+    shared = mini.groupBy("mini").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("mini")
+    shared = written(shared, "shared-minimizers", release=True)
+    minis = mini.join(shared, "mini").groupBy("doc_id", "row").agg(F.collect_set("mini").alias("minis"))
+    first = rows.where((F.col("n_words") >= k) & (F.col("doc_id") == F.col("first_doc"))).select("doc_id", "row").distinct()
+    minis = written(minis.join(first, ["doc_id", "row"]), "minimizers", release=True)
+    # only these texts are needed again: send their keys to the texts while they are few
+    keys = minis.select("doc_id", "row")
+    if keys.count() <= MAX_BROADCAST_ROWS:
+        docs = docs.join(F.broadcast(keys), ["doc_id", "row"], "left_semi")
+    return docs.join(minis, ["doc_id", "row"])
+
+
+def repeated_spans(docs: DataFrame, k: int = K, m: int = M) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(all rows, documents with sieve hits, confirmed spans)`` of ``(doc_id, text)`` rows."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                        F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"))
-    rows = written(texts(docs), "texts")
+    rows = texts(docs)
+    rows = written(rows, "texts")
     first = rows.where("doc_id is not null").groupBy("t1", "t2").agg(F.min("doc_id").alias("first_doc"))
-    mini = minimizers(docs, k, m)
-    shared = mini.groupBy("mini").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("mini")
-    reps = rows.where(F.col("n_words") >= k).join(first, ["t1", "t2"]).where("doc_id = first_doc").select(
-        "doc_id", "row").distinct()
-    minis = (mini.join(shared, "mini").groupBy("doc_id", "row").agg(F.collect_set("mini").alias("minis"))
-             .join(reps, ["doc_id", "row"]))
-    hit = docs.join(minis, ["doc_id", "row"])
-    hit = written(hit, "hits")
+    rows = rows.join(first, ["t1", "t2"], "left")
+    hit = written(sieve_hits(docs, rows, k, m), "hits", release=True)
     found = kmers(hit, k, m)
-    return rows, first, hit, spans(found, paths(edges(found)), k)
+    repeated = written(edges(found), "edges", release=True)
+    walked = written(paths(found, repeated, k), "paths", release=True)
+    return rows, hit, verified_spans(walked)
 
 
 def remove_repeats(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_words, n_removed, kept_sha256``."""
-    rows, first, hit, cut = repeated_spans(docs, k, m)
+    rows, hit, cut = repeated_spans(docs, k, m)
     cuts = cut.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
     done = _without(hit.select("doc_id", "row", "text").join(cuts, ["doc_id", "row"])).drop("kept").distinct()
     nothing = hashlib.sha256(b"").hexdigest()
-    out = rows.join(first, ["t1", "t2"], "left").join(done, ["doc_id", "row"], "left")
+    out = rows.join(done, ["doc_id", "row"], "left")
     copy = (F.col("doc_id") > F.col("first_doc")) & (F.col("n_words") >= k)
     return out.select(
         "doc_id", "n_words",
