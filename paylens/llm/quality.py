@@ -28,10 +28,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_RATED = 20_000
+MAX_RATED = 8_000
 FEATURE_BITS = 30  # wide enough that a frequent word hardly ever shares its index with a rare one
 MIN_ROWS = 3       # rated rows that a feature must occur in
-STEPS = 300
+STEPS = 150
 L1 = 4.0           # about the number of contradicting rows a feature has to outweigh
 ACCEPT = 0.5  # least probability of the highest grade
 
