@@ -13,9 +13,9 @@ a whole band share a bucket.  At similarity 0.8 two sets share no bucket with
 probability (1 - 0.8^5)^40, about 1e-7.
 
 *Links without all pairs.*  Equal sets collapse to one node first.  Each bucket
-compares its nodes with one pseudorandom hub of its own; pairs whose full
-shingle sets pass are links, and connected components are taken.  A bucket
-that lies in one component has no more to tell.  In the others, nodes outside
+compares its nodes with one pseudorandom hub; pairs whose full shingle sets pass
+are links, and connected components are taken.  A bucket that lies in one
+component has no more to tell.  In the others, nodes outside
 the hub's component are compared with the nodes of other components that an
 exact prefix and position filter over the shingles, rarest first, leaves
 (:func:`rare_pairs`), and components are taken again.  So every pair of a bucket
@@ -46,6 +46,7 @@ from paylens.llm.hashing import GOLD, WordHash, distinct, grams, mixed
 
 BANDS, ROWS = 40, 5
 T = BANDS * ROWS
+HUB_ORDERS = 6
 MIN_AGREE = 0.6  # least share of equal coordinates of a pair worth comparing in full; 0.8 - 7 deviations
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -185,7 +186,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     reps = written(known.join(node_of, ["k1", "k2"]).where("doc_id = node").select("node", "n", "bands"), "nodes")
 
     placed = reps.select("node", "n", F.explode("bands").alias("band"))
-    hub = F.min(F.struct(F.xxhash64("band", "node").alias("h"), "node", "n"))
+    # one of HUB_ORDERS pseudorandom orders of the nodes picks the hub: a group meets few different hubs
+    order = F.xxhash64(F.pmod("band", F.lit(HUB_ORDERS)), "node")
+    hub = F.min(F.struct(order.alias("h"), "node", "n"))
     buckets = placed.groupBy("band").agg(hub.alias("hub"), F.max("node").alias("most"), F.min("node").alias("least"))
     buckets = buckets.where("least < most").select("band", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
     members = written(placed.join(buckets, "band"), "members")
