@@ -71,27 +71,56 @@ _CHECKS = {
 }
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+
+def sums_before(numbers: Column) -> Column:
+    """Sum of the elements before each element of a non-empty array.
+
+    Built from sums of blocks of sqrt(n) elements: n * sqrt(n) steps, so that a
+    text with very many matches does not take quadratic time.
+    """
+    def blocked(x: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(x))).cast("int")
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / width).cast("int")),
+                           lambda k: _total(F.slice(x, k * width + 1, width)))
+        before = _let(sums, lambda t: F.transform(t, lambda _, k: _total(F.slice(t, F.lit(1), k))))
+        at = lambda i: F.floor(i / width).cast("int")
+        return _let(before, lambda t: F.transform(
+            x, lambda _, i: F.get(t, at(i)) + _total(F.slice(x, at(i) * width + 1, i - at(i) * width))))
+    return _let(numbers, blocked)
+
+
 def matches(text: Column, expression: str, sign: Column) -> Column:
     """``array<struct<value, start, stop, before, after>>`` of all leftmost non-overlapping matches.
 
     The matches and the gaps around them alternate, so running lengths give offsets.
     """
-    value = F.regexp_extract_all(text, F.lit(expression), F.lit(0))
-    gaps = F.split(text, expression, -1)
-    kind = "array<struct<value:string,start:bigint,stop:bigint,before:string,after:string>>"
-    empty = F.array().cast(kind)
-    start = F.struct(F.lit(0).cast("bigint").alias("pos"), empty.alias("out"))
-
-    def step(acc: Column, z: Column) -> Column:
-        at = acc["pos"] + F.length(z["gap"])
-        end = at + F.length(z["value"])
-        one = F.struct(z["value"].alias("value"), at.alias("start"), end.alias("stop"), z["gap"].alias("before"),
-                       z["next"].alias("after"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    row = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(value)).alias("gap"), value.alias("value"),
-                       F.slice(gaps, F.lit(2), F.size(value)).alias("next"))
-    return F.when(sign, F.aggregate(row, start, step)["out"]).otherwise(empty)
+    empty = F.array().cast("array<struct<value:string,start:bigint,stop:bigint,before:string,after:string>>")
+
+    def placed(value: Column, gaps: Column) -> Column:
+        n = F.size(value)
+        sizes = F.transform(F.arrays_zip(F.slice(gaps, F.lit(1), n).alias("g"), value.alias("v")),
+                            lambda z: (F.length(z["g"]) + F.length(z["v"])).cast("bigint"))
+        row = F.arrays_zip(value.alias("value"), F.slice(gaps, F.lit(1), n).alias("before"),
+                           F.slice(gaps, F.lit(2), n).alias("after"), sums_before(sizes).alias("at"))
+
+        def span(z: Column) -> Column:
+            start = z["at"] + F.length(z["before"])
+            return F.struct(z["value"].alias("value"), start.alias("start"),
+                            (start + F.length(z["value"])).alias("stop"), z["before"].alias("before"),
+                            z["after"].alias("after"))
+        return F.when(n > 0, F.transform(row, span)).otherwise(empty)
+
+    found = _let(F.regexp_extract_all(text, F.lit(expression), F.lit(0)),
+                 lambda value: _let(F.split(text, expression, -1), lambda gaps: placed(value, gaps)))
+    return F.when(sign, found).otherwise(empty)
 
 
 def base_spans(text: Column) -> Column:
