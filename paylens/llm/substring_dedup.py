@@ -11,12 +11,11 @@ words; the graph that matters holds the edges that occur in several documents.
    k-mer whose minimizer occurs in one text only cannot repeat.  Only about
    2 / (K - M + 2) of a text's runs are minimizers of its k-mers, so this
    first shuffle is a fraction of the input.
-3. *Edges.*  The k-mers that pass are grouped by a 96-bit hash: first document,
-   number of occurrences and a colour, the sum of the hashes of the documents
-   it occurs in.
+3. *Edges.*  The k-mers that pass are grouped by a 96-bit hash: first document
+   and a colour, the sum over all occurrences of a hash of the document.
 4. *Paths.*  Two edges that follow each other in a document and agree in first
-   document, count and colour are walked by the same documents the same number
-   of times, so the node between them does not branch: occurrences join the
+   document and colour are walked by the same documents the same number of
+   times, so the node between them does not branch: occurrences join the
    edges and merge with their predecessors into nonbranching paths.
 5. *Spans.*  A path walked by a later document than its first is a repeated
    span; it is joined to the path of its source document, whose coordinates
@@ -121,30 +120,31 @@ def kmers(hit: DataFrame, k: int = K, m: int = M) -> DataFrame:
 
 
 def edges(occurrences: DataFrame) -> DataFrame:
-    """Repeated edges ``(h1, h2, src_doc, times, colour)``: first document, occurrences and colour."""
+    """Repeated edges ``(h1, h2, src_doc, colour)``: first document and colour, 32 bits of it."""
     e = occurrences.groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("src_doc"), F.max("doc_id").alias("_last"), F.count(F.lit(1)).alias("times"),
+        F.min("doc_id").alias("src_doc"), F.max("doc_id").alias("_last"),
         F.sum(F.expr("xxhash64(doc_id) % 1000000007L")).alias("colour"))
-    return e.where("src_doc < _last").drop("_last")
+    return e.where("src_doc < _last").select("h1", "h2", "src_doc", F.hash("colour").alias("colour"))
 
 
 def paths(occurrences: DataFrame, e: DataFrame, k: int = K) -> DataFrame:
     """``(doc_id, row, start, stop, src_doc, path)``: the nonbranching paths that each document walks.
 
-    Edges are joined to their predecessor by coordinate: while the first document,
-    count and colour stay the same, every document that walks one edge walks the
+    Edges are joined to their predecessor by coordinate: while the first document
+    and colour stay the same, every document that walks one edge walks the
     next, so the node between them does not branch.  ``start`` and ``stop``
-    (exclusive) are words; ``path`` names the path by its first edge.
+    (exclusive) are words; ``path`` names the path by 32 bits of its
+    first edge, enough within a document.
     """
     line = W.partitionBy("doc_id", "row").orderBy("pos")
     same = lambda c: F.lag(c).over(line) == F.col(c)
-    on = (F.lag("pos").over(line) == F.col("pos") - 1) & same("src_doc") & same("times") & same("colour")
-    x = occurrences.join(e, ["h1", "h2"]).withColumn("edge", F.xxhash64("h1", "h2")).drop("h1", "h2")
+    on = (F.lag("pos").over(line) == F.col("pos") - 1) & same("src_doc") & same("colour")
+    x = occurrences.join(e, ["h1", "h2"]).drop("h1")
     x = x.withColumn("_new", F.when(F.coalesce(on, F.lit(False)), 0).otherwise(1)).withColumn(
         "_run", F.sum("_new").over(line.rowsBetween(W.unboundedPreceding, 0)))
     return x.groupBy("doc_id", "row", "_run").agg(
         F.min("pos").alias("start"), (F.max("pos") + k).alias("stop"), F.first("src_doc").alias("src_doc"),
-        F.max(F.when(F.col("_new") == 1, F.col("edge"))).alias("path")).drop("_run")
+        F.max(F.when(F.col("_new") == 1, F.col("h2"))).alias("path")).drop("_run")
 
 
 def verified_spans(p: DataFrame) -> DataFrame:
