@@ -137,11 +137,14 @@ def fit_rows(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: i
     """
     if not len(rows):
         return OrdinalModel({}, [-35.0] * (n_grades - 1))
-    names, count = np.unique(np.concatenate(rows), return_counts=True)
-    names = names[count >= min_rows]
-    kept = [np.searchsorted(names, r[np.isin(r, names, assume_unique=True)]) for r in rows]
-    cols = np.concatenate(kept)
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in kept])
+    names, index, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    often = count >= min_rows
+    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])[often[index]]
+    cols = (np.cumsum(often) - 1)[index[often[index]]]
+    names = names[often]
+    by_col = np.argsort(cols, kind="stable")
+    cols, at = cols[by_col], at[by_col]
+    first = np.flatnonzero(np.append(True, cols[1:] != cols[:-1])) if len(cols) else cols
     w, w_sq = np.zeros(len(names)), np.full(len(names), 1e-6)
 
     y = np.asarray(grades, dtype=np.int64)
@@ -154,9 +157,15 @@ def fit_rows(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: i
     penalty = l1
     for step in range(2 * steps):
         if step == steps:  # the L1 term has chosen the features; now fit those without its shrinkage
-            penalty, w_sq = 0.0, np.where(w != 0, 1e-6, np.inf)
+            keep = w[cols] != 0
+            names, w = names[w != 0], w[w != 0]
+            at, cols = at[keep], np.cumsum(np.append(0, np.diff(cols[keep]) != 0))[:keep.sum()]
+            first = np.flatnonzero(np.append(True, cols[1:] != cols[:-1])) if len(cols) else cols
+            penalty, w_sq = 0.0, np.full(len(names), 1e-6)
         theta = np.cumsum(np.concatenate([knots[:1], np.exp(knots[1:])]))
-        s = np.bincount(at, weights=w[cols], minlength=len(rows))
+        each = w[cols]
+        live = np.flatnonzero(each)
+        s = np.bincount(at[live], weights=each[live], minlength=len(rows))
         a, b = np.ones(len(rows)), np.zeros(len(rows))
         a[low] = _sigmoid(s[low] - theta[y[low] - 1])
         b[high] = _sigmoid(s[high] - theta[y[high]])
@@ -169,7 +178,7 @@ def fit_rows(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: i
         g = np.concatenate([tail[:1], tail[1:] * np.exp(knots[1:])])
         k_sq += g * g
         knots -= rate * g / np.sqrt(k_sq)
-        g = np.bincount(cols, weights=by_score[at], minlength=len(names)) + l2 * w
+        g = (np.add.reduceat(by_score[at], first) if len(cols) else np.zeros(len(names))) + l2 * w
         w_sq += g * g
         pace = rate / np.sqrt(w_sq)
         w = w - pace * g
