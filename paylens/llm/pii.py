@@ -3,11 +3,13 @@
 *Base kinds* (``email``, ``ip``, ``card``, ``phone``) are expressions with a
 check; they seed the search.
 
-*Bootstrapping.*  A candidate is a token that holds at least ``MIN_DIGITS``
-digits or an ``@``.  Its lexical patterns are its contexts: the two words
-before it, and the word on either side.  Candidates inside a base span are
-seeds of that kind.  Patterns and instances (candidate tokens) form a bipartite
-graph, scored in ``ROUNDS`` rounds of grouped joins: a pattern's confidence for
+*Bootstrapping.*  A candidate is a token, or a run of digit groups joined by
+blanks, brackets, dots or hyphens, that holds at least ``MIN_DIGITS`` digits or
+an ``@``.  Its lexical patterns are its contexts: the two words before it, and
+the word on either side, wherever other candidates stand.  Base spans, whole,
+are seeds of their kind, and so are candidates that reach beyond a base span;
+parts of one are no candidates.  Patterns and instances (their values) form a
+bipartite graph, scored in ``ROUNDS`` rounds of grouped joins: a pattern's confidence for
 a kind is the mean score of its distinct instances (lightly smoothed), and it is
 trusted with at least ``MIN_SUPPORT`` instances known for that kind and a
 confidence of ``MIN_CONFIDENCE``; an instance seen in trusted patterns scores
@@ -123,42 +125,81 @@ def matches(text: Column, expression: str, sign: Column) -> Column:
     return F.when(sign, found).otherwise(empty)
 
 
-def base_spans(text: Column) -> Column:
-    """``array<SPAN>`` of the base kinds, by kind as listed, then start."""
+def _valued_spans(text: Column) -> Column:
+    """The base spans with their ``value``, by kind as listed, then start."""
     def of(kind: str) -> Column:
         m = matches(text, _EXPRESSIONS[kind], _SIGNS[kind](text))
         return F.transform(F.filter(m, lambda x: _CHECKS[kind](x["value"])), lambda x: F.struct(
-            F.lit(kind).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
+            F.lit(kind).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), x["value"].alias("value")))
     return F.concat(*[of(kind) for kind in KINDS])
 
 
-_TOKEN = (r"(?:\G|(?<![A-Za-z0-9@._%+/:#-]))[A-Za-z@._%+/:#-]*+[0-9][0-9A-Za-z@._%+/:#-]*+")
+def base_spans(text: Column) -> Column:
+    """``array<SPAN>`` of the base kinds, by kind as listed, then start."""
+    return F.transform(_valued_spans(text), lambda x: F.struct(
+        x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
+
+
+# digits joined by dots and hyphens that are no part of a longer token
+_GROUP = r"[0-9]++(?:[.-][0-9]++)*+(?![.-]*+[A-Za-z@_%+/:#]|[.-][.-]++[0-9])"
+_BRACKETED = r"\([0-9]++\)[\x20.-]?+"
+_RUN = rf"\+?+(?:{_BRACKETED})?+{_GROUP}(?:\x20{_GROUP}|[\x20.-]?+{_BRACKETED}{_GROUP})*+"
+_TOKEN = (rf"(?:\G|(?<![A-Za-z0-9@._%+/:#-]))(?:{_RUN}|[A-Za-z@._%+/:#-]*+[0-9][0-9A-Za-z@._%+/:#-]*+)")
 # a letter run with an @ but no digit is a candidate only as part of an e-mail address, which is a base span
 
+AROUND, BLOCK = 80, 256  # code points of context on either side; of a block, at least AROUND
+
+
+def _blocks(text: Column) -> Column:
+    """The text in pieces of ``BLOCK`` code points, so that a context is cut without walking the text."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}+"), F.lit(0))
+
+
+def _cut(blocks: Column, at: Column, length: Column) -> Column:
+    """``length`` code points, at most ``BLOCK``, from offset ``at``."""
+    k = F.floor(at / BLOCK).cast("int")
+    piece = lambda i: F.coalesce(F.get(blocks, i), F.lit(""))
+    return F.substr(F.concat(piece(k), piece(k + 1)), (at - k * BLOCK + 1).cast("int"), length.cast("int"))
+
 
 def candidates(rows: DataFrame) -> DataFrame:
     """``(row, value, start, stop, kind, pattern)`` of ``(row, text, base)`` rows.
 
-    One row per candidate and pattern; ``kind`` is the base kind it overlaps, or NULL.
+    One row per instance and pattern: the base spans with their kind, and the
+    candidates that are not inside one, with the kind that they overlap, or NULL.
     """
-    m = matches(F.col("text"), _TOKEN, F.col("text").rlike("[0-9]"))
-    x = rows.select("row", "base", F.explode(m).alias("m"))
-    value = F.rtrim(F.col("m.value"), F.lit(".:-/%#_+"))
-    x = x.withColumn("value", F.lower(value)).withColumn("start", F.col("m.start")).withColumn(
-        "stop", F.col("m.start") + F.length(value))
-    digits = F.length(F.regexp_replace("value", "[^0-9]", ""))
-    x = x.where((digits >= MIN_DIGITS) | F.contains("value", F.lit("@")))
-    inside = F.filter("base", lambda s: (s["start"] < F.col("stop")) & (s["stop"] > F.col("start")))
-    # a context is words on the same side of the neighbouring candidates
-    left = F.split(F.lower(F.btrim(F.substring("m.before", -80, 80))), r"\s+")
-    right = F.split(F.lower(F.btrim(F.substring("m.after", 1, 80))), r"\s+")
+    def enough(value: Column) -> Column:
+        return (F.length(F.regexp_replace(value, "[^0-9]", "")) >= MIN_DIGITS) | F.contains(value, F.lit("@"))
+
+    def others(base: Column) -> Column:
+        m = matches(F.col("text"), _TOKEN, F.col("text").rlike("[0-9]"))
+        cut = F.transform(m, lambda x: F.struct(F.rtrim(x["value"], F.lit(".:-/%#_+")).alias("value"), x["start"].alias("start")))
+        spans = F.transform(F.filter(cut, lambda x: enough(x["value"])), lambda x: F.struct(
+            x["start"].alias("start"), (x["start"] + F.length(x["value"])).alias("stop"), x["value"].alias("value")))
+        free = F.filter(spans, lambda x: ~F.exists(base, lambda s: (s["start"] <= x["start"]) & (s["stop"] >= x["stop"])))
+        over = lambda x: F.filter(base, lambda s: (s["start"] < x["stop"]) & (s["stop"] > x["start"]))
+        return F.transform(free, lambda x: F.struct(
+            F.get(over(x)["kind"], F.lit(0)).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"),
+            x["value"].alias("value")))
+
+    def placed(blocks: Column, x: Column) -> Column:
+        first = F.greatest(x["start"] - AROUND, F.lit(0))
+        return F.struct(F.lower(x["value"]).alias("value"), x["start"].alias("start"), x["stop"].alias("stop"),
+                        x["kind"].alias("kind"), _cut(blocks, first, x["start"] - first).alias("before"),
+                        _cut(blocks, x["stop"], F.lit(AROUND)).alias("after"))
+
+    # only the short structs are exploded, neither the text nor its blocks
+    both = _let(F.col("base"), lambda base: F.concat(base, others(base)))
+    found = _let(_blocks(F.col("text")), lambda blocks: F.transform(both, lambda x: placed(blocks, x)))
+    x = rows.select("row", F.explode(found).alias("c")).select("row", "c.*")
+    left = F.split(F.lower(F.btrim("before")), r"\s+")
+    right = F.split(F.lower(F.btrim("after")), r"\s+")
     l1, l2 = F.element_at(left, -1), F.try_element_at(left, F.lit(-2))
     r1 = F.element_at(right, 1)
     patterns = F.array(
         F.when((l1 != "") & l2.isNotNull(), F.concat_ws(" ", l2, l1, F.lit("_"))),
         F.when((l1 != "") & (r1 != ""), F.concat_ws(" ", l1, F.lit("_"), r1)))
-    return x.select("row", "value", "start", "stop", F.get(inside["kind"], F.lit(0)).alias("kind"),
-                    F.explode(F.array_compact(patterns)).alias("pattern"))
+    return x.select("row", "value", "start", "stop", "kind", F.explode(F.array_compact(patterns)).alias("pattern"))
 
 
 def trusted_patterns(found: DataFrame) -> DataFrame:
@@ -192,7 +233,7 @@ def pii_spans(docs: DataFrame, text_col: str = "text", out: str = "pii") -> Data
     """``docs`` with ``out``, the array of all spans: base kinds as listed, then ``ctx_`` kinds, by start."""
     row = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))  # equal texts have equal spans
     rows = docs.select(row.alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("base", base_spans(F.col("text")))
+    rows = rows.withColumn("base", _valued_spans(F.col("text")))
     found = written(candidates(rows).distinct(), "pii-candidates")
     more = discovered(found).withColumnsRenamed({"row": "_pii_row", "more": "_pii_more"})
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -136,6 +136,23 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(got[i].startswith("card:") for i in seeds)
 
 
+def test_contexts_of_identifiers_in_several_groups(spark):
+    """Spaced phones and grouped cards teach the words around them; unseen grouped identifiers are found whole."""
+    rows = [(100 + i, f"call us +1 (017) 555-77{i} today") for i in range(10, 30)]
+    rows += [(200 + i, f"my paid card 4111 1111 1111 1{i} here") for i in range(100, 300)]
+    rows = [(i, t) for i, t in rows if brute.pii(t)]
+    rows += [(50, "call us (0171) 77 88 99 today"), (51, "call us 017 55 today"), (52, "the paid card 9988 776 655 here"),
+             (53, "order 9988 776 655 units"), (54, "the paid card 9988776655 (3 of 4)")]
+    base = {i: brute.pii(t) for i, t in rows}
+    assert [k for i in base for k, *_ in base[i]] == ["phone"] * 20 + ["card"] * 20
+    got = {r.doc_id: r.spans for r in P.op4_pii(cases.docs(spark, rows)).collect()}
+    text = dict(rows)
+    at = lambda i, kind, v: f"{kind}:{text[i].index(v)}:{text[i].index(v) + len(v)}"
+    assert got[50] == at(50, "ctx_phone", "(0171) 77 88 99") and got[51] == at(51, "ctx_phone", "017 55")
+    assert got[52] == at(52, "ctx_card", "9988 776 655") and got[53] == "" and got[54] == at(54, "ctx_card", "9988776655")
+    assert all(got[i] == brute.line(base[i]) for i in base if base[i])
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "mail a@b.cd or +1 (017) 555-7713!"), (2, "none"), (3, "ip 4111111111111111@10.0.0.1x")],
                                "id int, text string")
@@ -156,3 +173,11 @@ def test_very_long_runs_are_linear(spark):
     got = {r.doc_id: r for r in P.op4_pii(cases.docs(spark, rows)).collect()}
     assert all(got[i].n_email == got[i].n_card == got[i].n_phone == 0 for i in got)
     assert got[4].n_ip == 10_000
+
+
+def test_candidates_of_very_long_runs(spark):
+    rows = [(1, "1 " * 40_000 + "1a"), (2, "(1" * 40_000), (3, "1-" * 40_000 + "x"), (4, "x 12345 " * 20_000), (5, "(" * 100_000)]
+    x = spark.createDataFrame(rows, "row long, text string").withColumn("base", P._valued_spans(F.col("text")))
+    got = {r["row"]: (r.n, r.start) for r in P.candidates(x).groupBy("row").agg(
+        F.count("*").alias("n"), F.max("start").alias("start")).collect()}
+    assert got[4] == (39_998, 159_994)
