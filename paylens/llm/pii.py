@@ -5,7 +5,7 @@ check; they seed the search.
 
 *Bootstrapping.*  A candidate is a token, or a run of digit groups joined by
 blanks, brackets, dots or hyphens, that holds at least ``MIN_DIGITS`` digits or
-an ``@``.  Its lexical patterns are its contexts: the two words before it, and
+an ``@`` between letters or digits.  Its lexical patterns are its contexts: the two words before it, and
 the word on either side, wherever other candidates stand.  Base spans, whole,
 are seeds of their kind, and so are candidates that reach beyond a base span;
 parts of one are no candidates.  Patterns and instances (their values) form a
@@ -144,8 +144,7 @@ def base_spans(text: Column) -> Column:
 _GROUP = r"[0-9]++(?:[.-][0-9]++)*+(?![.-]*+[A-Za-z@_%+/:#]|[.-][.-]++[0-9])"
 _BRACKETED = r"\([0-9]++\)[\x20.-]?+"
 _RUN = rf"\+?+(?:{_BRACKETED})?+{_GROUP}(?:\x20{_GROUP}|[\x20.-]?+{_BRACKETED}{_GROUP})*+"
-_TOKEN = (rf"(?:\G|(?<![A-Za-z0-9@._%+/:#-]))(?:{_RUN}|[A-Za-z@._%+/:#-]*+[0-9][0-9A-Za-z@._%+/:#-]*+)")
-# a letter run with an @ but no digit is a candidate only as part of an e-mail address, which is a base span
+_TOKEN = (rf"(?:\G|(?<![A-Za-z0-9@._%+/:#-]))(?:{_RUN}|[A-Za-z._%+/:#-]*+[0-9@][0-9A-Za-z@._%+/:#-]*+)")
 
 AROUND, BLOCK = 80, 256  # code points of context on either side; of a block, at least AROUND
 
@@ -169,10 +168,10 @@ def candidates(rows: DataFrame) -> DataFrame:
     candidates that are not inside one, with the kind that they overlap, or NULL.
     """
     def enough(value: Column) -> Column:
-        return (F.length(F.regexp_replace(value, "[^0-9]", "")) >= MIN_DIGITS) | F.contains(value, F.lit("@"))
+        return (F.length(F.regexp_replace(value, "[^0-9]", "")) >= MIN_DIGITS) | value.rlike("[0-9A-Za-z]@[0-9A-Za-z]")
 
     def others(base: Column) -> Column:
-        m = matches(F.col("text"), _TOKEN, F.col("text").rlike("[0-9]"))
+        m = matches(F.col("text"), _TOKEN, F.col("text").rlike("[0-9@]"))
         cut = F.transform(m, lambda x: F.struct(F.rtrim(x["value"], F.lit(".:-/%#_+")).alias("value"), x["start"].alias("start")))
         spans = F.transform(F.filter(cut, lambda x: enough(x["value"])), lambda x: F.struct(
             x["start"].alias("start"), (x["start"] + F.length(x["value"])).alias("stop"), x["value"].alias("value")))

@@ -153,6 +153,17 @@ def test_contexts_of_identifiers_in_several_groups(spark):
     assert all(got[i] == brute.line(base[i]) for i in base if base[i])
 
 
+def test_contexts_of_addresses_without_digits(spark):
+    """E-mails without a digit are seeds; an address without a dot in their context is found."""
+    names = "alice bob carol dan eve frank grace heidi ivan judy ken lena mike nina oscar peggy".split()
+    rows = [(i, f"please write to {n}@example.com soon") for i, n in enumerate(names)]
+    rows += [(50, "please write to root@localhost. Thanks"), (51, "we met @ noon"), (52, "see build@host logs"),
+             (53, "please write to @ soon")]
+    got = {r.doc_id: r.spans for r in P.op4_pii(cases.docs(spark, rows)).collect()}
+    assert got[50] == "ctx_email:16:30" and got[51] == got[52] == got[53] == ""
+    assert all(got[i] == brute.line(brute.pii(t)) != "" for i, t in rows[:len(names)])
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "mail a@b.cd or +1 (017) 555-7713!"), (2, "none"), (3, "ip 4111111111111111@10.0.0.1x")],
                                "id int, text string")
