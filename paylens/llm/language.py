@@ -43,7 +43,8 @@ STRENGTH = 8.0  # pages that a prior counts for one level down
 MIN_TEXT = 20   # trigrams below which the text alone decides nothing
 
 _DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+_OPENING = re.compile(r"<html\b[^>]*", re.I)
+_DECLARED = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
 _HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
 
@@ -51,6 +52,18 @@ def visible_text(page: str | None) -> str:
     return entities.unescape(_DROP.sub(" ", page or ""))
 
 
+def declared_language(page: str | None) -> str:
+    """Language in the first ``<html ...>`` tag that declares one, wherever it stands; empty if none does.
+
+    Each tag is searched on its own, so the time is linear in the page.
+    """
+    for tag in _OPENING.finditer(page or ""):
+        m = _DECLARED.search(tag[0], 5)
+        if m:
+            return m[1].lower()
+    return ""
+
+
 def trigrams(text: str) -> np.ndarray:
     """Counts of hashed character trigrams of the letters, lower-cased; other runs count as one blank."""
     clean = re.sub(r"[\W\d_]+", " ", text.lower())
@@ -112,8 +125,7 @@ def page_evidence(pages: DataFrame, langs: list[str], model: np.ndarray) -> Data
                 v = trigrams(visible_text(page))
                 ll = (small @ v.astype(np.float32)).astype(float) * TEMPER if langs else np.zeros(0)
                 ll = ll - ll.max() if len(ll) else ll
-                m = _DECLARED.search((page or "")[:100_000])
-                out.append((i, *host_of(url), m[1].lower() if m else "", ll,
+                out.append((i, *host_of(url), declared_language(page), ll,
                             langs[int(ll.argmax())] if langs and v.sum() >= MIN_TEXT else None))
             f = pd.DataFrame(out, columns=["page_id", "host", "site", "suffix", "declared", "text_ll", "text_lang"])
             f["page_id"] = f["page_id"].astype("Int64")

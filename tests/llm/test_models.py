@@ -11,7 +11,7 @@ from paylens.llm import language as G
 from paylens.llm import quality as Q
 from paylens.llm import vector_search as V
 from paylens.llm.common import table
-from tests.conftest import SF01
+from tests.conftest import SF001, SF01
 from tests.llm import brute, cases
 
 
@@ -86,6 +86,21 @@ def test_evidence_beyond_the_text(spark):
     assert len(blank) == len(rows) and all(r.lang is None for r in blank)
 
 
+@pytest.mark.parametrize("lead", ["", " " * 200_000, "<!-- " + "x" * 200_000 + " -->", "<html class='a'>" + "<p>b</p>" * 25_000])
+def test_declared_language_anywhere_in_the_page(spark, lead):
+    assert G.declared_language(lead + "<HTML class=x\n lang='FR-ca'><p>1</p>") == "fr"
+    rows = [(1, None, lead + "<html lang=fr><p>1</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert G.op5_language(pages, table(spark, SF001, "documents")).first().declared == "fr"
+
+
+def test_declared_language_is_linear():
+    assert G.declared_language("<html " * 100_000) == ""
+    assert G.declared_language("<html" + " lang" * 100_000 + " " * 300_000) == ""
+    assert G.declared_language("<html" + " lang=1" * 100_000 + "<html lang=de>") == "de"
+    assert G.declared_language(None) == G.declared_language("<html lang=>") == G.declared_language("<htmlx lang=de>") == ""
+
+
 def _vectors():
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(400)]
