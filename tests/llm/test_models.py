@@ -155,3 +155,30 @@ def test_pipeline_stages_on_awkward_rows(spark):
         if name != "mix":
             assert out.columns == docs.columns
         assert stage(spark, docs.limit(0), SF01).count() == 0
+
+
+def test_one_row_of_each_near_duplicate_class_is_left(spark):
+    """Repeated rows, one id with several texts and rows without id, told apart by their place in the list."""
+    rows = cases.awkward()
+    base, other = " ".join(cases.words(120, 1)), " ".join(cases.words(80, 99, 10**6))
+    rows += [(5, base)] * 3 + [(None, base), (None, other), (None, other.upper()), (None, other), (None, " "), (2, ""),
+                               (300, other + " more"), (301, "two texts"), (301, "of one id"), (301, None), (302, "of one id")]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+    for i, _, c, _ in brute.classes([(i, t) for i, (_, t) in enumerate(rows)], 5):
+        parent[find(i)] = find(c)
+    by_id = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            parent[find(i)] = find(by_id.setdefault(d, i))
+    classes = {}
+    for i, row in enumerate(rows):
+        classes.setdefault(find(i), []).append(row)
+    got = corpus_pipeline.near_dup(spark, cases.docs(spark, rows), SF01).collect()
+    smallest = [min((d for d, _ in c if d is not None), default=None) for c in classes.values()]
+    assert sorted(map(repr, smallest)) == sorted(repr(r.doc_id) for r in got)
+    assert all((r.doc_id, r.text) in rows for r in got)
