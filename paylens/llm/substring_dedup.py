@@ -18,8 +18,8 @@ words; the graph that matters holds the edges that occur in several documents.
    times, so the node between them does not branch: occurrences join the
    edges and merge with their predecessors into nonbranching paths.
 5. *Spans.*  A path walked by a later document than its first is a repeated
-   span; it is joined to the path of its source document, whose coordinates
-   confirm it.
+   span and is cut.  It is joined to the path of its source document for its
+   coordinates; the result does not depend on them, and no words are compared.
 
 Results: a NULL text has no words; a row without ``doc_id`` is neither a source
 nor changed; rows that repeat a ``doc_id`` do not remove each other's words,
@@ -148,10 +148,11 @@ def paths(occurrences: DataFrame, e: DataFrame, k: int = K) -> DataFrame:
 
 
 def verified_spans(p: DataFrame) -> DataFrame:
-    """Paths walked again after their first document, with the source coordinates that confirm them.
+    """Paths walked again after their first document, with the source coordinates.
 
     ``(doc_id, row, start, stop, src_doc, src_start, confirmed)``: ``confirmed`` if the
-    source document walks the same path over the same number of words.
+    source document walks the same path over the same number of words; for
+    inspection only, :func:`remove_repeats` cuts every span.
     """
     src = p.where("doc_id = src_doc").groupBy("doc_id", "path").agg(
         F.min("start").alias("src_start"), F.max(F.col("stop") - F.col("start")).alias("src_length"))
@@ -195,7 +196,7 @@ def sieve_hits(docs: DataFrame, rows: DataFrame, k: int = K, m: int = M) -> Data
 
 
 def repeated_spans(docs: DataFrame, k: int = K, m: int = M) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(all rows, documents with sieve hits, confirmed spans)`` of ``(doc_id, text)`` rows."""
+    """``(all rows, documents with sieve hits, repeated spans)`` of ``(doc_id, text)`` rows."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                        F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"))
     rows = texts(docs)
