@@ -1,10 +1,10 @@
 """Mixing sources to target weights (operator 3), in DataFrame operations only.
 
 The words of each source form one stream, cut into blocks of ``block_len``
-words.  Every output shard receives a multinomial draw of the sources: a source
-with ``K`` draws sends each of them to an independent, uniformly pseudorandom
-shard, so a shard's source counts are multinomial around the target shares
-while the totals meet the targets exactly.  Draw ``k`` of a source stands for
+words.  No source counts are drawn per shard: a source with ``K`` draws sends
+each of them to an independent, uniformly pseudorandom shard, so its counts over
+the shards are multinomial, a shard's counts of different sources are
+independent, shard sizes vary, and the totals per source are fixed.  Draw ``k`` of a source stands for
 the block whose index a per-source, per-epoch pseudorandom permutation maps to
 slot ``k``; blocks and draws are joined on ``(source, block index)``.
 
