@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import html
 import itertools
 import math
 import re
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LICENSE_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -192,3 +194,82 @@ def contained(docs, items, n=5, percent=80):
 
 def pairs(x):
     return itertools.combinations(x, 2)
+
+
+def article(page):
+    """Text of the given pages' article: its markup is known (article, h1, p, b, br)."""
+    inner = page.split("<article>")[1].split("</article>")[0]
+    parts = re.split(r"</?(?:p|h1)>", re.sub(r"</?b>|<br>", "", inner))
+    return "\n".join(x for x in (" ".join(html.unescape(p).split()) for p in parts) if x)
+
+
+def tail_made_periodic(doc_id, words):
+    h = zlib.crc32(str(doc_id).encode())
+    g, n = h // 10, len(words)
+    if doc_id is None or h % 10 or not n:
+        return list(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+
+
+def runs(words):
+    """All runs (start, length, period) by trying every period."""
+    n, out = len(words), {}
+    for q in range(1, n // 2 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j - i + q >= max(12, 2 * q):
+                out.setdefault((i, j - i + q), q)
+            i = j + 1
+    return sorted(((s, m, q) for (s, m), q in out.items()), key=lambda r: (r[0], r[2]))
+
+
+def run_row(doc_id, text):
+    words = tail_made_periodic(doc_id, WORD.findall(text or ""))
+    found = runs(words)
+    drop = {i for s, m, q in found for i in range(s + q, s + m)}
+    s, m, q = max(found, key=lambda r: (r[1], -r[0], -r[2]), default=(None, None, None))
+    lines = "".join(f"{a},{b},{c}\n" for a, b, c in found)
+    return (doc_id, len(found), s, m, q, 1000 * m // q if q else None, sha(lines),
+            sha(" ".join(w for i, w in enumerate(words) if i not in drop)))
+
+
+def vocabulary(rows):
+    count = Counter()
+    for i, t, *_ in rows:
+        for w in re.findall("[A-Za-z\u00C0-\u00FF]+", t or ""):
+            w = lower(w)
+            h = zlib.crc32(f"{i}:{w}".encode())
+            if i is not None and h % 97 == 0:
+                w = w[:h % len(w)] + w[h % len(w) + 1:]
+            count[w] += 1
+    return {w: n for w, n in count.items() if len(w) >= 5 and n >= 3}
+
+
+def one_edit(a, b):
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return any(b[:k] + b[k + 1:] == a for k in range(len(b)))
+
+
+def spelling(count):
+    """word → (word, form, root, n, n_near, form_n) by comparing all pairs."""
+    near = {w: [x for x in count if one_edit(w, x)] for w in count}
+    form = {}
+    for w, n in count.items():
+        best = min(near[w], key=lambda x: (-count[x], x), default=None)
+        form[w] = best if best is not None and count[best] >= 2 * n else None
+    out = {}
+    for w, n in count.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (w, form[w], root, n, len(near[w]), count[form[w]] if form[w] else None)
+    return out
