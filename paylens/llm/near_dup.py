@@ -15,10 +15,11 @@ probability (1 - 0.8^5)^40, about 1e-7.
 *Links without all pairs.*  Equal sets collapse to one node first.  Each bucket
 compares its nodes with one pseudorandom hub; pairs whose full shingle sets pass
 are links, and connected components are taken.  A bucket that lies in one
-component has no more to tell.  In the others, nodes outside
-the hub's component are compared with the nodes of other components that an
-exact prefix and position filter over the shingles, rarest first, leaves
-(:func:`rare_pairs`), and components are taken again.  So every pair of a bucket
+component has no more to tell.  In the others, sets are described by what they
+differ in from the bulk of their hub's group (:func:`differences`): first those that
+are certain to be alike are linked with the group's centre, then nodes outside the
+hub's component are compared with the nodes of other components that exact bounds
+leave (:func:`rare_pairs`), and components are taken again.  So every pair of a bucket
 is compared on its full sets, or already connected, or excluded by an exact
 bound, or its sketches exclude the threshold by about seven standard deviations.
 
@@ -36,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -147,29 +148,72 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, coords: int) -> D
             .where(100 * both >= percent * (F.size("_x") + F.size("_y") - both)).select("a", "b").distinct())
 
 
-def rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` of a stray and a node of another component that may reach the similarity.
+def differences(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(hub, node, row, n, c, d, a)``: what the sets of a group differ in from its bulk.
 
-    Exact filters, none by sampling.  Each node's shingles are put in one common
-    order, rarest first.  Sets that reach the similarity overlap in at least
-    ``percent / (100 + percent)`` of their summed sizes, so they share a shingle
-    among the first ``n - ceil(n * percent / 100) + 1`` of either, and after the
-    first one they share (at ranks i and j) enough must be left on both sides.
-    Nodes that have only a common passage in common, or are copies of one text
-    with too many edits of their own, share no early shingle and never meet.
+    ``groups`` has ``(hub, node)``: the nodes that share a bucket with a hub.  Let c be
+    the shingles that more than half of a group's sets hold (none, in a group that is
+    not much alike) and ``d``, D(x), those that x and c do not share.  Two sets of summed
+    size S reach the similarity if and only if they differ in at most
+    S (100 - percent) / (100 + percent) shingles, so with
+    A(x) = |D(x)| (100 + percent) - |x| (100 - percent), the column ``a``,
+    if and only if 2 (100 + percent) |D(x) and D(y)| >= A(x) + A(y).
     """
-    held = sets.join(nodes, "node").select("node", "comp", "stray", F.size("shingles").alias("n"),
-                                           F.xxhash64("shingles").alias("row"), F.explode("shingles").alias("s"))
-    often = held.groupBy("s").agg(F.count(F.lit(1)).alias("times"))
-    rank = F.row_number().over(W.partitionBy("node", "row").orderBy("times", "s"))
-    early = held.join(often, "s").withColumn("i", rank).where(
-        F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("times > 1")
-    early = written(early.select("s", "node", "comp", "stray", "n", "i"), "early-shingles")
-    stray = early.where("stray").select("s", *[F.col(c).alias(f"x_{c}") for c in ("node", "comp", "n", "i")])
+    rows = sets.select("node", "shingles", F.xxhash64("shingles").alias("row"), F.size("shingles").alias("n"))
+    rows = written(groups.join(rows, "node"), "open-sets")
+    size = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
+    held = rows.select("hub", F.explode("shingles").alias("s")).groupBy("hub", "s").agg(F.count(F.lit(1)).alias("f"))
+    common = held.join(size, "hub").where("2 * f > size").groupBy("hub").agg(F.collect_set("s").alias("c"))
+    c = F.coalesce("c", F.array().cast("array<bigint>"))
+    d = F.concat(F.array_except("shingles", c), F.array_except(c, "shingles"))
+    own = rows.join(common, "hub", "left").select("hub", "node", "row", "n", F.size(c).alias("c"), d.alias("d"))
+    return written(own.withColumn("a", F.size("d") * (100 + percent) - F.col("n") * (100 - percent)), "open-differences")
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
+
+
+def central_pairs(own: DataFrame) -> DataFrame:
+    """Pairs of a set with the group's set of smallest A, its centre, that are alike for certain.
+
+    If A(x) + A(y) <= 0 for any two sets of a group, both stand in such a pair.
+    """
+    centre = own.groupBy("hub").agg(F.min(F.struct("a", "node")).alias("m"))
+    return own.join(centre, "hub").where("a + m.a <= 0 and node <> m.node").select(*_pair("node", "m.node")).distinct()
+
+
+def rare_pairs(own: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes of different components that may reach the similarity.
+
+    Exact bounds, none by sampling.  Two sets with A(x) + A(y) > 0 that reach the
+    similarity share an element of D.  With the elements in one order for the group,
+    rarest first, the first that they share stands so early in either that enough are
+    left; elements behind that place are not joined at all.  Copies of one text that
+    differ by edits of their own hold little in D that others hold, so they meet few
+    others, however many they are.  Groups in one component are left out, and of pairs
+    one is outside the hub's component.
+    """
+    p, q = 100 + percent, 100 - percent
+    root = comp.select(F.col("node").alias("hub"), F.col("root").alias("hub_comp"))
+    own = own.join(comp.withColumnRenamed("root", "comp"), "node", "left").join(root, "hub", "left").withColumns({
+        "comp": F.coalesce("comp", "node"), "hub_comp": F.coalesce("hub_comp", "hub")})
+    group = own.groupBy("hub").agg(F.min("a").alias("least"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    own = own.join(group.where("x < y").select("hub", "least"), "hub").withColumn("stray", F.expr("comp <> hub_comp"))
+
+    # the least A that a partner can have: that of the group's centre, and what its size alone asks for
+    best = F.least(F.greatest(F.col("c").cast("double"), F.col("n") * percent / 100), F.col("n") * 100 / percent)
+    least = F.greatest(F.col("least").cast("double"), F.abs(best - F.col("c")) * p - best * q)
+    need = F.greatest(F.lit(1), F.ceil((F.col("a") + least) / (2 * p) - 1e-6).cast("int"))
+    open_ = own.select("hub", "node", "row", "comp", "stray", "a", F.size("d").alias("n"), need.alias("need"), F.explode("d").alias("s"))
+    often = open_.groupBy("hub", "s").agg(F.count(F.lit(1)).alias("times"))
+    rank = F.row_number().over(W.partitionBy("hub", "node", "row").orderBy("times", "s"))
+    early = open_.join(often, ["hub", "s"]).withColumn("i", rank).where("i <= n - need + 1 and times > 1")
+    early = written(early.select("hub", "s", "node", "comp", "stray", "n", "a", "i"), "early-shingles")
+    stray = early.where("stray").select("hub", "s", *[F.col(c).alias(f"x_{c}") for c in ("node", "comp", "n", "a", "i")])
     left = 1 + F.least(F.col("n") - F.col("i"), F.col("x_n") - F.col("x_i"))
-    return (stray.join(early, "s").where("comp <> x_comp and (not stray or x_node < node)")
-            .where(left * (100 + percent) >= (F.col("n") + F.col("x_n")) * percent)
-            .select(F.greatest("node", "x_node").alias("a"), F.least("node", "x_node").alias("b")).distinct())
+    return stray.join(early, ["hub", "s"]).where("comp <> x_comp and (not stray or x_node < node)").where(
+        2 * p * left >= F.col("a") + F.col("x_a")).select(*_pair("node", "x_node")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS,
@@ -207,12 +251,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     # buckets that still hold several components: nodes outside the hub's against all others
     m = members.join(comp, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     m = written(m, "members")
-    open_ = m.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most"),
-                                  F.max(F.when(F.col("node") == F.col("hub"), F.col("comp"))).alias("hub_comp"))
-    m = m.join(open_.where("least < most").select("band", "hub_comp"), "band").select(
-        "node", "comp", (F.col("comp") != F.col("hub_comp")).alias("stray"))
-    m = written(m.groupBy("node").agg(F.first("comp").alias("comp"), F.max("stray").alias("stray")), "open-nodes")
-    more = confirmed(written(rare_pairs(m, sets, percent), "pairs"), sets, percent, bands * rows)
+    open_ = m.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
+    m = m.join(open_.where("least < most").select("band"), "band").select("hub", "node").distinct()
+    own = differences(written(m, "open-nodes"), sets, percent)
+    near = confirmed(written(central_pairs(own), "central-pairs"), sets, percent, bands * rows)
+    comp = written(merged(comp, written(near, "links")), "components")
+    more = confirmed(written(rare_pairs(own, comp, percent), "pairs"), sets, percent, bands * rows)
     comp = merged(comp, written(more, "links"))
 
     out = known.join(node_of, ["k1", "k2"]).join(comp, "node", "left").select(
