@@ -9,18 +9,23 @@ the logarithms of the gaps) are fitted together: first with an L1 term, which
 leaves features without evidence at exactly zero, then without it on the others.
 
 The fit uses a bounded sample of the rated rows, about ``MAX_RATED`` of them
-chosen by a hash of the id; only their feature indices reach the driver.
-Scoring is one pass over all texts, whole.
+chosen by a hash of the id.  Spark counts in how many of them each feature occurs and
+drops those in fewer than ``MIN_ROWS``, however long a text is; one task fits on the
+rest, until the objective no longer falls (at most ``STEPS`` steps a phase), and only
+the nonzero weights reach the driver.  Scoring is one pass over all texts, whole.
 
 Results: a NULL or blank text has no features and scores 0.  A rating with a
-NULL in it is not used; without any rating every document is accepted.  Repeated
-rows score alike; other columns are untouched.
+NULL in it is not used; without any rating, and with empty tables, every document is
+accepted.  Repeated rows score alike and count once in the fit; documents with equal
+scores are decided alike, at ``ACCEPT`` exactly they are accepted.  Other columns, also
+ones named like the results, are untouched.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,10 +33,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_RATED = 8_000
+from paylens.llm.common import written
+
+MAX_RATED = 20_000
 FEATURE_BITS = 30  # wide enough that a frequent word hardly ever shares its index with a rare one
 MIN_ROWS = 3       # rated rows that a feature must occur in
-STEPS = 150
+STEPS = 300
+TOLERANCE = 1e-5   # least relative fall of the objective over CHECK_EVERY steps
+CHECK_EVERY = 10
 L1 = 4.0           # about the number of contradicting rows a feature has to outweigh
 ACCEPT = 0.5  # least probability of the highest grade
 
@@ -154,9 +163,12 @@ def fit_rows(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: i
     knots = np.concatenate([theta[:1], np.log(np.maximum(np.diff(theta), 0.1))])
     k_sq = np.full(len(knots), 1e-6)
     low, high = y > 0, y < n_grades - 1
-    penalty = l1
-    for step in range(2 * steps):
-        if step == steps:  # the L1 term has chosen the features; now fit those without its shrinkage
+    penalty, phase, step, last = l1, 0, 0, np.inf
+    while True:
+        if step == steps or last == -np.inf:
+            if phase:
+                break
+            phase, step, last = 1, 0, np.inf  # the L1 term has chosen the features; now fit those without its shrinkage
             keep = w[cols] != 0
             names, w = names[w != 0], w[w != 0]
             at, cols = at[keep], np.cumsum(np.append(0, np.diff(cols[keep]) != 0))[:keep.sum()]
@@ -170,6 +182,10 @@ def fit_rows(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: i
         a[low] = _sigmoid(s[low] - theta[y[low] - 1])
         b[high] = _sigmoid(s[high] - theta[y[high]])
         p = np.maximum(a - b, 1e-9)
+        if step % CHECK_EVERY == 0:
+            now = -np.log(p).sum() + penalty * np.abs(w).sum() + l2 / 2 * (w * w).sum()
+            last = -np.inf if abs(last - now) <= TOLERANCE * abs(now) else now
+        step += 1
         # gradients of -log p: by the score, and by the thresholds on either side of the grade
         by_score = a + b - 1.0
         by_theta = (np.bincount(y[low] - 1, weights=(a * (1 - a) / p)[low], minlength=n_grades - 1)
@@ -187,26 +203,45 @@ def fit_rows(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: i
     return OrdinalModel({int(names[i]): float(w[i]) for i in np.flatnonzero(w)}, theta.tolist())
 
 
+def rated_features(rated: DataFrame, text_col: str, grade_col: str, id_col: str, min_rows: int = MIN_ROWS) -> DataFrame:
+    """``(h, g, x)`` per distinct rated row: a hash, its grade and its features that stand in ``min_rows`` rows."""
+    @F.pandas_udf("array<int>")
+    def indices(texts: pd.Series) -> pd.Series:
+        cache = FeatureCache()
+        return pd.Series([np.fromiter(sorted(features(t, cache)), np.int32) for t in texts], dtype=object)
+
+    rows = rated.select(F.xxhash64(id_col, text_col).alias("h"), F.col(grade_col).cast("int").alias("g"),
+                        indices(text_col).alias("x")).dropDuplicates(["h", "g"])
+    rows = written(rows, "rated-features")
+    each = rows.select("h", "g", F.explode("x").alias("i"))
+    often = each.groupBy("i").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_rows).select("i")
+    kept = each.join(often, "i").groupBy("h", "g").agg(F.sort_array(F.collect_list("i")).alias("x"))
+    return rows.select("h", "g").join(kept, ["h", "g"], "left")
+
+
 def fit(rated: DataFrame, n_grades: int, text_col: str = "text", grade_col: str = "grade", id_col: str = "doc_id",
-        max_rated: int = MAX_RATED) -> OrdinalModel:
+        max_rated: int = MAX_RATED, steps: int = STEPS) -> OrdinalModel:
     """Fit on ``rated`` rows; about ``max_rated`` of them, by a hash of the id, if there are more."""
     rated = rated.where(F.col(grade_col).between(0, n_grades - 1))
     total = rated.count()
     if total > max_rated:
         rated = rated.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(max_rated / total * (1 << 30)))
 
-    @F.pandas_udf("array<int>")
-    def indices(texts: pd.Series) -> pd.Series:
-        cache = FeatureCache()
-        return pd.Series([np.fromiter(sorted(features(t, cache)), np.int32) for t in texts], dtype=object)
-
-    got = rated.select(F.xxhash64(id_col, text_col).alias("h"), F.col(grade_col).cast("int").alias("g"),
-                       indices(text_col).alias("x")).toArrow()
-    got = got.take(np.lexsort((got["g"].to_numpy(), got["h"].to_numpy())))  # the same order on every run
-    flat = got["x"].combine_chunks()
-    ends, values = flat.offsets.to_numpy(), flat.values.to_numpy()
-    rows = [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
-    return fit_rows(rows, got["g"].to_numpy(), n_grades)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, order = [], []
+        for f in batches:
+            rows += [np.asarray(x if x is not None else (), np.int32) for x in f["x"]]
+            order += zip(f["g"].tolist(), f["h"].tolist())
+        by = sorted(range(len(rows)), key=order.__getitem__)  # the same order on every run
+        m = fit_rows([rows[i] for i in by], np.array([order[i][0] for i in by], np.int64), n_grades, steps)
+        names = [-1 - k for k in range(n_grades - 1)] + list(m.weights)
+        yield pd.DataFrame({"i": np.array(names, np.int64), "w": [*m.thresholds, *m.weights.values()]})
+
+    sample = written(rated_features(rated, text_col, grade_col, id_col), "rated-sample")
+    got = {r.i: r.w for r in sample.coalesce(1).mapInPandas(run, "i long, w double").collect()}
+    if not got:  # an empty table has no task to fit in
+        return fit_rows([], np.empty(0, np.int64), n_grades)
+    return OrdinalModel({i: w for i, w in got.items() if i >= 0}, [got[-1 - k] for k in range(n_grades - 1)])
 
 
 def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
