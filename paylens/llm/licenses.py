@@ -88,6 +88,7 @@ class Automaton:
     n_literals: int
     first: set[bytes]                        # words that can start a match; empty if any word can
     needle: bytes                            # longest run of mandatory words, blank-delimited
+    reach: int                               # most words of a match
 
     def closure(self, states: set[int]) -> set[int]:
         todo, seen = list(states), set(states)
@@ -134,7 +135,7 @@ def compile_template(label: str, template: str) -> Automaton:
         empty.append([])
         return len(literal) - 1
 
-    here, opened, runs, run, n_literals = 0, [], [], [], 0
+    here, opened, runs, run, n_literals, n_any = 0, [], [], [], 0, 0
     for part in re.split(r"(<<.*?>>)", template):
         if part == "<<beginOptional>>":
             opened.append(here)
@@ -151,6 +152,7 @@ def compile_template(label: str, template: str) -> Automaton:
             if not bound:
                 raise ValueError(f"{label}: a var region needs words=least-most")
             least, most = int(bound[1]), int(bound[2])
+            n_any += most
             end, chain = new(), here
             for k in range(most):
                 if k >= least:
@@ -181,7 +183,8 @@ def compile_template(label: str, template: str) -> Automaton:
     longest = max([*runs, run], key=len)
     if not longest:
         raise ValueError(f"{label}: a template needs mandatory words")
-    out = Automaton(label, literal, any_word, empty, here, n_literals, set(), b" " + b" ".join(longest) + b" ")
+    needle = b" " + b" ".join(longest) + b" "
+    out = Automaton(label, literal, any_word, empty, here, n_literals, set(), needle, n_literals + n_any)
     start = out.closure({0})
     if all(any_word[s] is None for s in start):
         out.first = {literal[s][0] for s in start if literal[s]}
@@ -193,12 +196,12 @@ def _windows(words: list[bytes], needle: list[bytes]) -> list[int]:
     return [i for i in range(len(words) - n + 1) if words[i] == needle[0] and words[i:i + n] == needle]
 
 
-def scan_text(text: str | None, automata: list[Automaton], reach: int = 64) -> tuple:
+def scan_text(text: str | None, automata: list[Automaton]) -> tuple:
     """``(n_words, base places, template matches)`` of one text.
 
     A template is tried from every word that can start it; where any word can,
-    from the ``reach`` words before each place of its mandatory run (no
-    template here spans more words before that run).
+    from as many words before each place of its mandatory run as a match of the
+    template can hold.
     """
     words = words_of(text)
     line = b" " + b" ".join(words) + b" "
@@ -214,7 +217,7 @@ def scan_text(text: str | None, automata: list[Automaton], reach: int = 64) -> t
         if a.first:
             starts = [i for i, w in enumerate(words) if w in a.first]
         else:
-            starts = sorted({i for p in _windows(words, a.needle.split()) for i in range(max(0, p - reach), p + 1)})
+            starts = sorted({i for p in _windows(words, a.needle.split()) for i in range(max(0, p - a.reach), p + 1)})
         taken = -1
         for i in starts:
             if i < taken:

@@ -18,12 +18,18 @@ one task.  Very common vectors tie, and ties are resolved by the smaller id.
 
 Results: vectors that are NULL, empty or hold a NULL or non-finite component
 take no part, neither do rows without id; vectors of different length are not
-compared; rows that share the query's id are not its neighbours.  Components
-are clipped to 32 bits.  With fewer than ``k`` candidates, all are returned.
+compared.  Every other row is a candidate, also rows that share the query's id.
+Components of any size are kept: products that doubles could round are summed in
+whole numbers of any length, and bounds get a margin for rounding.  A score beyond
+64 bits is returned as the largest or smallest of 64 bits, ranked by its true value
+(up to about 10^56; beyond, scores tie).
+With fewer than ``k`` candidates, all are returned.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,30 +42,40 @@ BITS = 8
 BLOCK = 4096        # vectors per block
 QUERY_BLOCK = 1024  # queries per block
 READ = 256          # exact vectors read at a time
-_LIMIT = float(2**31 - 1)
+LONG = 2**63 - 1
+MOST = 10**38 - 1
 
 
 def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    """``(id, dim, v)`` of the rows that take part; ``v`` is ``array<double>`` with integer values."""
+    """``(row, id, dim, v)`` of the rows that take part; ``v`` is ``array<double>`` with integer values."""
     v = F.col(vector_col)
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    whole = F.transform(v, lambda x: F.greatest(F.lit(-_LIMIT), F.least(F.lit(_LIMIT),
-                                                                      F.floor(x.cast("double") * scale).cast("double"))))
+    scaled = F.transform(v, lambda x: x.cast("double") * scale)
+    finite = F.forall(scaled, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    # rint(x) - 1 where that is above x: doubles beyond 64 bits are whole already
+    whole = F.transform(scaled, lambda x: F.rint(x) - F.when(F.rint(x) > x, 1.0).otherwise(0.0))
     return (df.where(F.col(id_col).isNotNull() & v.isNotNull()).where(F.size(v) > 0).where(finite)
-            .select(F.col(id_col).cast("long").alias("id"), F.size(v).alias("dim"), whole.alias("v")))
+            .select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"),
+                    F.size(v).alias("dim"), whole.alias("v")))
 
 
 def _bounds(q: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper bounds of the scores of queries (rows) and cells (columns)."""
     up, down = np.maximum(q, 0), np.minimum(q, 0)
-    return up @ lo.T + down @ hi.T, up @ hi.T + down @ lo.T
+    least, most = up @ lo.T + down @ hi.T, up @ hi.T + down @ lo.T
+    size = np.abs(q) @ np.maximum(np.abs(lo), np.abs(hi)).T
+    margin = np.where(size < 2**52, 0.0, size * (q.shape[1] + 8) * 2.0**-50)  # doubles round
+    return least - margin, most + margin
 
 
-def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer scores; in 64-bit integers where doubles could round."""
-    if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[-1] < 2**53:
-        return (x @ q).astype(np.int64)
-    return x.astype(np.int64) @ q.astype(np.int64)
+def _exact(q: np.ndarray, x: np.ndarray) -> list[int]:
+    """Integer scores: by doubles or 64-bit integers where these hold every sum, else by whole numbers of any length."""
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[-1]
+    if most < 2**53:
+        return (x @ q).astype(np.int64).tolist()
+    if most < 2**62 and max(np.abs(q).max(), np.abs(x).max()) < 2**62:
+        return (x.astype(np.int64) @ q.astype(np.int64)).tolist()
+    mine = [int(c) for c in q]
+    return [sum(a * int(c) for a, c in zip(mine, row)) for row in x]
 
 
 def top_k(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -74,57 +90,61 @@ def top_k(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vecto
     low = low or 0.0
 
     cells = F.transform("v", lambda x: F.floor((x - low) / width).cast("int"))
-    placed = vectors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    approx = written(placed.select("id", "dim", "block", cells.alias("cell")), "cells")
-    asked = queries.withColumn("qblock", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumnRenamed("id", "query_id")
+    placed = vectors.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
+    approx = written(placed.select("row", "dim", "block", cells.alias("cell")), "cells")
+    asked = queries.withColumn("qblock", F.pmod(F.xxhash64("row"), F.lit(query_blocks)).cast("int")).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumnsRenamed(
+        {"id": "query_id", "row": "query_row"})
     # columns of its own: queries and vectors are rows of one table
-    asked = asked.select(*[F.col(c).alias(c) for c in ("query_id", "v", "dim", "block", "qblock")])
+    asked = asked.select(*[F.col(c).alias(c) for c in ("query_row", "query_id", "v", "dim", "block", "qblock")])
     every = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
     key = ["block", "qblock", "dim"]
 
     def scan(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
-            return pd.DataFrame({"query_id": [], "bound": []})
+            return pd.DataFrame({"query_row": [], "bound": []})
         qs, cell = np.stack(q["v"].to_list()), np.stack(c["cell"].to_list()).astype(float)
         lo = cell * width + low
         lower, _ = _bounds(qs, lo, lo + (width - 1))
-        lower[q["query_id"].to_numpy()[:, None] == c["id"].to_numpy()[None, :]] = -np.inf
+        lower[q["query_row"].to_numpy()[:, None] == c["row"].to_numpy()[None, :]] = -np.inf
         m = min(k, lower.shape[1])
         best = -np.partition(-lower, m - 1, axis=1)[:, :m]
-        out = pd.DataFrame({"query_id": np.repeat(q["query_id"].to_numpy(), m), "bound": best.ravel()})
+        out = pd.DataFrame({"query_row": np.repeat(q["query_row"].to_numpy(), m), "bound": best.ravel()})
         return out[np.isfinite(out["bound"])]
 
     rows = approx.withColumn("qblock", every)
-    found = asked.select("query_id", "v", *key).groupBy(*key).cogroup(rows.groupBy(*key)).applyInPandas(
-        scan, "query_id long, bound double")
-    nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound")))
-    sure = found.withColumn("n", nth).where(F.col("n") <= k).where(F.col("n") == k).select("query_id", "bound")
+    found = asked.select("query_row", "v", *key).groupBy(*key).cogroup(rows.groupBy(*key)).applyInPandas(
+        scan, "query_row long, bound double")
+    nth = F.row_number().over(W.partitionBy("query_row").orderBy(F.desc("bound")))
+    sure = found.withColumn("n", nth).where(F.col("n") <= k).where(F.col("n") == k).select("query_row", "bound")
 
     def refine(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple] = []
         if len(q) and len(c):
-            ids, exact = c["id"].to_numpy(), np.stack(c["v"].to_list())
+            own, ids, exact = c["row"].to_numpy(), c["id"].to_numpy(), np.stack(c["v"].to_list())
             cell = np.stack(c["cell"].to_list()).astype(float)
             lo = cell * width + low
             qs = np.stack(q["v"].to_list())
             _, upper = _bounds(qs, lo, lo + (width - 1))
-            for i, (qid, bound) in enumerate(zip(q["query_id"], q["bound"])):
-                live = np.flatnonzero((ids != qid) & ((upper[i] >= bound) | np.isnan(bound)))
+            for i, (row, qid, bound) in enumerate(zip(q["query_row"], q["query_id"], q["bound"])):
+                live = np.flatnonzero((own != row) & ((upper[i] >= bound) | np.isnan(bound)))
                 live = live[np.argsort(-upper[i][live], kind="stable")]
                 best: list[tuple[int, int]] = []
                 for at in range(0, len(live), READ):
                     if len(best) == k and upper[i][live[at]] < -best[-1][0]:
                         break  # no later vector can reach the k-th score
                     part = live[at:at + READ]
-                    best = sorted(best + list(zip((-_exact(qs[i], exact[part])).tolist(), ids[part].tolist())))[:k]
-                out += [(qid, j, -s) for s, j in best]
-        return pd.DataFrame(out, columns=["query_id", "id", "score"])
-
-    both = placed.select("id", "dim", "block", "v", cells.alias("cell")).withColumn("qblock", every)
-    asked = asked.join(sure, "query_id", "left").select("query_id", "v", "bound", *key)
-    hits = asked.groupBy(*key).cogroup(both.groupBy(*key)).applyInPandas(refine, "query_id long, id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+                    best = sorted(best + list(zip((-x for x in _exact(qs[i], exact[part])), ids[part].tolist())))[:k]
+                # the true value in two parts that keep its order, for scores of more than 64 bits
+                out += [(row, qid, j, max(-LONG - 1, min(LONG, -s)), *divmod(-s, 1 << 62)) for s, j in best]
+        f = pd.DataFrame(out, columns=["query_row", "query_id", "id", "score", "high", "low"])
+        return f.assign(high=[Decimal(max(-MOST, min(MOST, x))) for x in f["high"]])
+
+    both = placed.select("row", "id", "dim", "block", "v", cells.alias("cell")).withColumn("qblock", every)
+    asked = asked.join(sure, "query_row", "left").select("query_row", "query_id", "v", "bound", *key)
+    hits = asked.groupBy(*key).cogroup(both.groupBy(*key)).applyInPandas(
+        refine, "query_row long, query_id long, id long, score long, high decimal(38,0), low long")
+    rank = F.row_number().over(W.partitionBy("query_row").orderBy(F.desc("high"), F.desc("low"), "id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 

@@ -185,3 +185,25 @@ def test_permutation_is_a_bijection(spark):
         assert sorted(r.p for r in got) == list(range(n))
         if n == 1000:
             assert sum(r.p == i for i, r in enumerate(got)) < 20
+
+
+def test_pairs_of_a_family_grow_with_its_rows(spark, monkeypatch):
+    """Copies of one text with 5% of the words edited: no join makes pairs in proportion to the square."""
+    counted = {}
+    plain = N.written
+
+    def counting(df, name, release=False):
+        out = plain(df, name, release)
+        counted[name] = counted.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(N, "written", counting)
+    base, made = cases.words(150, 1), []
+    for n in (150, 300, 600):
+        counted.clear()
+        rows = [(i, " ".join(cases.edited(base, 0.05, i))) for i in range(n)]
+        got = {r.doc_id: r.component_id for r in N.near_duplicates(cases.docs(spark, rows), 2, 80).collect()}
+        made.append(counted["central-pairs"] + counted["pairs"] + counted["links"])
+        if n < 600:
+            assert got == {i: c for i, _, c, _ in brute.classes(rows, 2)}
+    assert made[2] < 30 * 600 and made[2] < 8 * made[0]

@@ -121,6 +121,18 @@ def test_vector_search(spark, monkeypatch, block, bits):
     assert V.op9_vector_search(df.limit(0)).count() == 0
 
 
+def test_vector_search_large_components_and_repeated_ids(spark):
+    """Scores beyond 53 and 64 bits, negative ones, and rows that share the query's id."""
+    rows = [(0, [1.0, 0.0]), (1, [1e7, 5.0]), (2, [2e7, -5.0]), (3, [2e7 + 1 / 256, 1.0]), (4, [-1e9, 0.0]), (50, [3e8, 2e8]),
+            (50, [1.0, 1.0]), (50, [1.0, 1.0]), (100, [-1e12, 1e12]), (5, [1e14, 1.0]), (6, [1e14, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, V.op9_vector_search(df).collect()))
+    big = 2**63 - 1
+    want = sorted((q, r, i, max(-big - 1, min(big, s))) for q, r, i, s in brute.neighbours(rows))
+    assert got == want
+    assert [(r[2], r[3]) for r in got if r[0] == 0][2:] == [(50, 19660800000000), (3, 1310720000256), (2, 1310720000000)]
+
+
 def test_pipeline(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality", "near_dup", "decontaminate", "pii", "mix"]

@@ -65,6 +65,14 @@ def test_template_regions(text, found):
     assert (m and (0, m[0])) == (found if text != "start stop end" else (0, 3))
 
 
+@pytest.mark.parametrize("lead", [0, 3, 90, 100])
+def test_long_leading_regions(lead):
+    """However many words a template may hold before its mandatory run, the match starts at the first of them."""
+    a = L.compile_template("t", "<<beginOptional>><<var;name=x;words=0-100>><<endOptional>> the mandatory words")
+    _, _, found = L.scan_text("x " * lead + "the mandatory words", [a])
+    assert [(m["start"], m["stop"]) for m in found] == [(0, lead + 3)]
+
+
 def test_nested_optional_and_bad_markup():
     a = L.compile_template("t", "x <<beginOptional>>y <<beginOptional>>z<<endOptional>><<endOptional>> w")
     ok = lambda s: (m := a.match(L.words_of(s), 0)) is not None and m[0] == len(s.split())
