@@ -83,7 +83,7 @@ def test_parse_answer_paths(spark):
     got = {r.id: r for r in E.parse_answer(df, "text", fb, keep=["id"]).collect()}
     assert got[1].source == "json" and got[1].parse_ok and got[1].insights == ["a", "b"]
     assert got[1].detected_platform == "iOS" and got[1].detected_error == "X" and got[1].detected_region is None
-    assert got[2].source == "fallback" and got[2].insights == [texts[1][1][:200]]
+    assert got[2].source == "fallback" and got[2].insights == [texts[1][1]]
     assert got[2].detected_version == "fb_detected_version" and got[2].answer_chars == 600
     assert got[3].source == "json" and got[3].parse_ok is False and got[3].detected_platform is None
 
