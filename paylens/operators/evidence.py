@@ -89,15 +89,22 @@ def _fmt(df: DataFrame, name: str, digits: dict[str, int]) -> Column:
     return F.coalesce(s, F.lit(""))
 
 
+def quoted(field: Column, sep: str = EVIDENCE_SEP) -> Column:
+    """A field as CSV writers write it: in quotes, inner quotes doubled, if it holds the separator, a quote or a line break."""
+    special = field.contains(sep) | field.contains('"') | field.contains("\n") | field.contains("\r")
+    return F.when(special, F.concat(F.lit('"'), F.replace(field, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(field)
+
+
 def table_text(df: DataFrame, order: Sequence[Column], digits: dict[str, int] | None = None) -> DataFrame:
     """One row ``(n_rows, text)``: header line plus one ``|``-separated line per
-    row, rows in ``order`` (ascending keys; negate a numeric key for DESC)."""
+    row, rows in ``order`` (ascending keys; negate a numeric key for DESC).  Fields are
+    quoted where needed (:func:`quoted`), so a CSV reader gives the table back."""
     digits = digits or {}
     cols = df.columns
-    line = F.concat_ws(EVIDENCE_SEP, *[_fmt(df, c, digits) for c in cols])
+    line = F.concat_ws(EVIDENCE_SEP, *[quoted(_fmt(df, c, digits)) for c in cols])
     keyed = df.select(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(order)], line.alias("line")).alias("e"))
     agg = keyed.agg(F.count(F.lit(1)).alias("n_rows"), F.array_sort(F.collect_list("e")).alias("es"))
-    header = F.array(F.lit(EVIDENCE_SEP.join(cols)))
+    header = F.array(F.concat_ws(EVIDENCE_SEP, *[quoted(F.lit(c)) for c in cols]))
     lines = F.transform(F.col("es"), lambda e: e["line"])
     return agg.select("n_rows", F.array_join(F.concat(header, lines), "\n").alias("text"))
 

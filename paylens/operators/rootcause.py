@@ -133,10 +133,10 @@ def root_cause_rank(tagged_failures: DataFrame, k: int = 3) -> DataFrame:
     """
     g = error_counts_now_vs_prev(tagged_failures).withColumn(
         "excess", F.col("error_count") - F.col("prev_error_count")).where(F.col("excess") > 0)
-    # one row per segment × code: a small grouped result, read once for the total and the top
-    g = g.withColumn("_total", F.sum("excess").over(Window.partitionBy()))
+    total = g.agg(F.sum("excess").alias("_total"), F.lit(1).alias("_one"))  # one row, joined back
     top = g.orderBy(F.col("excess").desc(), F.col("error_count").desc(),
                     *[F.col(c).asc_nulls_last() for c in ERROR_KEYS]).limit(k)
+    top = top.withColumn("_one", F.lit(1)).join(total, "_one").drop("_one")
     share = round_half_up(ratio("excess", "_total"), 4)
     ranked = top.select(
         *ERROR_KEYS, "error_count", "prev_error_count", "excess", share.alias("excess_share"),

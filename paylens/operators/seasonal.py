@@ -19,6 +19,7 @@ is set by history length / bucket width, not by the number of payments.
 from __future__ import annotations
 
 import datetime as _dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,7 +38,8 @@ BASELINE_COLUMNS = [
 ]
 
 
-def _moment_inputs(overall_df: DataFrame, minutes: int) -> DataFrame:
+def moment_inputs(overall_df: DataFrame, minutes: int) -> DataFrame:
+    """The overall series with slot, day and the integer samples ``x_bp``, ``x_ct`` of its baselines."""
     return with_tod_key(overall_df, minutes).select(
         BUCKET, "tod_key", "dt",
         F.col("revenue").alias("actual_revenue"),
@@ -48,10 +50,11 @@ def _moment_inputs(overall_df: DataFrame, minutes: int) -> DataFrame:
     )
 
 
-def _finish(df: DataFrame) -> DataFrame:
+def finish_moments(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Baseline columns from the moments of the other days; rows without another day are left out."""
     n = F.col("n")
     return df.where(n > 0).select(
-        BUCKET, "actual_revenue", "actual_psr", "actual_attempts",
+        *keep, BUCKET, "actual_revenue", "actual_psr", "actual_attempts",
         exact_mean(n, F.col("sx_bp"), RATE_SCALE).alias("baseline_psr"),
         exact_stddev(n, F.col("sx_bp"), F.col("sq_bp"), RATE_SCALE).alias("std_psr"),
         exact_mean(n, F.col("sx_ct"), MONEY_SCALE).alias("baseline_revenue"),
@@ -65,7 +68,7 @@ def _sq(c: Column) -> Column:
 
 def baselines(overall_df: DataFrame, mode: str = "other_days", minutes: int = BUCKET_MINUTES) -> DataFrame:
     """Baseline statistics by the literal self-join (the reference's form)."""
-    m = _moment_inputs(overall_df, minutes)
+    m = moment_inputs(overall_df, minutes)
     a = m.alias("a")
     b = m.select(
         F.col("tod_key").alias("b_tod"), F.col("dt").alias("b_dt"),
@@ -85,12 +88,12 @@ def baselines(overall_df: DataFrame, mode: str = "other_days", minutes: int = BU
         F.sum("b_ct").alias("sx_ct"),
         F.sum(_sq(F.col("b_ct"))).alias("sq_ct"),
     )
-    return _finish(g)
+    return finish_moments(g)
 
 
 def baselines_window(overall_df: DataFrame, mode: str = "other_days", minutes: int = BUCKET_MINUTES) -> DataFrame:
     """Baseline statistics as leave-one-out window moments (no join)."""
-    m = _moment_inputs(overall_df, minutes)
+    m = moment_inputs(overall_df, minutes)
     if mode == "other_days":
         w = Window.partitionBy("tod_key")
         moments = m.select(
@@ -113,7 +116,7 @@ def baselines_window(overall_df: DataFrame, mode: str = "other_days", minutes: i
         )
     else:
         raise ValueError(f"unknown baseline mode {mode!r}")
-    return _finish(moments)
+    return finish_moments(moments)
 
 
 def _metric_row(metric: str, actual: Column, mean: Column, std: Column, baseline_digits: int,
@@ -130,7 +133,7 @@ def _metric_row(metric: str, actual: Column, mean: Column, std: Column, baseline
 
 
 def anomaly(baselines_df: DataFrame, z_threshold: float = Z_THRESHOLD,
-            avg_purchase_value: float = AVG_PURCHASE_VALUE) -> DataFrame:
+            avg_purchase_value: float = AVG_PURCHASE_VALUE, keep: Sequence[str] = ()) -> DataFrame:
     """``gold_anomaly``: two metric rows per bucket with at least one comparison day.
 
     The UNION ALL of the two metric branches is a single pass: both rows are
@@ -141,7 +144,7 @@ def anomaly(baselines_df: DataFrame, z_threshold: float = Z_THRESHOLD,
     psr = _metric_row(METRIC_RATE, a_psr, m_psr, s_psr, 4,
                       (m_psr - a_psr) * F.col("actual_attempts") * F.lit(avg_purchase_value), z_threshold)
     rev = _metric_row(METRIC_REVENUE, a_rev, m_rev, s_rev, 2, m_rev - a_rev, z_threshold)
-    return baselines_df.select(BUCKET, F.inline(F.array(psr, rev)))
+    return baselines_df.select(*keep, BUCKET, F.inline(F.array(psr, rev)))
 
 
 def on_day(as_of: _dt.date, df: DataFrame | None = None) -> Column:

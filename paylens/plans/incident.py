@@ -29,8 +29,11 @@ from paylens.operators import evidence as E
 from paylens.operators import impact as I
 from paylens.operators import rootcause as R
 from paylens.functions.expr import ntz
+from paylens.operators.islands import GAP, island_bounds, islands
+from paylens.operators.lattice import COUNTS, lattice_causes, leaf_counts
 from paylens.operators.cube import BUCKET, kpi, overall, overall_from_payments
 from paylens.operators.windows import WIN_END, WIN_START, restrict_to_windows, window_table
+from paylens.session import unique_shared_path
 from paylens.sources.fixtures import game_events_from_payments
 
 
@@ -38,11 +41,19 @@ class IncidentAnalysis:
     def __init__(self, payments: DataFrame, as_of: _dt.date = C.AS_OF, minutes: int = C.BUCKET_MINUTES,
                  game_events: DataFrame | None = None, kpi_df: DataFrame | None = None,
                  anomaly_df: DataFrame | None = None, baseline_form: str = "window",
-                 baseline_mode: str = "other_days", series_from_cube: bool = False):
+                 baseline_mode: str = "other_days", series_from_cube: bool = False, separate: bool = False,
+                 gap: int = GAP):
         """``series_from_cube``: roll the overall series up from the KPI cube
         (share one scan and aggregation with cube-based outputs such as the
         drill-downs) instead of aggregating payments straight to buckets (one
-        shuffle fewer for payment-only outputs).  Same values either way."""
+        shuffle fewer for payment-only outputs).  Same values either way while
+        amounts have two decimals.
+
+        ``separate``: the day's window is every island of flagged buckets (see
+        :mod:`paylens.operators.islands`) instead of the range from first to last,
+        so what lies between two incidents is left out of all drill-downs."""
+        self.separate = separate
+        self.gap = gap
         self.series_from_cube = series_from_cube
         self.payments = payments
         self.as_of = as_of
@@ -97,15 +108,21 @@ class IncidentAnalysis:
         form = A.baselines_window if self.baseline_form == "window" else A.baselines
         anomaly_c = A.anomaly(form(overall(kpi_c), self.baseline_mode, self.minutes)).checkpoint(eager=True)
         return IncidentAnalysis(self.payments, self.as_of, self.minutes, self._game_events, kpi_c, anomaly_c,
-                                self.baseline_form, self.baseline_mode, True)
+                                self.baseline_form, self.baseline_mode, True, self.separate, self.gap)
 
     # -- the day's window -------------------------------------------------------------
     @cached_property
     def windows_by_metric(self) -> DataFrame:
         return A.anomaly_windows(self.anomaly, self.as_of)
 
+    @cached_property
+    def islands(self) -> DataFrame:
+        return islands(self.anomaly, self.gap, self.minutes, self.as_of)
+
     @cached_property
     def bounds(self) -> DataFrame:
+        if self.separate:
+            return island_bounds(self.islands)
         return A.anomaly_bounds(self.anomaly, self.as_of)
 
     @cached_property
@@ -204,6 +221,19 @@ class IncidentAnalysis:
     def root_cause_rank(self, k: int = 3) -> DataFrame:
         return R.root_cause_rank(self.tagged_payments, k)
 
+    def lattice_causes(self, k: int = 3) -> DataFrame:
+        """Disjoint root causes at any level of the segment lattice.
+
+        The leaf table (a row per segment and error code that occurs) is written once
+        and read by every round.
+        """
+        path = unique_shared_path(self.payments.sparkSession, "lattice-leaves") + "/leaves"
+        found = leaf_counts(self.tagged_payments, extra=["error_code"])
+        found.write.parquet(path)
+        codes = self.payments.sparkSession.read.schema(found.schema).parquet(path)
+        leaves = codes.groupBy(*C.DIMS).agg(*[F.sum(c).alias(c) for c in COUNTS])
+        return lattice_causes(leaves, codes, k)
+
     def evidence_sections(self):
         """The five evidence tables, built from two shared aggregations.
 

@@ -7,6 +7,7 @@ adapter) over their whole extent; parameters are the analysis defaults of
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from paylens.operators import evidence as E
 from paylens.operators import rootcause as R
 from paylens.operators.drill import fail_rate_by_platform, fail_rate_per_platform, validate_hourly_success, validate_segment_status
 from paylens.operators.cube import BUCKET, bucketize, kpi, kpi_extent, overall, overall_from_payments, with_tod_key
+from paylens.plans.extended import MORE_QUERIES
 from paylens.plans.gold import refresh_gold
 from paylens.plans.incident import IncidentAnalysis, incident_attribution
 from paylens.session import unique_shared_path
@@ -117,20 +119,22 @@ def _kpi_stream(spark: SparkSession, d: str) -> DataFrame:
 
 def _gold_named_summary(spark: SparkSession, d: str) -> DataFrame:
     """The summary of the anomalies as SQL text over the named gold table."""
-    refresh_gold(spark, _pay(spark, d), names=("gold_kpi_5m", "gold_anomaly"))
-    return spark.sql("""
+    tag = uuid.uuid4().hex[:12]  # two callers of one catalog do not meet
+    refresh_gold(spark, _pay(spark, d), names=(f"gold_kpi_5m_{tag}", f"gold_anomaly_{tag}"))
+    return spark.sql(f"""
         SELECT metric, COUNT(*) AS anomaly_count, MIN(bucket_5m) AS first_anomaly, MAX(bucket_5m) AS last_anomaly,
                ROUND(SUM(impact_estimated), 2) AS total_estimated_impact
-        FROM gold_anomaly WHERE is_anomaly = true GROUP BY metric""")
+        FROM gold_anomaly_{tag} WHERE is_anomaly = true GROUP BY metric""")
 
 
 def _silver_named(spark: SparkSession, d: str) -> DataFrame:
     """Payments replaced and appended to by name, read back through SQL."""
     pay = _pay(spark, d)
     cut = F.lit(C.AS_OF.isoformat() + " 00:00:00").cast("timestamp_ntz")
-    replace_named(pay.where(F.col("event_ts") < cut), "silver_payments", "event_ts")
-    append_named(pay.where(F.col("event_ts") >= cut), "silver_payments", "event_ts")
-    return spark.sql("SELECT * FROM silver_payments").drop("dt")
+    name = f"silver_payments_{uuid.uuid4().hex[:12]}"  # two callers of one catalog do not meet
+    replace_named(pay.where(F.col("event_ts") < cut), name, "event_ts")
+    append_named(pay.where(F.col("event_ts") >= cut), name, "event_ts")
+    return spark.sql(f"SELECT * FROM {name}").drop("dt")
 
 
 def _ingest_payments(spark: SparkSession, d: str) -> DataFrame:
@@ -268,4 +272,6 @@ QUERIES: dict[str, Query] = {
 }
 
 
+QUERIES.update(MORE_QUERIES)
+
 __all__ = ["QUERIES", "BUCKET"]

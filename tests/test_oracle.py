@@ -9,11 +9,12 @@ import pytest
 
 import __spark_entry__ as E
 from paylens.plans.oracle import oracle_sql
+from paylens.plans.oracle_extended import more_sql
 from paylens.plans.registry import QUERIES
 from paylens.sources.tables import TABLES
 from tests.conftest import SF01
 
-SQL = oracle_sql()
+SQL = {**oracle_sql(), **more_sql()}
 KEYS = sorted(SQL)
 
 
