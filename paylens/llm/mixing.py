@@ -1,12 +1,16 @@
 """Mixing sources to target weights (operator 3), in DataFrame operations only.
 
 The words of each source form one stream, cut into blocks of ``block_len``
-words.  No source counts are drawn per shard: a source with ``K`` draws sends
-each of them to an independent, uniformly pseudorandom shard, so its counts over
-the shards are multinomial, a shard's counts of different sources are
-independent, shard sizes vary, and the totals per source are fixed.  Draw ``k`` of a source stands for
-the block whose index a per-source, per-epoch pseudorandom permutation maps to
-slot ``k``; blocks and draws are joined on ``(source, block index)``.
+words.  Output shards have ``shard_blocks`` slots each (the last one the rest).  The
+source counts of a shard are multinomial draws with the sources' shares, corrected to
+the targets and the bound on repeats by conditioning: all shards' counts are drawn
+together, given that they add up to the draws that each source has.  Multinomial counts
+under that condition are those of a random order of all draws cut into shards, so
+:func:`draws` maps a draw's number through a pseudorandom permutation of all draws, which
+gives its shard and slot at once (:func:`shard_counts` is the table of counts).
+Draw ``k`` of a source stands for the block whose index a per-source, per-epoch
+pseudorandom permutation maps to slot ``k``; blocks and draws are joined on
+``(source, block index)``.
 
 *Stream positions.*  A document's place in its source's stream is a prefix sum.
 Documents are dealt to ``CHUNKS`` chunks per source by a hash, summed inside a
@@ -35,7 +39,7 @@ from paylens.llm.common import word_array, written
 
 CHUNKS = 4096       # chunks per source for the prefix sums
 BLOCK_LEN = 128     # words per block
-SHARD_BLOCKS = 1024  # expected blocks per output shard
+SHARD_BLOCKS = 1024  # blocks per output shard
 WEIGHTS = (1, 2, 3)  # by source in code-point order, repeating
 MAX_REPEATS = 3     # a source's target is at most this many times its size
 ROUNDS = 16
@@ -43,7 +47,7 @@ SEED = 20240131
 
 
 def source_targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS,
-                   block_len: int = BLOCK_LEN, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+                   block_len: int = BLOCK_LEN) -> DataFrame:
     """Targets per source from ``(src, source_size)``: one row per source in and out.
 
     All sizes together are shared by weight; a target stops at ``max_repeats``
@@ -69,12 +73,14 @@ def source_targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, max_re
     t = t.withColumn("n_draws", F.when(F.col("source_size") > 0, F.least(
         F.col("n_blocks") * max_repeats,
         F.rint(F.col("n_blocks") * F.col("target") / F.col("source_size")).cast("long"))).otherwise(F.lit(0)))
-    t = t.withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.sum("n_draws").over(every) / shard_blocks)).cast("long"))
-    return t.select("src", "source_size", "target", "n_blocks", "n_draws", "n_shards")
+    earlier = order.rowsBetween(W.unboundedPreceding, -1)
+    t = t.withColumn("first_draw", F.coalesce(F.sum("n_draws").over(earlier), F.lit(0)))
+    t = t.withColumn("all_draws", F.sum("n_draws").over(every))
+    return t.select("src", "source_size", "target", "n_blocks", "n_draws", "first_draw", "all_draws")
 
 
 def packed(docs: DataFrame, block_len: int = BLOCK_LEN, weights: Sequence[float] = WEIGHTS,
-           max_repeats: int = MAX_REPEATS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+           max_repeats: int = MAX_REPEATS) -> DataFrame:
     """``(doc_id, source, text)`` rows with their place in the source's word stream.
 
     Adds ``src`` (source key, orders NULL last), ``size``, ``row`` (with ``src``
@@ -87,7 +93,7 @@ def packed(docs: DataFrame, block_len: int = BLOCK_LEN, weights: Sequence[float]
     d = d.withColumn("size", F.size(word_array(F.col("text"))).cast("long"))
     sums = written(d.groupBy("src", "chunk").agg(F.sum("size").alias("chunk_size")), "mix-chunks")
     sources = source_targets(sums.groupBy("src").agg(F.sum("chunk_size").alias("source_size")),
-                             weights, max_repeats, block_len, shard_blocks)
+                             weights, max_repeats, block_len)
     before = W.partitionBy("src").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     offsets = (sums.withColumn("chunk_start", F.coalesce(F.sum("chunk_size").over(before), F.lit(0)))
                .drop("chunk_size").join(sources, "src"))
@@ -127,24 +133,27 @@ def permuted(index: Column, n: Column, *key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index.cast("long"), swap)
 
 
-def draws(parts: DataFrame, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
-    """The draws of every block: ``(src, block, k, shard)``.
+def draws(parts: DataFrame, max_repeats: int = MAX_REPEATS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
+    """The draws of every block: ``(src, block, k, shard, slot)``.
 
     A block is listed by the one piece that holds its first word; in each epoch
-    its slot is its permuted index, and it is drawn if the source still has a
-    draw for that slot.
+    its slot in the source is its permuted index, and it is drawn if the source still
+    has a draw for that slot.  The draws of all sources, numbered one after the other,
+    are permuted once more and cut into shards.
     """
-    b = parts.where("at = 0 and n > 0").select("src", "block", "n_blocks", "n_draws", "n_shards")
+    b = parts.where("at = 0 and n > 0").select("src", "block", "n_blocks", "n_draws", "first_draw", "all_draws")
     b = b.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
     b = b.where(F.col("epoch") * F.col("n_blocks") < F.col("n_draws"))
     b = b.withColumn("k", F.col("epoch") * F.col("n_blocks")
                      + permuted(F.col("block"), F.col("n_blocks"), F.lit(seed), F.col("src"), F.col("epoch")))
-    return b.where("k < n_draws").select(
-        "src", "block", "k", F.pmod(F.xxhash64(F.lit(seed), "src", "k"), "n_shards").alias("shard"))
+    b = b.where("k < n_draws").withColumn(
+        "_place", permuted(F.col("first_draw") + F.col("k"), F.col("all_draws"), F.lit(seed), F.lit("shards")))
+    return b.select("src", "block", "k", F.floor(F.col("_place") / shard_blocks).alias("shard"),
+                    (F.col("_place") % shard_blocks + 1).alias("slot"))
 
 
 def shard_counts(drawn: DataFrame) -> DataFrame:
-    """Source counts per output shard."""
+    """Source counts per output shard, ``(shard, src, n_blocks)``."""
     return drawn.groupBy("shard", "src").agg(F.count(F.lit(1)).alias("n_blocks"))
 
 
@@ -156,13 +165,11 @@ def mix(docs: DataFrame, block_len: int = BLOCK_LEN, weights: Sequence[float] =
     ``block``, ``n_words``, ``doc_ids`` (in stream order) and ``text``.  A block
     holds at most ``block_len`` words, so grouping its pieces is bounded.
     """
-    p = packed(docs, block_len, weights, max_repeats, shard_blocks)
+    p = packed(docs, block_len, weights, max_repeats)
     parts = pieces(p, block_len, with_words=True)
     blocks = parts.groupBy("src", "block").agg(
         F.array_sort(F.collect_list(F.struct("at", "doc_id", "words"))).alias("_p"), F.sum("n").alias("n_words"))
-    drawn = draws(pieces(p, block_len), max_repeats, seed)
-    place = W.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), F.col("k"), F.col("src")), "src", "k")
-    drawn = drawn.withColumn("slot", F.row_number().over(place))
+    drawn = draws(pieces(p, block_len), max_repeats, shard_blocks, seed)
     return drawn.join(blocks, ["src", "block"]).select(
         "shard", "slot", F.when(F.col("src") != "t", F.substring("src", 2, 1 << 30)).alias("source"), "block",
         "n_words", F.col("_p.doc_id").alias("doc_ids"),

@@ -207,3 +207,28 @@ def test_pairs_of_a_family_grow_with_its_rows(spark, monkeypatch):
         if n < 600:
             assert got == {i: c for i, _, c, _ in brute.classes(rows, 2)}
     assert made[2] < 30 * 600 and made[2] < 8 * made[0]
+
+
+def test_shard_counts_follow_the_shares(spark):
+    """Full shards, the sources' draws in sum, and in every shard about a source's share of them."""
+    rows = [(i, " ".join(cases.words(100, i)), f"s{min(2, i % 7)}") for i in range(1400)]
+    p = M.packed(cases.docs(spark, rows), block_len=10)
+    parts = M.pieces(p, 10)
+    drawn = M.draws(parts, shard_blocks=500).cache()
+    counts = {(r.shard, r.src): r.n_blocks for r in M.shard_counts(drawn).collect()}
+    want = {r.src: r.n_draws for r in parts.select("src", "n_draws").distinct().collect()}
+    total = sum(want.values())
+    shards = {s for s, _ in counts}
+    assert shards == set(range(-(-total // 500)))
+    for src, n in want.items():
+        assert sum(v for (_, c), v in counts.items() if c == src) == n
+    for s in shards:
+        size = sum(v for (t, _), v in counts.items() if t == s)
+        assert size == min(500, total - 500 * s)
+        for src, n in want.items():  # six standard deviations of a multinomial count
+            share = n / total
+            assert abs(counts.get((s, src), 0) - size * share) <= 6 * (size * share * (1 - share)) ** 0.5 + 1
+    spread = [(counts.get((s, src), 0) - 500 * n / total) ** 2 / (500 * n / total) for s in shards if s < max(shards) for src, n in want.items()]
+    assert 0.2 < sum(spread) / len(spread) < 2  # neither constant nor more uneven than draws
+    again = M.shard_counts(M.draws(parts.repartition(3), shard_blocks=500)).collect()
+    assert {(r.shard, r.src): r.n_blocks for r in again} == counts
