@@ -33,7 +33,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from paylens.llm.common import written
 
@@ -66,10 +65,11 @@ def shingle_texts(w: Column, width: int = WIDTH) -> Column:
 def item_sketches(items: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``(item, h)`` for ``(item, words)`` rows: the sketch of every item."""
     x = items.select("item", F.array_distinct(shingle_hashes(F.col("words"), width)).alias("hs")).where(F.size("hs") > 0)
-    n = F.size("hs")
-    part = F.floor(F.log2(n))
-    largest = F.max(n).over(W.partitionBy(part))
-    x = x.withColumn("_s", F.floor(largest * (100 - percent) / 100).cast("int") + 1)
+    x = x.withColumn("_n", F.size("hs")).withColumn("_part", F.floor(F.log2("_n")))
+    # the largest item of a size class; at most 31 classes
+    largest = x.groupBy("_part").agg(F.max("_n").alias("_most"))
+    x = x.join(F.broadcast(largest), "_part")
+    x = x.withColumn("_s", F.floor(F.col("_most") * (100 - percent) / 100).cast("int") + 1)
     return x.select("item", F.explode(F.slice(F.array_sort("hs"), F.lit(1), F.col("_s"))).alias("h"))
 
 
