@@ -42,14 +42,35 @@ TEMPER = 0.3
 STRENGTH = 8.0  # pages that a prior counts for one level down
 MIN_TEXT = 20   # trigrams below which the text alone decides nothing
 
-_DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
+_UNSEEN = re.compile(r"<(script|style|noscript|template)\b", re.I)
+_ENDS = {t: re.compile(rf"</{t}\s*+>", re.I) for t in ("script", "style", "noscript", "template")}
 _OPENING = re.compile(r"<html\b[^>]*", re.I)
-_DECLARED = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+_DECLARED = re.compile(r"(?<![\w-])lang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
 _HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
 
 def visible_text(page: str | None) -> str:
-    return entities.unescape(_DROP.sub(" ", page or ""))
+    """The text between tags, without comments and what a browser does not show, in one forward scan.
+
+    A comment, script or the like without an end reaches to the end of the page, a '<' without '>' is text.
+    """
+    page, out, at = page or "", [], 0
+    while (lt := page.find("<", at)) >= 0:
+        out += [page[at:lt], " "]
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = len(page) if end < 0 else end + 3
+        elif m := _UNSEEN.match(page, lt):
+            end = _ENDS[m[1].lower()].search(page, m.end())
+            at = len(page) if end is None else end.end()
+        else:
+            end = page.find(">", lt)
+            if end < 0:
+                at = lt
+                break
+            at = end + 1
+    out.append(page[at:])
+    return entities.unescape("".join(out))
 
 
 def declared_language(page: str | None) -> str:

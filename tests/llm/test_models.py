@@ -101,6 +101,29 @@ def test_declared_language_is_linear():
     assert G.declared_language(None) == G.declared_language("<html lang=>") == G.declared_language("<htmlx lang=de>") == ""
 
 
+def test_visible_text_is_one_forward_scan():
+    assert G.visible_text("a<!-- x<b> -->b<SCRIPT>c<p></script >d<p class='x'>e &amp; f") .split() == ["a", "b", "d", "e", "&", "f"]
+    assert G.visible_text("a<style>b") .split() == ["a"] and G.visible_text("a<!--b").split() == ["a"]
+    assert G.visible_text("a < b").split() == ["a", "<", "b"] and G.visible_text(None) == ""
+    for piece in ("<script>", "<!--", "<", "<style><script>", "<p", "</script>"):
+        G.visible_text(piece * 300_000)  # quadratic time would not end
+
+
+def test_other_attributes_are_no_declaration():
+    assert G.declared_language("<html data-lang='de' hreflang=es>") == ""
+    assert G.declared_language("<html data-lang='de' xml:lang=\"fr\">") == "fr"
+
+
+def test_languages_without_their_declaration(spark):
+    """The declaration is evidence; taken away, text, address and host still give the language it named."""
+    docs, pages = table(spark, SF01, "documents"), table(spark, SF01, "pages")
+    said = {r.page_id: r.declared for r in G.op5_language(pages, docs).collect() if r.declared}
+    bare = pages.withColumn("html", F.regexp_replace("html", r"<html[^>]*>", "<html>"))
+    got = {r.page_id: r for r in G.op5_language(bare, docs).collect()}
+    assert not any(r.declared for r in got.values()) and len(said) > 100
+    assert np.mean([got[i].lang == lang for i, lang in said.items()]) > 0.9
+
+
 def _vectors():
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(400)]
