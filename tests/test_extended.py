@@ -374,11 +374,3 @@ def test_export_round_trip(spark):
     text = E.table_text(df, [F.col("id")]).first().text
     back = list(csv.reader(io.StringIO(text, newline=""), delimiter="|"))
     assert back == [["id", "x|y", "z"]] + [[str(i), a or "", b or ""] for i, a, b in rows]
-
-
-def test_root_cause_rank_share_has_no_one_task_window(spark):
-    from paylens.operators.rootcause import root_cause_rank
-    df = _tagged(spark, lambda p, v, r, pr: p == "iOS")
-    plan = root_cause_rank(df)._jdf.queryExecution().optimizedPlan().toString()
-    assert "Window [sum" not in plan
-    assert abs(sum(r.excess_share for r in root_cause_rank(df, 100).collect()) - 1.0) < 0.01
