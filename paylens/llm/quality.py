@@ -138,6 +138,36 @@ def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
+class _Incidence:
+    """Which row has which column, sorted both ways, so that a sum over either is one gather and one segmented sum."""
+
+    def __init__(self, at: np.ndarray, cols: np.ndarray, n_rows: int, n_cols: int):
+        """``at`` ascending, each pair once."""
+        self.shape = (n_rows, n_cols)
+        self.cols, self.at = cols, at[np.argsort(cols, kind="stable")]
+        self.row_n, self.col_n = np.bincount(at, minlength=n_rows), np.bincount(cols, minlength=n_cols)
+
+    def only(self, kept: np.ndarray) -> _Incidence:
+        """The same rows with the kept columns, renumbered."""
+        live = kept[self.cols]
+        at = np.repeat(np.arange(self.shape[0]), self.row_n)[live]
+        return _Incidence(at, (np.cumsum(kept) - 1)[self.cols[live]], self.shape[0], int(kept.sum()))
+
+    @staticmethod
+    def _sums(values: np.ndarray, index: np.ndarray, n: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(n))
+        some = n > 0
+        if len(index):
+            out[some] = np.add.reduceat(np.take(values, index), (np.cumsum(n) - n)[some])
+        return out
+
+    def row_sums(self, w: np.ndarray) -> np.ndarray:
+        return self._sums(w, self.cols, self.row_n)
+
+    def column_sums(self, r: np.ndarray) -> np.ndarray:
+        return self._sums(r, self.at, self.col_n)
+
+
 def fit_rows(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int = STEPS, rate: float = 0.3,
              l1: float = L1, l2: float = 0.02, min_rows: int = MIN_ROWS) -> OrdinalModel:
     """Fit on feature-index rows and integer grades ``0 ... n_grades - 1``.
@@ -147,13 +177,13 @@ def fit_rows(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: i
     if not len(rows):
         return OrdinalModel({}, [-35.0] * (n_grades - 1))
     names, index, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    often = count >= min_rows
+    # a row moves a weight's gradient by less than 1, so in up to ``l1`` rows it never leaves zero
+    often = (count >= min_rows) & (count > l1)
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])[often[index]]
     cols = (np.cumsum(often) - 1)[index[often[index]]]
     names = names[often]
-    by_col = np.argsort(cols, kind="stable")
-    cols, at = cols[by_col], at[by_col]
-    first = np.flatnonzero(np.append(True, cols[1:] != cols[:-1])) if len(cols) else cols
+    m = _Incidence(at, cols, len(rows), len(names))
+    del index, at, cols
     w, w_sq = np.zeros(len(names)), np.full(len(names), 1e-6)
 
     y = np.asarray(grades, dtype=np.int64)
@@ -169,15 +199,11 @@ def fit_rows(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: i
             if phase:
                 break
             phase, step, last = 1, 0, np.inf  # the L1 term has chosen the features; now fit those without its shrinkage
-            keep = w[cols] != 0
+            m = m.only(w != 0)
             names, w = names[w != 0], w[w != 0]
-            at, cols = at[keep], np.cumsum(np.append(0, np.diff(cols[keep]) != 0))[:keep.sum()]
-            first = np.flatnonzero(np.append(True, cols[1:] != cols[:-1])) if len(cols) else cols
             penalty, w_sq = 0.0, np.full(len(names), 1e-6)
         theta = np.cumsum(np.concatenate([knots[:1], np.exp(knots[1:])]))
-        each = w[cols]
-        live = np.flatnonzero(each)
-        s = np.bincount(at[live], weights=each[live], minlength=len(rows))
+        s = m.row_sums(w)
         a, b = np.ones(len(rows)), np.zeros(len(rows))
         a[low] = _sigmoid(s[low] - theta[y[low] - 1])
         b[high] = _sigmoid(s[high] - theta[y[high]])
@@ -194,7 +220,7 @@ def fit_rows(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: i
         g = np.concatenate([tail[:1], tail[1:] * np.exp(knots[1:])])
         k_sq += g * g
         knots -= rate * g / np.sqrt(k_sq)
-        g = (np.add.reduceat(by_score[at], first) if len(cols) else np.zeros(len(names))) + l2 * w
+        g = m.column_sums(by_score) + l2 * w
         w_sq += g * g
         pace = rate / np.sqrt(w_sq)
         w = w - pace * g
