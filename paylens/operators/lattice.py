@@ -40,17 +40,16 @@ def leaf_counts(tagged_payments: DataFrame, dims: Sequence[str] = DIMS, extra: S
         F.count_if(~now).alias("prev_attempts"), F.count_if(~now & is_fail()).alias("prev_fails"))
 
 
-def scored_segments(leaves: DataFrame, overall: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
+def scored_segments(leaves: DataFrame, past: Column, dims: Sequence[str] = DIMS) -> DataFrame:
     """``(fixed, dims..., counts, expected, excess, score)`` of every segment of the lattice but the whole.
 
     ``fixed`` has a bit per dimension that the segment fixes (the first one highest), so an
-    open dimension is told apart from a NULL value.  ``overall`` is the row ``(_f, _n)`` of
+    open dimension is told apart from a NULL value.  ``past`` is the overall failure rate of
     the previous window.
     """
     bits = sum(((1 - F.grouping(d).cast("int")) * 2**k for k, d in enumerate(reversed(dims))), F.lit(0))
     g = leaves.cube(*dims).agg(*[F.sum(c).alias(c) for c in COUNTS], bits.cast("int").alias("fixed"))
-    g = g.where("fixed > 0").withColumn("_one", F.lit(1)).join(overall, "_one").drop("_one")
-    past = F.when(F.col("_n") > 0, F.col("_f").cast("double") / F.col("_n").cast("double")).otherwise(F.lit(0.0))
+    g = g.where("fixed > 0")
     rate = (F.col("prev_fails").cast("double") + past * F.lit(float(PRIOR))) / (F.col("prev_attempts") + F.lit(PRIOR)).cast("double")
     expected = F.col("now_attempts").cast("double") * rate
     g = g.withColumn("_e", expected).withColumn("_x", F.col("now_fails").cast("double") - F.col("_e"))
@@ -59,17 +58,26 @@ def scored_segments(leaves: DataFrame, overall: DataFrame, dims: Sequence[str] =
                     round_half_up(score, 4).alias("score"))
 
 
-def _overall(leaves: DataFrame) -> DataFrame:
-    return leaves.agg(F.sum("prev_fails").alias("_f"), F.sum("prev_attempts").alias("_n"), F.lit(1).alias("_one"))
+def _rate(fails: Column, attempts: Column) -> Column:
+    return F.when(attempts > 0, fails.cast("double") / attempts.cast("double")).otherwise(F.lit(0.0))
 
 
-def _within(leaf: str, cause: str, dims: Sequence[str]) -> Column:
-    """Whether a leaf lies in a cause: every fixed dimension has its value."""
-    cond = F.lit(True)
-    for k, d in enumerate(reversed(dims)):
-        is_open = F.col(f"{cause}.fixed").bitwiseAND(F.lit(2**k)) == 0
-        cond = cond & (is_open | F.col(f"{leaf}.{d}").eqNullSafe(F.col(f"{cause}.{d}")))
-    return cond
+def _segments_of(leaves: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """``leaves`` once per segment that holds them: ``s_fixed`` and ``s_<dim>`` (NULL where open) beside their columns."""
+    n = len(dims)
+    masks = F.explode(F.array(*[F.lit(m) for m in range(1, 2**n)]))
+    fixes = lambda k: F.col("s_fixed").bitwiseAND(F.lit(2 ** (n - 1 - k))) != 0
+    return leaves.withColumn("s_fixed", masks).select(
+        "*", *[F.when(fixes(k), F.col(d)).alias("s_" + d) for k, d in enumerate(dims)])
+
+
+def _in_causes(leaves: DataFrame, causes: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """The rows of ``leaves`` that lie in a cause, with its number ``cause``: an equality join on the segment."""
+    named = causes.select("cause", F.col("fixed").alias("c_fixed"), *[F.col(d).alias("c_" + d) for d in dims])
+    cond = F.col("s_fixed") == F.col("c_fixed")
+    for d in dims:
+        cond = cond & F.col("s_" + d).eqNullSafe(F.col("c_" + d))
+    return _segments_of(leaves, dims).join(named, cond).select("cause", *leaves.columns)
 
 
 def lattice_causes(leaves: DataFrame, codes: DataFrame, k: int = 3, dims: Sequence[str] = DIMS) -> DataFrame:
@@ -79,25 +87,27 @@ def lattice_causes(leaves: DataFrame, codes: DataFrame, k: int = 3, dims: Sequen
     (``error_code``, ``now_fails``); a cause names the code with most failures in it.
     ``excess_share`` is the cause's part of the whole window's excess.
     """
-    whole = _overall(leaves)
-    total = leaves.agg(F.sum("now_fails").alias("f"), F.sum("now_attempts").alias("n")).withColumn("_one", F.lit(1)).join(whole, "_one")
-    expected = F.when(F.col("_n") > 0, F.col("n").cast("double") * F.col("_f").cast("double") / F.col("_n").cast("double")).otherwise(F.lit(0.0))
-    total = total.select("_one", (F.col("f").cast("double") - expected).alias("_total"))
+    # one value each, read as scalar subqueries
+    past = leaves.agg(_rate(F.sum("prev_fails"), F.sum("prev_attempts")).alias("past")).scalar()
+    expected = F.sum("now_attempts").cast("double") * F.sum("prev_fails").cast("double") / F.sum("prev_attempts").cast("double")
+    total = leaves.agg((F.sum("now_fails").cast("double") - F.when(F.sum("prev_attempts") > 0, expected).otherwise(F.lit(0.0)))
+                       .alias("total")).scalar()
     rest, chosen = leaves, None
     order = [F.col("score").desc(), F.bit_count("fixed"), *[F.col(d).asc_nulls_first() for d in dims], F.col("fixed")]
     for rank in range(1, k + 1):
-        best = scored_segments(rest, whole, dims).where("score > 0").orderBy(*order).limit(1).withColumn("cause", F.lit(rank))
+        best = scored_segments(rest, past, dims).where("score > 0").orderBy(*order).limit(1).withColumn("cause", F.lit(rank))
         chosen = best if chosen is None else chosen.unionByName(best)
-        if rank < k:  # one row joined to the leaf table, on a constant
-            one = best.withColumn("_one", F.lit(1))
-            rest = rest.withColumn("_one", F.lit(1)).alias("l").join(
-                one.alias("b"), (F.col("l._one") == F.col("b._one")) & _within("l", "b", dims), "left_anti").drop("_one")
-    inside = codes.where("now_fails > 0").withColumn("_one", F.lit(1)).alias("l").join(
-        chosen.withColumn("_one", F.lit(1)).alias("b"), (F.col("l._one") == F.col("b._one")) & _within("l", "b", dims))
+        if rank < k:
+            taken = _in_causes(rest, best, dims).select(*[F.col(d).alias("t_" + d) for d in dims])
+            cond = F.lit(True)
+            for d in dims:
+                cond = cond & F.col(d).eqNullSafe(F.col("t_" + d))
+            rest = rest.join(taken, cond, "left_anti")
+    inside = _in_causes(codes.where("now_fails > 0"), chosen, dims)
     # causes do not overlap, so a leaf is counted in one of them
-    by_code = inside.groupBy("b.cause", "l.error_code").agg(F.sum("l.now_fails").alias("c"))
+    by_code = inside.groupBy("cause", "error_code").agg(F.sum("now_fails").alias("c"))
     top = by_code.groupBy("cause").agg(F.min(F.struct((-F.col("c")).alias("m"), "error_code")).alias("t"))
-    out = chosen.join(top, "cause", "left").withColumn("_one", F.lit(1)).join(total, "_one")
+    out = chosen.join(top, "cause", "left").withColumn("_total", total)
     bit = {d: 2**i for i, d in enumerate(reversed(dims))}
     part = lambda d: F.when(F.col("fixed").bitwiseAND(F.lit(bit[d])) == 0, ANY).otherwise(F.coalesce(d, F.lit("")))
     share = F.when(F.col("_total") > 0, round_half_up(F.col("excess") / F.col("_total"), 4))
