@@ -20,6 +20,7 @@ from paylens.operators.drill import ERROR_KEYS, error_counts_now_vs_prev
 from paylens.operators.topk import number_rows
 
 UNKNOWN = "unknown"
+RANK_PARTS = 64  # parts that the ranking deals the segment groups to
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for equal results.
@@ -133,10 +134,13 @@ def root_cause_rank(tagged_failures: DataFrame, k: int = 3) -> DataFrame:
     """
     g = error_counts_now_vs_prev(tagged_failures).withColumn(
         "excess", F.col("error_count") - F.col("prev_error_count")).where(F.col("excess") > 0)
-    # one row per segment × code: a small grouped result, read once for the total and the top
-    g = g.withColumn("_total", F.sum("excess").over(Window.partitionBy()))
-    top = g.orderBy(F.col("excess").desc(), F.col("error_count").desc(),
-                    *[F.col(c).asc_nulls_last() for c in ERROR_KEYS]).limit(k)
+    # top k and sum of each part of the groups, then of the parts' at most RANK_PARTS * k rows: one read, no task with all groups
+    order = [F.col("excess").desc(), F.col("error_count").desc(), *[F.col(c).asc_nulls_last() for c in ERROR_KEYS]]
+    part = Window.partitionBy("_part")
+    best = g.withColumn("_part", F.pmod(F.xxhash64(*ERROR_KEYS), F.lit(RANK_PARTS))).select(
+        "*", F.row_number().over(part.orderBy(*order)).alias("_rn"), F.sum("excess").over(part).alias("_sum")).where(F.col("_rn") <= k)
+    best = best.withColumn("_total", F.sum(F.when(F.col("_rn") == 1, F.col("_sum"))).over(Window.partitionBy()))
+    top = best.orderBy(*order).limit(k)
     share = round_half_up(ratio("excess", "_total"), 4)
     ranked = top.select(
         *ERROR_KEYS, "error_count", "prev_error_count", "excess", share.alias("excess_share"),
