@@ -107,7 +107,8 @@ def packed(docs: DataFrame, block_len: int = BLOCK_LEN, weights: Sequence[float]
 def pieces(p: DataFrame, block_len: int = BLOCK_LEN, with_words: bool = False) -> DataFrame:
     """One row per row of ``p`` and block it touches: ``block``, ``n`` words, ``at`` (offset in the block).
 
-    A row without words has one row with NULL ``block``.
+    A row without words has one row with NULL ``block``.  ``with_words`` adds the piece's words, joined
+    by one space (as one string they take a third of an array's room in a shuffle), and leaves rows without words out.
     """
     first = F.floor(F.col("start") / block_len)
     last = F.floor((F.col("start") + F.col("size") - 1) / block_len)
@@ -121,7 +122,8 @@ def pieces(p: DataFrame, block_len: int = BLOCK_LEN, with_words: bool = False) -
     x = p.withColumn("_words", word_array(F.col("text")))
     cut = F.transform(span, lambda b: F.struct(
         b.alias("block"), (hi(b) - lo(b)).alias("n"), (lo(b) - b * block_len).alias("at"),
-        F.slice("_words", (lo(b) - F.col("start") + 1).cast("int"), (hi(b) - lo(b)).cast("int")).alias("words")))
+        F.array_join(F.slice("_words", (lo(b) - F.col("start") + 1).cast("int"), (hi(b) - lo(b)).cast("int")),
+                     " ").alias("words")))
     return x.select(*[c for c in p.columns if c != "text"], F.explode(cut).alias("_p")).select("*", "_p.*").drop("_p")
 
 
@@ -133,6 +135,11 @@ def permuted(index: Column, n: Column, *key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index.cast("long"), swap)
 
 
+def epoch_slot(seed: int, epoch: Column | None = None) -> Column:
+    """The permuted index of a block among its source's blocks in an epoch (0 if not given)."""
+    return permuted(F.col("block"), F.col("n_blocks"), F.lit(seed), F.col("src"), F.lit(0) if epoch is None else epoch)
+
+
 def draws(parts: DataFrame, max_repeats: int = MAX_REPEATS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
     """The draws of every block: ``(src, block, k, shard, slot)``.
 
@@ -144,8 +151,7 @@ def draws(parts: DataFrame, max_repeats: int = MAX_REPEATS, shard_blocks: int =
     b = parts.where("at = 0 and n > 0").select("src", "block", "n_blocks", "n_draws", "first_draw", "all_draws")
     b = b.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
     b = b.where(F.col("epoch") * F.col("n_blocks") < F.col("n_draws"))
-    b = b.withColumn("k", F.col("epoch") * F.col("n_blocks")
-                     + permuted(F.col("block"), F.col("n_blocks"), F.lit(seed), F.col("src"), F.col("epoch")))
+    b = b.withColumn("k", F.col("epoch") * F.col("n_blocks") + epoch_slot(seed, F.col("epoch")))
     b = b.where("k < n_draws").withColumn(
         "_place", permuted(F.col("first_draw") + F.col("k"), F.col("all_draws"), F.lit(seed), F.lit("shards")))
     return b.select("src", "block", "k", F.floor(F.col("_place") / shard_blocks).alias("shard"),
@@ -166,14 +172,16 @@ def mix(docs: DataFrame, block_len: int = BLOCK_LEN, weights: Sequence[float] =
     holds at most ``block_len`` words, so grouping its pieces is bounded.
     """
     p = packed(docs, block_len, weights, max_repeats)
-    parts = pieces(p, block_len, with_words=True)
+    # A source with fewer draws than blocks leaves blocks out; their words need not move.
+    drawn_once = (F.col("n_draws") >= F.col("n_blocks")) | (epoch_slot(seed) < F.col("n_draws"))
+    parts = pieces(p, block_len, with_words=True).where(drawn_once)
     blocks = parts.groupBy("src", "block").agg(
         F.array_sort(F.collect_list(F.struct("at", "doc_id", "words"))).alias("_p"), F.sum("n").alias("n_words"))
     drawn = draws(pieces(p, block_len), max_repeats, shard_blocks, seed)
     return drawn.join(blocks, ["src", "block"]).select(
         "shard", "slot", F.when(F.col("src") != "t", F.substring("src", 2, 1 << 30)).alias("source"), "block",
         "n_words", F.col("_p.doc_id").alias("doc_ids"),
-        F.array_join(F.flatten("_p.words"), " ").alias("text"))
+        F.array_join("_p.words", " ").alias("text"))
 
 
 def op3_mix_sources(docs: DataFrame) -> DataFrame:
