@@ -160,7 +160,7 @@ def differences(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     if and only if 2 (100 + percent) |D(x) and D(y)| >= A(x) + A(y).
     """
     rows = sets.select("node", "shingles", F.xxhash64("shingles").alias("row"), F.size("shingles").alias("n"))
-    rows = written(groups.join(rows, "node"), "open-sets")
+    rows = written(groups.join(rows, "node"), "open-sets", release=True)
     size = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
     held = rows.select("hub", F.explode("shingles").alias("s")).groupBy("hub", "s").agg(F.count(F.lit(1)).alias("f"))
     common = held.join(size, "hub").where("2 * f > size").groupBy("hub").agg(F.collect_set("s").alias("c"))
@@ -235,17 +235,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     hub = F.min(F.struct(order.alias("h"), "node", "n"))
     buckets = placed.groupBy("band").agg(hub.alias("hub"), F.max("node").alias("most"), F.min("node").alias("least"))
     buckets = buckets.where("least < most").select("band", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
-    members = written(placed.join(buckets, "band"), "members")
+    members = written(placed.join(buckets, "band"), "members", release=True)
 
     needed = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = written(shingle_sets(docs.join(needed, "doc_id"), width, bands * rows), "sets")
+    sets = written(shingle_sets(docs.join(needed, "doc_id"), width, bands * rows), "sets", release=True)
     size_ok = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     tried = members.where("node <> hub").where(size_ok(F.col("n"), F.col("hub_n"))).select(
         F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
     # rows that share a doc_id are one document, whatever their texts
     ids = known.join(node_of, ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
     repeated = ids.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").join(ids, "a").select("a", "b")
-    links = written(confirmed(tried, sets, percent, bands * rows).unionByName(repeated), "links")
+    links = written(confirmed(tried, sets, percent, bands * rows).unionByName(repeated), "links", release=True)
     comp = components(links)
 
     # buckets that still hold several components: nodes outside the hub's against all others
